@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from windlake.llm import exact_dedup, sharding
+from windlake.llm import bpe, exact_dedup, packing, sharding
 
-MODULES = [sharding, exact_dedup]
+MODULES = [sharding, exact_dedup, packing, bpe]
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in MODULES for name, sql in module.ORACLE_SQL.items()}
