@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from windlake.llm import bpe, exact_dedup, packing, sharding, toxicity
+from windlake.llm import bpe, exact_dedup, packing, secret_scan, sharding, toxicity
 
-MODULES = [sharding, exact_dedup, packing, toxicity, bpe]
+MODULES = [sharding, exact_dedup, packing, secret_scan, toxicity, bpe]
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in MODULES for name, sql in module.ORACLE_SQL.items()}
