@@ -102,7 +102,8 @@ class ChunkEncoder:
         return b"".join(parts)
 
     def _join(self, unit: str) -> bytes:
-        self.enc.fill((unit,))
+        if unit not in self.enc.new:
+            self.enc.fill((unit,))
         return self.enc.new[unit]
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Iterable
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -31,14 +32,14 @@ def byte_letters() -> dict[int, str]:
 class UnitEncoder:
     """Ids by ``tokenizers`` of one file: kind "byte" (byte-level BPE) or "word" (lower case, white space dropped)."""
 
-    def __init__(self, path: str, kind: str, limit: int = 300_000):
+    def __init__(self, path: str, kind: str, limit: int = 800_000):
         from tokenizers import Tokenizer
 
         self.tok, self.kind, self.limit = Tokenizer.from_file(path), kind, limit
         self.tok.no_padding()
         self.tok.no_truncation()
         self.model, self.letters = self.tok.model, byte_letters()
-        self.dtype = "<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4"
+        self.dtype, self.code = ("<u2", "H") if self.tok.get_vocab_size() <= 1 << 16 else ("<u4", "I")
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -57,7 +58,7 @@ class UnitEncoder:
             return unit
         return unit[1:] if unit.startswith(FIRST) else unit if unit.startswith("\n") else " " + unit
 
-    def _letters_only(self, word: str) -> bytes | None:
+    def _letters_only(self, word: str, spaced: bool) -> bytes | None:
         """Ids of a word that is one pre-token for sure: Latin letters only."""
         if not word.isalpha() or (not word.isascii() and max(word) >= LATIN_END):
             return None
@@ -66,10 +67,23 @@ class UnitEncoder:
             if len(low) != len(word):
                 return None
             word = low
-        else:
+        elif spaced:
             word = " " + word
-        mapped = "".join(map(self.letters.__getitem__, word.encode()))
-        return np.array([t.id for t in self.model.tokenize(mapped)], self.dtype).tobytes()
+        mapped = word if word.isascii() and not spaced else "".join(map(self.letters.__getitem__, word.encode()))
+        return array(self.code, [t.id for t in self.model.tokenize(mapped)]).tobytes()
+
+    def _simple(self, unit: str) -> bytes | None:
+        """Ids of a unit that is a word, maybe after a line feed and before a full stop or comma; None for any other."""
+        before, after, spaced = b"", b"", self.kind == "byte"
+        if spaced and unit[:1] in ("\n", FIRST):
+            before, spaced = self._mark("\n") if unit[0] == "\n" else b"", False
+            unit = unit[1:]
+        if unit[-1:] in (".", ","):
+            after, unit = self._mark(unit[-1]), unit[:-1]
+        word = (self.new.get(unit) or self.old.get(unit)) if spaced or self.kind == "word" else None
+        if not word:
+            word = self._letters_only(unit, spaced)
+        return None if word is None else before + word + after
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
@@ -77,16 +91,15 @@ class UnitEncoder:
     def fill(self, units: Iterable[str]) -> None:
         """Makes sure that the cache has all of these units."""
         wanted = set(units)
-        missing = wanted - self.new.keys()
+        new = self.new
+        missing = [u for u in wanted if u not in new]
         if len(self.new) + len(missing) > self.limit:
-            self.old, self.new, missing = self.new, {}, wanted
+            self.old, self.new, missing = self.new, {}, list(wanted)
         slow = []
         for u in missing:
             ids = self.old.get(u)
             if ids is None:
-                ids = self._letters_only(u)
-            if ids is None and u[-1:] in (".", ",") and (word := self._letters_only(u[:-1])) is not None:
-                ids = word + self._mark(u[-1])
+                ids = self._simple(u)
             if ids is None:
                 slow.append(u)
             else:
