@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from windlake.sources.scratch import Scratch, shared_dir
+
+__all__ = ["Scratch", "documents", "groups_for", "hash_group", "shared_dir", "small_batches", "text_or_empty"]
+
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -18,31 +20,6 @@ def text_or_empty(text: str | Column = "text") -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, only where it is unset, a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='windlake-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
-class Scratch:
-    """Tables written to the shared folder to cut lineage: a lost executor costs a reread, not a recomputation."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.path = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-
-    def put(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{self.path}/{name}")
-        return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
-
-    def drop(self, name: str) -> None:
-        """Frees a table that nothing reads any more."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def groups_for(rows: int, per_group: int) -> int:
     """How many hash groups keep about ``per_group`` rows in each, at any input size."""
     return max(1, math.ceil(rows / per_group))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from windlake.llm import bpe, exact_dedup, gif, packing, secret_scan, sharding, toxicity
+from windlake.llm import bpe, exact_dedup, gif, near_dedup, packing, secret_scan, sharding, token_rollup, toxicity
 
-MODULES = [sharding, exact_dedup, packing, secret_scan, toxicity, gif, bpe]
+MODULES = [sharding, exact_dedup, packing, secret_scan, toxicity, gif, near_dedup, token_rollup, bpe]
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in MODULES for name, sql in module.ORACLE_SQL.items()}
