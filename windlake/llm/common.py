@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from windlake.sources.scratch import Scratch, shared_dir
 
-__all__ = ["Scratch", "documents", "groups_for", "hash_group", "shared_dir", "small_batches", "text_or_empty"]
+__all__ = ["Scratch", "shared_dir"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,3 +32,23 @@ def hash_group(n: int, *cols: str | Column, seed: int = 0) -> Column:
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
     """Texts can be long: Python workers get few rows at a time, so their memory stays bounded."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+#: Up to so many ids (8 bytes each, some tens of MB as a hash table) a join with texts may be a broadcast.
+BROADCAST_IDS = 400_000
+
+
+def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id isn't in ids (one written column): a broadcast while the ids are few, else a shuffle."""
+    few = ids.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_anti")
+
+
+def one_of_each_id(spark: SparkSession, docs: DataFrame, name: str) -> DataFrame:
+    """Of rows that repeat an id, one; only those rows are shuffled."""
+    again = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    again = Scratch(spark, name).put(again, "again")
+    if again.isEmpty():
+        return docs
+    repeated = docs.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    return without_ids(docs, again).unionByName(repeated)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from windlake.llm.common import Scratch, documents, small_batches, text_or_empty
+from windlake.llm.common import BROADCAST_IDS, Scratch, documents, small_batches, text_or_empty
 from windlake.operators.components import connected_components
 
 WORDS = 5
@@ -28,7 +28,6 @@ LONGS = K // LANES
 STAR_BANDS = 10  # bands of the first step; the second uses all
 LEAST_ESTIMATE = 0.56  # over five standard deviations of the estimate below 0.75
 BLOCK = 512
-BROADCAST_IDS = 400_000  # up to so many ids (some 20 MB) a join may be a broadcast
 
 #: Disagreeing lanes above which a pair's collision-corrected estimate is under LEAST_ESTIMATE: equal low bits also come
 #: by chance, at 2**-BITS.

@@ -247,3 +247,18 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"op6_toxicity": op6_toxicity}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def _clean(model):
+    def run(batches):
+        for batch in batches:
+            m = model.value
+            yield batch.filter(pa.array([m.score(t or "") < THRESHOLD for t in batch.column("text").to_pylist()], pa.bool_()))
+
+    return run
+
+
+def without_toxic(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs, all columns as they are, whose score is below THRESHOLD."""
+    small_batches(spark)
+    return docs.mapInArrow(_clean(spark.sparkContext.broadcast(model)), docs.schema)
