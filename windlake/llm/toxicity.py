@@ -15,14 +15,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from windlake.llm.common import Scratch, documents, small_batches, text_or_empty
 
 #: At most so many labelled rows are learnt from: those with the smallest hashes of their ids.
-MAX_TRAINING_ROWS = 24_000
-MAX_FEATURES = 30_000
+MAX_TRAINING_ROWS = 12_000
+MAX_FEATURES = 20_000
 HASH_BITS = 22
 PREFIXES = range(3, 9)
 THRESHOLD = 0.3
@@ -112,24 +113,30 @@ class Model:
 
 
 class Rows:
-    """Sparse rows, one after the other, for products with vectors."""
+    """Sparse rows, one after the other in flat arrays, for products with vectors."""
 
-    def __init__(self, rows: list[dict[int, float]], width: int):
-        self.n, self.width = len(rows), width
-        self.row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-        self.col = np.array([f for r in rows for f in r], np.int64)
-        self.val = np.array([v for r in rows for v in r.values()])
+    def __init__(self, sizes: np.ndarray, col: np.ndarray, val: np.ndarray, width: int):
+        self.n, self.width = len(sizes), width
+        self.row = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        self.col, self.val = col.astype(np.int32), val.astype(np.float32)
+
+    @classmethod
+    def of(cls, columns: pa.ChunkedArray, values: pa.ChunkedArray, width: int) -> Rows:
+        """From two list columns."""
+        columns, values = columns.combine_chunks(), values.combine_chunks()
+        sizes = np.diff(columns.offsets.to_numpy())
+        return cls(sizes, columns.flatten().to_numpy(), values.flatten().to_numpy(), width)
 
     def dot(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, self.val * w[self.col], minlength=self.n)
+        return np.bincount(self.row, self.val * w.astype(np.float32)[self.col], minlength=self.n)
 
     def dot_t(self, e: np.ndarray) -> np.ndarray:
-        return np.bincount(self.col, self.val * e[self.row], minlength=self.width)
+        return np.bincount(self.col, self.val * e.astype(np.float32)[self.row], minlength=self.width)
 
 
-def train(rows: list[dict[int, float]], labels: np.ndarray, swaps: list[dict[int, float]], width: int, l2: float = 1e-5, fairness: float = 1.0, steps: int = 250, rate: float = 0.03) -> tuple[np.ndarray, float]:
+def train(x: Rows, labels: np.ndarray, d: Rows, l2: float = 1e-5, fairness: float = 1.0, steps: int = 250, rate: float = 0.03) -> tuple[np.ndarray, float]:
     """Logistic loss with positives weighted up, plus l2 |w|^2 and fairness * mean (w . (x - swapped x))^2, by Adam."""
-    x, d = Rows(rows, width), Rows(swaps, width)
+    width = x.width
     share = max(1e-3, labels.mean())
     weight = np.where(labels > 0, 0.3 / share, 1.0)
     weight = weight / weight.sum()
@@ -138,7 +145,8 @@ def train(rows: list[dict[int, float]], labels: np.ndarray, swaps: list[dict[int
         w = theta[:-1]
         p = 1 / (1 + np.exp(-np.clip(x.dot(w) + theta[-1], -60, 60)))
         e = (p - labels) * weight
-        g = np.append(x.dot_t(e) + 2 * l2 * w, e.sum())
+        empty = 1 / (1 + math.exp(-theta[-1]))  # a text with no known feature is clean
+        g = np.append(x.dot_t(e) + 2 * l2 * w, e.sum() + 0.1 * empty)
         if d.n:
             g[:-1] += d.dot_t(2 * fairness * d.dot(w) / d.n)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
@@ -146,14 +154,14 @@ def train(rows: list[dict[int, float]], labels: np.ndarray, swaps: list[dict[int
     return theta[:-1], float(theta[-1])
 
 
-def calibrate(z: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
-    """Scale and shift so that a score of THRESHOLD stands where F1 is best on the rows kept for this."""
+def calibrate(z: np.ndarray, labels: np.ndarray, bias: float) -> tuple[float, float]:
+    """Scale and shift so that a score of THRESHOLD stands where F1 is best on the rows kept for this, above an empty text."""
     order = np.argsort(-z)
     hits = np.cumsum(labels[order])
     f1 = 2 * hits / (np.arange(1, len(z) + 1) + max(1, labels.sum()))
     best = int(np.argmax(f1))
     below = z[order[best + 1]] if best + 1 < len(z) else z[order[best]] - 1
-    cut = 0.7 * below + 0.3 * z[order[best]]
+    cut = max(0.7 * below + 0.3 * z[order[best]], bias + 0.5)
     return 1.0, math.log(THRESHOLD / (1 - THRESHOLD)) - cut
 
 
@@ -210,13 +218,16 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_rows: int =
     kept = counts.where(df >= 3).orderBy(lift.desc(), "feature").limit(max_features).select("feature").collect()
     index = {r["feature"]: i for i, r in enumerate(kept)}
     spread = rows.repartition(24).mapInArrow(_vectors(index), "toxic int, check boolean, f array<int>, v array<float>, df array<int>, dv array<float>")
-    got = spread.toArrow().to_pylist()
-    vec = [dict(zip(r["f"], r["v"])) for r in got]
-    y, held = np.array([r["toxic"] for r in got], float), np.array([r["check"] for r in got])
-    swaps = [dict(zip(r["df"], r["dv"])) for r in got if r["df"] and not r["check"]]
-    w, b = train([x for x, h in zip(vec, held) if not h], y[~held], swaps, len(index))
-    on = held if y[held].sum() >= 5 else np.ones(len(y), bool)
-    scale, shift = calibrate(Rows([x for x, h in zip(vec, on) if h], len(index)).dot(w) + b, y[on])
+    got = spread.toArrow()
+    held = got.column("check").to_numpy()
+    learn, keep = got.filter(pa.array(~held)), got.filter(pa.array(held))
+    y, y_keep = (t.column("toxic").to_numpy().astype(float) for t in (learn, keep))
+    swaps = learn.filter(pc.greater(pc.list_value_length(learn.column("df")), 0))
+    x, d = Rows.of(learn.column("f"), learn.column("v"), len(index)), Rows.of(swaps.column("df"), swaps.column("dv"), len(index))
+    w, b = train(x, y, d)
+    if y_keep.sum() >= 5:
+        x, y = Rows.of(keep.column("f"), keep.column("v"), len(index)), y_keep
+    scale, shift = calibrate(x.dot(w) + b, y, b)
     return Model(index, w, b, scale, shift)
 
 
