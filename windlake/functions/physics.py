@@ -109,8 +109,10 @@ def grade(wpd: C) -> Column:
 
 
 def grade_text(wpd: C) -> Column:
-    g = grade(wpd)
-    return F.coalesce(F.element_at(F.array(*map(F.lit, GRADE_TEXT)), g), F.lit("cannot grade"))
+    g, out = grade(wpd), F.lit("cannot grade")
+    for i, text in enumerate(GRADE_TEXT, 1):
+        out = F.when(g == i, text).otherwise(out)
+    return out
 
 
 def p_values(p50: C, sigma: float) -> dict[str, Column]:

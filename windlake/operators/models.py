@@ -19,7 +19,7 @@ def split_by_time(df: DataFrame, test_ratio: float = 0.3, ts: str = "ts") -> tup
     """Train, test and the cut (one row, epoch microseconds): the interpolated quantile of all rows' times, never a random draw."""
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
     counts = df.groupBy(micros.alias("m")).agg(F.count(F.lit(1)).alias("w"))
-    cut = counts.agg(F.percentile("m", 1 - test_ratio, "w").alias("cut"))
+    cut = counts.agg(F.percentile("m", 1 - test_ratio, F.col("w")).alias("cut"))
     d = df.crossJoin(F.broadcast(cut)).withColumn("_m", micros)
     return d.where("_m <= cut").drop("cut", "_m"), d.where("_m > cut").drop("cut", "_m"), cut
 

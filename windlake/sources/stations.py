@@ -16,7 +16,7 @@ def parse_irregular_timestamp(text: Column | str) -> Column:
     """'20120101 1:00' to a timestamp: the date, plus the hour before the colon (24 is the next day's 0); minutes don't count."""
     s = F.trim(F.col(text) if isinstance(text, str) else text)
     hour = F.split(F.substring(s, 10, 100), ":")[0].cast("int")
-    return F.timestamp_add("HOUR", hour, F.to_timestamp(F.substring(s, 1, 8), F.lit("yyyyMMdd"))).cast("timestamp_ntz")
+    return F.timestamp_add("HOUR", hour, F.to_timestamp(F.substring(s, 1, 8), "yyyyMMdd")).cast("timestamp_ntz")
 
 
 def read_stations(spark: SparkSession, paths: str | Sequence[str], zones: Sequence[int] | None = None, task: int | None = None) -> DataFrame:
