@@ -1 +1 @@
-
+"""No streams: the reference work is batch only, so there is nothing to rebuild here."""
