@@ -197,6 +197,9 @@ def _split(width: int, finer: int):
     return run
 
 
+SOLVE_ROWS = 8192
+
+
 def _collections(width: int):
     """Rows come sorted by core; a collection that a batch may have cut is kept for the next one."""
 
@@ -212,12 +215,14 @@ def _collections(width: int):
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["d", "t", "start", "end"])
 
     def run(batches):
-        rest = None
+        rest, waiting, rows = None, [], 0
         for batch in batches:
-            table = pa.Table.from_batches([batch])
-            table = pa.concat_tables([rest, table]) if rest is not None else table
-            if not len(table):
+            waiting.append(pa.Table.from_batches([batch]))
+            rows += len(batch)
+            if rows < SOLVE_ROWS:  # a round costs little more for many members than for few
                 continue
+            table = pa.concat_tables([rest, *waiting] if rest is not None else waiting)
+            waiting, rows = [], 0
             core = table.column("core")
             keep, last = len(table), core[-1].as_py()
             while keep and core[keep - 1].as_py() == last:
@@ -225,8 +230,9 @@ def _collections(width: int):
             rest = table.slice(keep)
             if keep:
                 yield solve(table.slice(0, keep))
-        if rest is not None and len(rest):
-            yield solve(rest)
+        tables = ([rest] if rest is not None else []) + waiting
+        if sum(map(len, tables)):
+            yield solve(pa.concat_tables(tables))
 
     return run
 
@@ -254,24 +260,36 @@ def repeated_spans(spark: SparkSession, blocks: DataFrame, scratch: Scratch) ->
     return out
 
 
-def _remove(batches):
-    for batch in batches:
-        removed, runs, digests, kept_texts = [], [], [], []
-        for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist()):
-            data, kept, at, n = text.encode(), [], 0, 0
-            merged: list[list[int]] = []
-            for s in sorted(spans or (), key=lambda x: (x["start"], x["end"])):
-                if merged and s["start"] <= merged[-1][1]:
-                    merged[-1][1] = max(merged[-1][1], s["end"])
-                else:
-                    merged.append([s["start"], s["end"]])
-            for s, e in merged:
-                kept.append(data[at:s])
-                at, n = e, n + e - s
-            left = b"".join([*kept, data[at:]])
-            removed.append(n), runs.append(len(merged)), digests.append(sha256(left).hexdigest()), kept_texts.append(left)
-        arrays = [pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(digests, pa.string()), pa.array(kept_texts, pa.binary())]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *arrays], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+def merged_spans(start: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
+    """Spans that touch or overlap as one."""
+    if not len(start):
+        return []
+    order = np.argsort(start, kind="stable")
+    start, reach = start[order], np.maximum.accumulate(end[order])
+    cut = np.flatnonzero(start[1:] > reach[:-1]) + 1
+    return list(zip(start[np.append(0, cut)].tolist(), reach[np.append(cut - 1, len(reach) - 1)].tolist()))
+
+
+def _remove(with_text: bool):
+    def run(batches):
+        for batch in batches:
+            removed, runs, digests, kept_texts = [], [], [], []
+            spans = batch.column("spans").fill_null([])
+            offsets, flat = spans.offsets.to_numpy(), spans.values
+            start, end = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("start", "end"))
+            for i, text in enumerate(batch.column("text").to_pylist()):
+                data, digest, kept, at, n = text.encode(), sha256(), [], 0, 0
+                merged = merged_spans(start[offsets[i] : offsets[i + 1]], end[offsets[i] : offsets[i + 1]])
+                for s, e in [*merged, (len(data), len(data))]:
+                    digest.update(data[at:s])
+                    if with_text:
+                        kept.append(data[at:s])
+                    at, n = e, n + e - s
+                removed.append(n), runs.append(len(merged)), digests.append(digest.hexdigest()), kept_texts.append(b"".join(kept) if with_text else None)
+            arrays = [pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(digests, pa.string()), pa.array(kept_texts, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *arrays], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+
+    return run
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, with_text: bool = True) -> DataFrame:
@@ -301,7 +319,7 @@ def passage_dedup(spark: SparkSession, docs: DataFrame, with_text: bool = True)
     spans = repeated_spans(spark, blocks, scratch).groupBy("d", "t").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     spans = scratch.put(spans, "spans")
     done = "doc_id {}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary".format(id_type)
-    touched = work.where("hits is not null").join(spans, ["d", "t"], "left").select("doc_id", "n_bytes", "text", "spans").mapInArrow(_remove, done)
+    touched = work.where("hits is not null").join(spans, ["d", "t"], "left").select("doc_id", "n_bytes", "text", "spans").mapInArrow(_remove(with_text), done)
     whole = work.where("hits is null").select("doc_id", "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), "kept_sha256", F.encode("text", "UTF-8").alias("kept"))
     return touched.unionAll(whole)
 
