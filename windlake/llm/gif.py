@@ -7,6 +7,7 @@ memory is bounded by the canvas.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from hashlib import sha256
@@ -35,101 +36,116 @@ class Frame:
 
 def _pack_codes(codes: np.ndarray, widths: np.ndarray) -> bytes:
     """Codes of varying width, least significant bit first."""
-    ends = np.cumsum(widths)
-    bits = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint8)
-    starts = ends - widths
-    for b in range(12):
-        on = widths > b
-        bits[starts[on] + b] = (codes[on] >> b) & 1
-    return np.packbits(bits, bitorder="little").tobytes()
+    cuts = np.flatnonzero(np.diff(widths)) + 1
+    runs = [(c[:, None] >> np.arange(w[0]) & 1).astype(np.uint8).ravel() for c, w in zip(np.split(codes.astype(np.uint16), cuts), np.split(widths, cuts))]
+    return np.packbits(np.concatenate(runs), bitorder="little").tobytes()
 
 
 def lzw_encode(data: bytes, bits: int = 8) -> bytes:
     """The code stream of bytes below 2**bits: the table starts anew whenever it is full."""
     clear = 1 << bits
-    codes, sizes = [clear], []
-    emit = codes.append
-    table: dict[int, int] = {}
-    code = -1
-    free = clear + 2
-    for byte in data:
-        if code < 0:
-            code = byte
-            continue
-        key = code << 8 | byte
-        found = table.get(key)
-        if found is not None:
-            code = found
-            continue
+    codes, sizes = array("l", [clear << 8]), []
+    if data:
+        emit = codes.append
+        # codes are kept shifted by 8, so that a code and the next byte make a key by one operation
+        table: dict[int, int] = {}
+        get = table.get
+        free, full = (clear + 2) << 8, MAX_CODES << 8
+        code = data[0] << 8
+        for byte in data[1:]:
+            longer = get(code | byte)
+            if longer:
+                code = longer
+                continue
+            emit(code)
+            table[code | byte] = free
+            free += 256
+            if free == full:
+                emit(clear << 8)
+                table.clear()
+                sizes.append(len(codes))
+                free = (clear + 2) << 8
+            code = byte << 8
         emit(code)
-        table[key] = free
-        free += 1
-        if free == MAX_CODES:
-            emit(clear)
-            table = {}
-            sizes.append(len(codes))
-            free = clear + 2
-        code = byte
-    if code >= 0:
-        emit(code)
-    emit(clear + 1)
+    codes.append((clear + 1) << 8)
     sizes.append(len(codes))
     widths = np.empty(len(codes), np.int64)
     widths[0], at = bits + 1, 1
     for end in sizes:
-        # the k-th code after a clear is written while the table has clear + 1 + k entries (k from 1)
-        entries = clear + 1 + np.arange(end - at)
-        widths[at:end] = np.maximum(bits + 1, np.ceil(np.log2(entries + 1))).astype(np.int64)
+        widths[at:end] = _widths(bits, end - at)
         at = end
-    return _pack_codes(np.array(codes, np.int64), np.minimum(widths, 12))
+    return _pack_codes(np.frombuffer(codes, codes.typecode) >> 8, widths)
+
+
+def _widths(bits: int, n: int) -> np.ndarray:
+    """Bits of each of the n codes after a clear code: the k-th (from 1) comes when the table has 2**bits + k entries."""
+    key = bits, n
+    if key not in _WIDTHS:
+        if len(_WIDTHS) > 10_000:
+            _WIDTHS.clear()
+        entries = (1 << bits) + 1 + np.arange(n)
+        _WIDTHS[key] = np.clip(np.ceil(np.log2(entries + 1)), bits + 1, 12).astype(np.int64)
+    return _WIDTHS[key]
+
+
+_WIDTHS: dict[tuple[int, int], np.ndarray] = {}
+SEGMENT = MAX_CODES
 
 
 def lzw_decode(stream: bytes, bits: int, n: int) -> bytes:
-    """At most ``n`` bytes of a code stream."""
+    """At most ``n`` bytes of a code stream.
+
+    Where codes lie depends only on how many came since the last clear code, so they are read SEGMENT at a time.
+    """
     clear, end = 1 << bits, (1 << bits) + 1
+    raw = np.frombuffer(stream + b"\0\0\0", np.uint8).astype(np.int64)
+    total = len(stream) * 8
     roots = [bytes([i]) for i in range(clear)] + [b"", b""]
-    table = list(roots)
-    out: list[bytes] = []
+    table, out = list(roots), []
     put, add = out.append, table.append
-    width, limit = bits + 1, 1 << (bits + 1)
-    value = have = 0
-    previous = b""
-    position, size = 0, len(stream)
-    while True:
-        while have < width:
-            chunk = stream[position : position + 6]
-            if not chunk:
-                return b"".join(out)[:n]
-            value |= int.from_bytes(chunk, "little") << have
-            have += 8 * len(chunk)
-            position += len(chunk)
-        code = value & (limit - 1)
-        value >>= width
-        have -= width
-        if code == clear:
-            del table[clear + 2 :]
-            width, limit, previous = bits + 1, 1 << (bits + 1), b""
-            continue
-        if code == end:
-            return b"".join(out)[:n]
-        if not previous:
-            if code > clear:
+    previous, seen, position = b"", 0, 0  # seen: codes since the last clear code
+    widths = _widths(bits, SEGMENT)
+    while position < total:
+        width = widths[seen : seen + SEGMENT] if seen < SEGMENT else np.full(SEGMENT, 12, np.int64)
+        ends = position + np.cumsum(width)
+        k = int(np.searchsorted(ends, total, "right"))
+        starts = ends[:k] - width[:k]
+        at = starts >> 3
+        codes = (raw[at] | raw[at + 1] << 8 | raw[at + 2] << 16) >> (starts & 7) & ((1 << width[:k]) - 1)
+        stop = np.flatnonzero((codes == clear) | (codes == end))
+        last = int(stop[0]) if len(stop) else k
+        todo = codes[:last].tolist()
+        if todo and not previous:
+            if todo[0] > clear:
                 raise ValueError("a code stream starts with an unknown code")
-            previous = table[code]
+            previous = table[todo[0]]
             put(previous)
-            continue
-        if code < len(table):
-            entry = table[code]
-        elif code == len(table):
-            entry = previous + previous[:1]
-        else:
-            raise ValueError("a code stream has an unknown code")
-        put(entry)
-        if len(table) < MAX_CODES:
+            del todo[0]
+        room = MAX_CODES - len(table)
+        for code in todo[:room]:
+            try:
+                entry = table[code]
+            except IndexError:
+                if code != len(table):
+                    raise ValueError("a code stream has an unknown code") from None
+                entry = previous + previous[:1]
             add(previous + entry[:1])
-            if len(table) == limit and width < 12:
-                width, limit = width + 1, limit * 2
-        previous = entry
+            previous = entry
+        if todo[room:]:
+            previous = table[todo[-1]]
+        out += map(table.__getitem__, todo)
+        seen += last
+        if not len(stop):
+            if k < len(width):
+                break
+            position = int(ends[-1])
+            continue
+        if codes[last] == end:
+            break
+        position, seen, previous = int(ends[last]), 0, b""
+        table = list(roots)
+        add = table.append
+    return b"".join(out)[:n]
 
 
 def _blocks(data: bytes) -> bytes:
@@ -178,7 +194,7 @@ def decode(data: bytes) -> Iterator[Frame]:
         raise ValueError("not a GIF file")
     width, height, flags = int.from_bytes(data[6:8], "little"), int.from_bytes(data[8:10], "little"), data[10]
     common, at = _palette(data, 13, flags)
-    canvas = np.zeros((height, width, 4), np.uint8)
+    canvas = np.zeros((height, width), np.uint32)  # red, green, blue and alpha bytes of a pixel in one
     delay, disposal, transparent = 0, 0, None
     while data[at] != 0x3B:
         if data[at] == 0x21:
@@ -210,13 +226,13 @@ def decode(data: bytes) -> Iterator[Frame]:
         colours = np.zeros((256, 4), np.uint8)
         colours[: len(palette), :3], colours[: len(palette), 3] = palette, 255
         box = canvas[top : top + h, left : left + w]
-        drawn = colours[indices][: box.shape[0], : box.shape[1]]
+        drawn = colours.view(np.uint32)[:, 0][indices[: box.shape[0], : box.shape[1]]]
         if transparent is None:
             box[:] = drawn
         else:
             on = indices[: box.shape[0], : box.shape[1]] != transparent
             box[on] = drawn[on]
-        yield Frame(left, top, indices, delay, canvas)
+        yield Frame(left, top, indices, delay, canvas.view(np.uint8).reshape(height, width, 4))
         if disposal == 2:
             box[:] = 0
         elif disposal == 3:
@@ -263,9 +279,9 @@ def read_back(media: bytes) -> tuple[bytes, np.ndarray, int]:
     parts, histogram, time = [], np.zeros(64, np.int64), 0
     for f in decode(media):
         h, w = f.indices.shape
-        shown = f.rgba[f.top : f.top + h, f.left : f.left + w]
-        parts.append(shown[..., 0].tobytes())
-        histogram += np.bincount((shown[..., 0] >> 6).ravel(), minlength=4) @ GREY_BOXES
+        shown = np.ascontiguousarray(f.rgba[f.top : f.top + h, f.left : f.left + w, 0])
+        parts.append(shown.tobytes())
+        histogram += np.bincount(shown.ravel(), minlength=256).reshape(4, 64).sum(axis=1) @ GREY_BOXES
         time += f.delay_cs
     return b"".join(parts), histogram, time
 
