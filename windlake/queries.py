@@ -377,7 +377,7 @@ def a14(spark, d):
 
 
 @query("T2_top_bins", MOMENTS + BINS + f""", e as (select zone, v, 8760 * p * {PDF.format(k="k_mom", c="c_mom")} as energy from kc, b), rk as (select *, row_number() over (partition by zone order by round(energy, 6) desc, v) as rank from e)
-    select zone, round(v, 1) as v_mid, round(energy, 4) as energy_mwh, rank from rk where rank <= 8""")
+    select zone, round(v, 1) as v_mid, round(round(energy, 6), 4) as energy_mwh, rank from rk where rank <= 8""")
 def t2(spark, d):
     detail = resource.aep_detail(spark, weibull.fit_moments(speeds(spark, d), "ws100")).withColumn("energy_mwh", F.round("energy_mwh", 6))
     return resource.top_bins(detail).select("zone", F.round("v_mid", 1).alias("v_mid"), F.round("energy_mwh", 4).alias("energy_mwh"), "rank")
