@@ -1,9 +1,10 @@
 """Near-duplicates by b-bit MinHash: bands find candidates, packed low bits estimate, full shingle sets confirm.
 
 Texts with equal shingle sets are one class, so copies never meet each other in a bucket. Candidates are confirmed in
-two steps. First each class is held against one centre of each of its buckets, which joins dense groups at linear cost.
-Then, in buckets that still hold more than one component, all pairs across components are compared by their packed bits,
-in blocks, inside the tasks; only pairs whose estimate can't rule a link out are confirmed on full sets.
+three steps. First each class is held against one centre of each of its buckets, then against its likeliest partner in
+another component, both at linear cost, which joins dense groups. Then, in buckets that still hold more than one component, all pairs across components are compared by their packed bits,
+in blocks, inside the tasks, and by bitmaps of their shingles, which bound what two texts can share; only pairs that
+neither can rule out are confirmed on full sets.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ LONGS = K // LANES
 STAR_BANDS = 10  # bands of the first step; the second uses all
 LEAST_ESTIMATE = 0.56  # over five standard deviations of the estimate below 0.75
 BLOCK = 512
+MAP_BITS = 2048
 
 #: Disagreeing lanes above which a pair's collision-corrected estimate is under LEAST_ESTIMATE: equal low bits also come
 #: by chance, at 2**-BITS.
@@ -92,13 +94,17 @@ def packed_bits(minima: np.ndarray) -> np.ndarray:
     return (low << (np.arange(LANES, dtype=np.uint64) * np.uint64(BITS))).sum(axis=1, dtype=np.uint64).view(np.int64)
 
 
+def _digest(data: bytes) -> bytes:
+    return blake2b(data, digest_size=16).digest()
+
+
 def _sign(batches):
     for batch in batches:
         n, digest, bands, bits = [], [], [], []
         for text in batch.column("text").to_pylist():
             s = shingle_set(text)
             n.append(len(s))
-            digest.append(blake2b(s.tobytes(), digest_size=16).digest())
+            digest.append(_digest(s.tobytes()))
             least = min_hashes(s) if len(s) else None
             bands.append(band_keys(least).tolist() if len(s) else None)
             bits.append(packed_bits(least).tolist() if len(s) else None)
@@ -106,10 +112,19 @@ def _sign(batches):
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays], ["doc_id", "n_shingles", "digest", "bands", "bits"])
 
 
+def bitmap(shingles: np.ndarray) -> bytes:
+    """Which of MAP_BITS places the shingles fall on."""
+    on = np.zeros(MAP_BITS, bool)
+    on[(shingles >> np.uint64(20)) % np.uint64(MAP_BITS)] = True
+    return np.packbits(on).tobytes()
+
+
 def _sets(batches):
     for batch in batches:
-        sets = [shingle_set(t).tobytes() for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.binary())], ["id", "shingles"])
+        sets = [shingle_set(t) for t in batch.column("text").to_pylist()]
+        raw = [s.tobytes() for s in sets]
+        arrays = [pa.array(x, pa.binary()) for x in ([_digest(r) for r in raw], raw, map(bitmap, sets))]
+        yield pa.RecordBatch.from_arrays([batch.column("id"), *arrays, pa.array(map(len, sets), pa.int64())], ["id", "digest", "shingles", "map", "size"])
 
 
 def _confirm(batches):
@@ -137,33 +152,66 @@ def unequal_lanes(x: Column, y: Column) -> Column:
 _LOW = np.uint64(0x1111111111111111)
 
 
-def _compare(table: pa.Table) -> pa.Table:
-    """Pairs of one block, or of two, in different components and not ruled out by their bits."""
-    block, ids, label = (table.column(c).to_numpy() for c in ("block", "id", "label"))
-    bits = np.array(table.column("bits").to_pylist(), np.int64).view(np.uint64)
-    first = np.flatnonzero(block == block.min())
-    second = np.flatnonzero(block == block.max())
-    same = block.min() == block.max()
-    out: list[tuple[np.ndarray, np.ndarray]] = []
-    for at in range(0, len(first), 128):
-        rows = first[at : at + 128]
-        unequal = np.zeros((len(rows), len(second)), np.uint16)
-        for k in range(LONGS):
-            d = bits[rows, k][:, None] ^ bits[second, k][None, :]
-            d |= d >> np.uint64(2)
-            d |= d >> np.uint64(1)
-            unequal += np.bitwise_count(d & _LOW)
-        near = (unequal <= MOST_UNEQUAL) & (label[rows][:, None] != label[second][None, :])
-        if same:
-            near &= rows[:, None] < second[None, :]
-        i, j = np.nonzero(near)
-        out.append((ids[rows[i]], ids[second[j]]))
-    a, b = (np.concatenate([p[k] for p in out]) if out else np.zeros(0, np.int64) for k in (0, 1))
-    return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
+def _compare(best_only: bool):
+    def run(table: pa.Table) -> pa.Table:
+        """Pairs of one block, or of two, in different components, not ruled out by their bits, nor by their bitmaps: each
+        place that only one text falls on is a shingle that the other lacks, which bounds what they share."""
+        block, ids, label, size = (table.column(c).to_numpy() for c in ("block", "id", "label", "size"))
+        maps = np.frombuffer(b"".join(table.column("map").to_pylist()), np.uint64).reshape(len(ids), -1)
+        bits = np.array(table.column("bits").to_pylist(), np.int64).view(np.uint64)
+        first, second = np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
+        same = block.min() == block.max()
+        found: list[np.ndarray] = [np.zeros((3, 0), np.int64)]
+        for at in range(0, len(first), 128):
+            rows = first[at : at + 128]
+            unequal = np.zeros((len(rows), len(second)), np.uint16)
+            for k in range(LONGS):
+                d = bits[rows, k][:, None] ^ bits[second, k][None, :]
+                d |= d >> np.uint64(2)
+                d |= d >> np.uint64(1)
+                unequal += np.bitwise_count(d & _LOW)
+            near = (unequal <= MOST_UNEQUAL) & (label[rows][:, None] != label[second][None, :])
+            if same:
+                near &= rows[:, None] < second[None, :]
+            i, j = np.nonzero(near)
+            score, i, j = unequal[i, j].astype(np.int64), rows[i], second[j]
+            for part in range(0, len(i), 20_000):
+                x, y = i[part : part + 20_000], j[part : part + 20_000]
+                only_x, only_y = (np.bitwise_count(maps[p] & ~maps[q]).sum(axis=1, dtype=np.int64) for p, q in ((x, y), (y, x)))
+                shared = np.minimum(size[x] - only_x, size[y] - only_y)
+                ok = 100 * shared >= PERCENT * (size[x] + size[y] - shared)
+                found.append(np.stack([x[ok], y[ok], score[part : part + 20_000][ok]]))
+        x, y, score = np.concatenate(found, axis=1)
+        if best_only and len(x):  # each text's likeliest partner
+            order = np.argsort(score, kind="stable")
+            keep = np.unique(np.concatenate([order[np.unique(e[order], return_index=True)[1]] for e in (x, y)]))
+            x, y = x[keep], y[keep]
+        a, b = ids[x], ids[y]
+        return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
+
+    return run
+
+
+def _across(scratch: Scratch, members: DataFrame, profiles: DataFrame, links: DataFrame, name: str, best_only: bool) -> DataFrame:
+    """Candidate pairs across the components that the links so far make, from the buckets that hold several of them."""
+    labels = connected_components(scratch.spark, links).select(F.col("vertex").alias("id"), F.col("component").alias("label"))
+    if best_only:
+        members = members.where(F.col("band") < STAR_BANDS)
+    labelled = members.join(labels, "id", "left").select("id", "key", "n", F.coalesce("label", "id").alias("label"))
+    labelled = scratch.put(labelled, f"{name}-labelled")
+    mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
+    mixed = scratch.put(mixed, f"{name}-mixed")
+    blocks = F.when(F.col("n") <= BLOCK, 1).otherwise(F.ceil(F.col("n") * 2 / BLOCK)).cast("int")
+    open_ = labelled.join(mixed, "key").join(profiles, "id")
+    open_ = open_.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    carried = ["key", "id", "label", "bits", "map", "size", "block"]
+    spread = open_.select(*carried, other.alias("other")).select(*carried, F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    return scratch.put(spread.groupBy("key", "lo", "hi").applyInArrow(_compare(best_only), "a long, b long").distinct(), name)
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    left, right = sets.toDF("a", "sa"), sets.toDF("b", "sb")
+    left, right = (sets.select("id", "shingles").toDF(*names) for names in (("a", "sa"), ("b", "sb")))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(_confirm, "a long, b long")
 
 
@@ -190,27 +238,18 @@ def near_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
     ids = scratch.put(ids, "ids")
     few = ids.count() <= BROADCAST_IDS
     chosen = text.join(F.broadcast(ids) if few else ids, text["doc_id"] == ids["id"]).select("id", "text")
-    sets = scratch.put(chosen.mapInArrow(_sets, "id long, shingles binary"), "sets")  # an id with two texts has two sets: both are held against others
+    # an id with two texts has two sets: both are held against others
+    sets = scratch.put(chosen.mapInArrow(_sets, "id long, digest binary, shingles binary, map binary, size long"), "sets")
     bits = classes.select("id", "bits")
-
     stars = members.where((F.col("id") != F.col("centre")) & (F.col("band") < STAR_BANDS)).select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
     near = stars.join(bits.toDF("a", "xa"), "a").join(bits.toDF("b", "xb"), "b").where(unequal_lanes(F.col("xa"), F.col("xb")) <= MOST_UNEQUAL)
     star_links = scratch.put(_confirmed(near.select("a", "b"), sets), "star-links")
-    labels = connected_components(spark, star_links).select(F.col("vertex").alias("id"), F.col("component").alias("label"))
-    labelled = members.join(labels, "id", "left").select("id", "key", "n", F.coalesce("label", "id").alias("label"))
-    labelled = scratch.put(labelled, "labelled")
-    mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-    mixed = scratch.put(mixed, "mixed")
-
-    blocks = F.when(F.col("n") <= BLOCK, 1).otherwise(F.ceil(F.col("n") * 2 / BLOCK)).cast("int")
-    open_ = labelled.join(mixed, "key").join(bits, "id")
-    open_ = open_.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    spread = open_.select("key", "id", "label", "bits", "block", other.alias("other")).select("key", "id", "label", "bits", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
-    across = spread.groupBy("key", "lo", "hi").applyInArrow(_compare, "a long, b long").distinct()
-    across = scratch.put(across, "across")
-    links = star_links.unionAll(_confirmed(across, sets))
-    links = scratch.put(links, "links")
+    profiles = sets.select("id", "digest", "map", "size").join(classes.select("id", "digest", "bits"), ["id", "digest"]).drop("digest")
+    profiles = scratch.put(profiles, "profiles")
+    best = _across(scratch, members, profiles, star_links, "best", True)
+    links = scratch.put(star_links.unionAll(_confirmed(best, sets)), "best-links")
+    rest = _across(scratch, members, profiles, links, "rest", False)
+    links = scratch.put(links.unionAll(_confirmed(rest, sets)), "links")
 
     found = connected_components(spark, links)
     class_of = classes.select("digest", "id").join(found, classes["id"] == found["vertex"], "left").select("digest", F.coalesce("component", "id").alias("component"))
