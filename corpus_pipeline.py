@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from windlake.llm.common import Scratch, documents, one_of_each_id, without_ids
-from windlake.llm.exact_dedup import exact_dedup
+from windlake.llm.common import BROADCAST_IDS, Scratch, documents, one_of_each_key, without_keys
+from windlake.llm.exact_dedup import exact_dedup, text_digest
 from windlake.llm.near_dedup import near_dedup
 from windlake.llm.packing import pack_documents
 from windlake.llm.secret_scan import redact
@@ -19,15 +20,32 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, white space aside, the one with the smallest id stays; so does one of rows that repeat an id."""
-    dropped = Scratch(spark, "exact-stage").put(exact_dedup(spark, docs).where("not kept").select("doc_id"), "dropped")
-    return one_of_each_id(spark, without_ids(docs, dropped), "exact-stage")
+    """Of equal texts, white space aside, one row with the smallest id stays (one without an id if none has one). An id that
+    repeats with another text is another document."""
+    dropped = exact_dedup(spark, docs).where("not kept").select("doc_id", F.unhex("text_sha256").alias("_digest")).distinct()
+    dropped = Scratch(spark, "exact-stage").put(dropped, "dropped")
+    left = without_keys(docs.withColumn("_digest", text_digest()), dropped)
+    return one_of_each_key(spark, left, ["doc_id", "_digest"], "exact-stage").select(*docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near-duplicates, directly or by others, the one with the smallest id stays."""
-    dropped = Scratch(spark, "near-stage").put(near_dedup(spark, docs).where("not kept").select("doc_id"), "dropped")
-    return without_ids(docs, dropped)
+    """Of near-duplicates, directly or by others, the row with the smallest id stays. Each text of an id that repeats is
+    linked by itself: near_dedup gets a key of id and text in the id's place."""
+    scratch = Scratch(spark, "near-stage")
+    key = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text"))
+    found = near_dedup(spark, docs.select(key.alias("doc_id"), "text")).where("doc_id is not null").select(F.col("doc_id").alias("_key"), "component_id").distinct()
+    ids = docs.where("doc_id is not null").select(key.alias("_key"), "doc_id").distinct()
+    found = scratch.put(found, "found")
+    # a component of one needs no choice
+    shared = scratch.put(found.groupBy("component_id").count().where("count > 1").select("component_id"), "shared")
+    few = shared.count() <= BROADCAST_IDS
+    members = found.join(F.broadcast(shared) if few else shared, "component_id").join(ids, "_key")
+    members = scratch.put(members.select("component_id", "_key", "doc_id"), "members")
+    first = members.groupBy("component_id").agg(F.min(F.struct("doc_id", "_key")).alias("first")).select("component_id", F.col("first._key").alias("first"))
+    first = scratch.put(first, "first")
+    dropped = members.join(F.broadcast(first) if few else first, "component_id").where("_key <> first").select("_key")
+    dropped = scratch.put(dropped, "dropped")
+    return without_keys(docs.withColumn("_key", key), dropped).select(*docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -63,3 +63,15 @@ def test_run_and_odd_rows(spark, sf):
             assert frame.columns == COLUMNS
         left = sorted(frame.collect(), key=repr)
         assert [r.doc_id for r in left] in ([1, 3, None], [])
+
+
+def test_an_id_with_several_texts(spark, sf):
+    a, b = " ".join(f"alpha{i}" for i in range(60)), " ".join(f"beta{i}" for i in range(60))
+    made = [(3, b), (7, a), (7, b), (7, b), (8, "one text"), (8, "another text"), (None, b), (None, "no id"), (None, "no  id"), (9, a + " more")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in made], "doc_id long, text string, lang string, source string, n_chars long")
+    left = corpus_pipeline.exact(spark, docs, sf)
+    assert left.columns == COLUMNS
+    assert Counter((r.doc_id, r.text) for r in left.collect()) == Counter([(3, b), (7, a), (8, "one text"), (8, "another text"), (None, "no  id"), (9, a + " more")])
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in [(3, b), (7, a), (7, b + " more"), (9, a + " more"), (8, "x y z")]], docs.schema)
+    left = corpus_pipeline.near(spark, docs, sf)
+    assert Counter((r.doc_id, r.text) for r in left.collect()) == Counter([(3, b), (7, a), (8, "x y z")])

@@ -53,3 +53,12 @@ def test_op9(spark, sf):
     for r in R.op9_token_rollup(spark, sf).collect():
         got |= Counter({(r.source, r.lang, k): r[k] for k in R.MEASURES})
     assert got == want
+
+
+def test_op9_counts_every_text_of_an_id(spark, tmp_path):
+    tok = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
+    rows = [(7, "only here"), (7, "in both"), (7, "in both"), (3, "in both"), (None, "without an id"), (None, "in  both"), (8, "x"), (8, "longer than x")]
+    spark.createDataFrame([(i, t, "en", "s") for i, t in rows], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    left = ["only here", "in both", "without an id", "x", "longer than x"]
+    want = (len(left), sum(len(tok.encode(t, add_special_tokens=False).ids) for t in left), sum(map(len, left)))
+    assert [tuple(r[m] for m in R.MEASURES) for r in R.op9_token_rollup(spark, str(tmp_path)).collect()] == [want]

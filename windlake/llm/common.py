@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,17 +40,25 @@ def small_batches(spark: SparkSession, rows: int = 500) -> None:
 BROADCAST_IDS = 400_000
 
 
-def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id isn't in ids (one written column): a broadcast while the ids are few, else a shuffle."""
-    few = ids.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_anti")
+def without_keys(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of docs whose key isn't in gone (one written table with the key's columns), nulls equal to nulls: a broadcast
+    while the keys are few, else a shuffle."""
+    names = gone.columns
+    gone = gone.toDF(*(f"_gone_{c}" for c in names))
+    few = gone.count() <= BROADCAST_IDS
+    same = reduce(and_, (F.col(c).eqNullSafe(F.col(f"_gone_{c}")) for c in names))
+    return docs.join(F.broadcast(gone) if few else gone, same, "left_anti")
 
 
-def one_of_each_id(spark: SparkSession, docs: DataFrame, name: str) -> DataFrame:
-    """Of rows that repeat an id, one; only those rows are shuffled."""
-    again = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+def one_of_each_key(spark: SparkSession, docs: DataFrame, key: list[str], name: str) -> DataFrame:
+    """Of rows that repeat a key (null or not), the smallest by all columns in their order; only those rows are shuffled."""
+    again = docs.groupBy(*key).count().where("count > 1").select(*key)
     again = Scratch(spark, name).put(again, "again")
     if again.isEmpty():
         return docs
-    repeated = docs.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return without_ids(docs, again).unionByName(repeated)
+    once = again.toDF(*(f"_again_{c}" for c in key))
+    few = once.count() <= BROADCAST_IDS
+    same = reduce(and_, (F.col(c).eqNullSafe(F.col(f"_again_{c}")) for c in key))
+    repeated = docs.join(F.broadcast(once) if few else once, same, "left_semi")
+    repeated = repeated.groupBy(*(F.col(c).alias(f"_key_{c}") for c in key)).agg(F.min(F.struct(*docs.columns)).alias("_row")).select("_row.*")
+    return without_keys(docs, again).unionByName(repeated)

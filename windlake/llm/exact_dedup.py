@@ -21,6 +21,11 @@ def normalised(text: str | Column = "text") -> Column:
     return F.regexp_replace(text_or_empty(text), WHITE_SPACE, " ")
 
 
+def text_digest(text: str | Column = "text") -> Column:
+    """SHA-256 of the normalised text, as exact_dedup has it."""
+    return F.unhex(F.sha2(normalised(text), 256))
+
+
 def digest_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One narrow row for each document: id, SHA-256 and a check (byte length and another hash)."""
     text = docs.select(F.col(id_col).alias("doc_id"), normalised(text_col).alias("norm"))
