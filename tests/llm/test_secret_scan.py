@@ -57,3 +57,11 @@ def test_automata_know_formats():
     assert all(detector.gain(make()) > S.MARGIN for _ in range(50))
     assert all(detector.gain(w + "-" + v) < S.MARGIN for w, v in zip(words, words[1:]) if len(w + v) > 15)
     assert detector.gain("4012888888881881") < S.MARGIN
+
+
+def test_plain_text_is_all_of_every_text(spark):
+    texts = ["plain words " * 400 + "RARE-STYLE/0123 token=zzzz9999", "", "mehr Wörter", None] + [f"note {i} ABCD" for i in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    detector = S.fit(S.scan(spark, docs))
+    words = [w for t in texts for w in re.findall(r"[A-Za-z0-9+/_.=-]{4,}", t or "") if not S.base_spans(w)]
+    assert dict(detector.plain) == dict(S.Detector({}, words).plain) and "/" in detector.plain

@@ -13,6 +13,7 @@ import re
 from collections import Counter, defaultdict, deque
 from hashlib import sha256
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,6 +52,21 @@ def symbol(c: str) -> str:
     return "A" if c.isupper() else c
 
 
+#: What symbol() makes of the bytes of ASCII text.
+SYMBOLS = bytes(ord(symbol(chr(b))) if b < 128 else b for b in range(256))
+WORD = re.compile(r"[A-Za-z0-9+/_.=-]{4,}")
+
+
+def plain_symbols(text: str, base: list[tuple[str, int, int, str]]) -> Counter:
+    """How often each symbol occurs in the text's words, those that touch a base span aside."""
+    if base:
+        words = [m[0] for m in WORD.finditer(text) if not any(s < m.end() and m.start() < e for _, s, e, _ in base)]
+    else:
+        words = WORD.findall(text)
+    n = np.bincount(np.frombuffer("".join(words).encode().translate(SYMBOLS), np.uint8))
+    return Counter({chr(b): int(n[b]) for b in n.nonzero()[0]})
+
+
 class Automaton:
     """States with the counts of their next symbols and of strings that end there."""
 
@@ -134,11 +150,11 @@ class Automaton:
 
 
 class Detector:
-    """An automaton for each kind, and the symbol frequencies of plain words."""
+    """An automaton for each kind, and the symbol frequencies of plain words (or the words)."""
 
-    def __init__(self, credentials: dict[str, list[str]], plain: list[str]):
+    def __init__(self, credentials: dict[str, list[str]], plain: list[str] | Counter):
         self.formats = {k: Automaton(v).merge_states() for k, v in sorted(credentials.items()) if len(v) >= 8}
-        freq = Counter(symbol(c) for s in plain for c in s)
+        freq = plain if isinstance(plain, Counter) else Counter(symbol(c) for s in plain for c in s)
         n = freq.total() + 1
         self.plain = defaultdict(lambda: math.log(0.5 / n), {c: math.log(k / n) for c, k in freq.items()})
         self.floor = math.log(0.5 / n)
@@ -161,25 +177,28 @@ class Detector:
 
 SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("value", pa.string())])
 SPAN_SQL = "array<struct<kind: string, start: bigint, end: bigint, value: string>>"
+COUNT = pa.struct([("symbol", pa.string()), ("n", pa.int64())])
+COUNT_SQL = "array<struct<symbol: string, n: bigint>>"
 
 
 def _scan(batches):
     for batch in batches:
-        spans, candidates = [], []
+        spans, candidates, plain = [], [], []
         for text in batch.column("text").to_pylist():
             base = base_spans(text)
             spans.append([dict(zip(("kind", "start", "end", "value"), s)) for s in base])
+            plain.append([{"symbol": c, "n": n} for c, n in plain_symbols(text, base).items()])
             taken = [(s, e) for _, s, e, _ in base]
             found = (m for m in CANDIDATE.finditer(text))
             candidates.append([{"kind": ADDED, "start": m.start(), "end": m.end(), "value": m[0]} for m in found if not any(s < m.end() and m.start() < e for s, e in taken)])
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(spans, pa.list_(SPAN)), pa.array(candidates, pa.list_(SPAN))], ["doc_id", "base", "candidates"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(spans, pa.list_(SPAN)), pa.array(candidates, pa.list_(SPAN)), pa.array(plain, pa.list_(COUNT))], ["doc_id", "base", "candidates", "plain"])
 
 
 def scan(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """doc_id, base (the patterns' spans), candidates: one pass over the whole texts."""
+    """doc_id, base (the patterns' spans), candidates, plain (symbol counts): one pass over the whole texts."""
     small_batches(spark)
     text = docs.select("doc_id", text_or_empty().alias("text"))
-    return text.mapInArrow(_scan, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, base {SPAN_SQL}, candidates {SPAN_SQL}")
+    return text.mapInArrow(_scan, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, base {SPAN_SQL}, candidates {SPAN_SQL}, plain {COUNT_SQL}")
 
 
 def _about(df: DataFrame, wanted: int, *key: str) -> DataFrame:
@@ -188,16 +207,15 @@ def _about(df: DataFrame, wanted: int, *key: str) -> DataFrame:
     return df.where(F.pmod(F.xxhash64(F.lit(5), *key), F.lit(every)) == 0)
 
 
-def fit(scanned: DataFrame, docs: DataFrame, per_kind: int = SAMPLE_PER_KIND) -> Detector:
+def fit(scanned: DataFrame, per_kind: int = SAMPLE_PER_KIND) -> Detector:
     """Learns the formats from at most ``per_kind`` distinct credentials of each kind, those with the smallest hashes of a
-    sample by hash, and plain text from the starts of at most 200 documents chosen alike."""
+    sample by hash, and plain text from the words of every whole text: one row for each symbol reaches the driver."""
     values = scanned.select(F.explode("base").alias("s")).select("s.kind", "s.value").where(F.length("value") <= 512).distinct()
     values = Scratch(scanned.sparkSession, "secrets").put(values, "values")
     few = {k: _about(values.where(F.col("kind") == k), per_kind, "value") for k in KINDS}
     sample = {k: [r["value"] for r in v.orderBy(F.xxhash64("value"), "value").limit(per_kind).collect()] for k, v in few.items()}
-    starts = _about(docs, 200, "doc_id").select("doc_id", F.substring(text_or_empty(), 1, 2000).alias("t")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(200)
-    words = [w for r in starts.select("t").collect() for w in re.findall(r"[A-Za-z0-9+/_.=-]{4,}", r["t"]) if not base_spans(w)]
-    return Detector(sample, words)
+    plain = scanned.select(F.explode("plain").alias("p")).groupBy("p.symbol").agg(F.sum("p.n").alias("n"))
+    return Detector(sample, Counter({r["symbol"]: r["n"] for r in plain.collect()}))
 
 
 def _detect(detector):
@@ -218,7 +236,7 @@ def find_secrets(spark: SparkSession, docs: DataFrame, per_kind: int = SAMPLE_PE
     columns are ignored; an empty table gives an empty result, and without labelled credentials nothing is added.
     """
     scanned = Scratch(spark, "secrets").put(scan(spark, docs), "scanned")
-    detector = spark.sparkContext.broadcast(fit(scanned, docs, per_kind))
+    detector = spark.sparkContext.broadcast(fit(scanned, per_kind))
     return scanned.mapInArrow(_detect(detector), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, base {SPAN_SQL}, added {SPAN_SQL}")
 
 
@@ -249,8 +267,8 @@ def _redact(detector):
 
 def redact(spark: SparkSession, docs: DataFrame, per_kind: int = SAMPLE_PER_KIND) -> DataFrame:
     """The rows of docs with MASK in place of every span, and n_chars, where there is one, as the text now is."""
-    scanned = Scratch(spark, "redact").put(scan(spark, docs).select("doc_id", "base"), "scanned")
-    detector = spark.sparkContext.broadcast(fit(scanned, docs, per_kind))
+    scanned = Scratch(spark, "redact").put(scan(spark, docs).select("base", "plain"), "scanned")
+    detector = spark.sparkContext.broadcast(fit(scanned, per_kind))
     out = docs.mapInArrow(_redact(detector), docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
