@@ -65,3 +65,25 @@ def test_plain_text_is_all_of_every_text(spark):
     detector = S.fit(S.scan(spark, docs))
     words = [w for t in texts for w in re.findall(r"[A-Za-z0-9+/_.=-]{4,}", t or "") if not S.base_spans(w)]
     assert dict(detector.plain) == dict(S.Detector({}, words).plain) and "/" in detector.plain
+
+
+def test_every_run_is_scored_and_both_stages_agree(spark):
+    """All runs from 6 characters up, without a digit or with a late one, and what base spans leave of a run."""
+    rnd = random.Random(5)
+    make = lambda n: "".join(rnd.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(n))
+    texts = ["token=" + make(n) for n in range(6, 15) for _ in range(40)] + ["only lower case words stand here in rows"] * 400
+    texts += ["see " + make(8) + " there", make(12), make(5), "Q" * 250 + "1", "zz " + make(9) + "/" + "a1" * 15 + "/" + make(9)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    detector = S.fit(S.scan(spark, docs))
+    found = {r.doc_id: r for r in S.find_secrets(spark, docs).collect()}
+    added = {i: [(s.start, s.end) for s in r.added] for i, r in found.items()}
+    assert added[760] == [(4, 12)] and added[761] == [(0, 12)] and added[762] == []
+    for i, text in enumerate(texts):
+        free = "".join("\n" if any(s.start <= j < s.end for s in found[i].base) else c for j, c in enumerate(text))
+        assert added[i] == [m.span() for m in re.finditer(r"[A-Za-z0-9+/_.=-]{6,}", free) if detector.gain(m[0]) >= S.MARGIN]
+    for r in S.redact(spark, docs).collect():
+        spans, at, parts = sorted((s.start, s.end) for s in found[r.doc_id].base + found[r.doc_id].added), 0, []
+        for s, e in spans:
+            parts += [texts[r.doc_id][at:s], S.MASK] if s >= at else []
+            at = max(at, e)
+        assert r.text == "".join(parts) + texts[r.doc_id][at:]

@@ -25,8 +25,9 @@ KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-#: A candidate: a run of credential characters of at least 16, with a digit.
-CANDIDATE = re.compile(r"(?=[A-Za-z+/_.=-]{0,200}[0-9])[A-Za-z0-9+/_.=-]{16,}")
+#: A candidate: a maximal run of credential characters, or what base spans leave of it, from the shortest base length up.
+SHORTEST = 6
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{6,}")
 ADDED = "grammar"
 
 SAMPLE_PER_KIND = 3_000  # credentials that an automaton is learnt from, those with the smallest hashes
@@ -54,6 +55,7 @@ def symbol(c: str) -> str:
 
 #: What symbol() makes of the bytes of ASCII text.
 SYMBOLS = bytes(ord(symbol(chr(b))) if b < 128 else b for b in range(256))
+ASCII_SYMBOLS = {b: SYMBOLS[b] for b in range(128)}
 WORD = re.compile(r"[A-Za-z0-9+/_.=-]{4,}")
 
 
@@ -158,12 +160,14 @@ class Detector:
         n = freq.total() + 1
         self.plain = defaultdict(lambda: math.log(0.5 / n), {c: math.log(k / n) for c, k in freq.items()})
         self.floor = math.log(0.5 / n)
+        self._known: dict[str, float] = {}
 
     def __getstate__(self):
         return self.formats, dict(self.plain), self.floor
 
     def __setstate__(self, state):
         self.formats, self.plain, self.floor = state
+        self._known = {}
 
     def gain(self, s: str) -> float:
         """How much better the best format explains a string than plain text does, in nats for each symbol."""
@@ -174,6 +178,36 @@ class Detector:
         base = sum(self.plain.get(symbol(c), self.floor) for c in s) / len(s)
         return max(a.log_likelihood(s) for a in self.formats.values()) - base
 
+    def fits(self, s: str) -> bool:
+        """Whether a candidate's gain reaches MARGIN; strings of equal symbols share an answer."""
+        key = s.translate(ASCII_SYMBOLS)
+        if len(key) > 64:
+            return self.gain(key) >= MARGIN
+        found = self._known.get(key)
+        if found is None:
+            if len(self._known) > 200_000:
+                self._known = {}
+            found = self._known[key] = self.gain(key) >= MARGIN
+        return found
+
+    def spans(self, text: str) -> tuple[list[tuple[str, int, int, str]], list[tuple[str, int, int, str]]]:
+        """The base spans, and the candidates outside of them that fit a format."""
+        base, added, at = base_spans(text), [], 0
+        taken = sorted((s, e) for _, s, e, _ in base)
+        for m in CANDIDATE.finditer(text):
+            start, end = m.span()
+            while at < len(taken) and taken[at][1] <= start:
+                at += 1
+            i = at
+            while start < end:
+                while i < len(taken) and taken[i][1] <= start:
+                    i += 1
+                stop = min(end, max(start, taken[i][0])) if i < len(taken) else end
+                if stop - start >= SHORTEST and self.fits(text[start:stop]):
+                    added.append((ADDED, start, stop, text[start:stop]))
+                start = taken[i][1] if stop < end else end
+        return base, added
+
 
 SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("value", pa.string())])
 SPAN_SQL = "array<struct<kind: string, start: bigint, end: bigint, value: string>>"
@@ -181,24 +215,24 @@ COUNT = pa.struct([("symbol", pa.string()), ("n", pa.int64())])
 COUNT_SQL = "array<struct<symbol: string, n: bigint>>"
 
 
+def _listed(spans: list[tuple[str, int, int, str]]) -> list[dict]:
+    return [dict(zip(("kind", "start", "end", "value"), s)) for s in spans]
+
+
 def _scan(batches):
     for batch in batches:
-        spans, candidates, plain = [], [], []
+        spans, plain = [], []
         for text in batch.column("text").to_pylist():
             base = base_spans(text)
-            spans.append([dict(zip(("kind", "start", "end", "value"), s)) for s in base])
+            spans.append(_listed(base))
             plain.append([{"symbol": c, "n": n} for c, n in plain_symbols(text, base).items()])
-            taken = [(s, e) for _, s, e, _ in base]
-            found = (m for m in CANDIDATE.finditer(text))
-            candidates.append([{"kind": ADDED, "start": m.start(), "end": m.end(), "value": m[0]} for m in found if not any(s < m.end() and m.start() < e for s, e in taken)])
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(spans, pa.list_(SPAN)), pa.array(candidates, pa.list_(SPAN)), pa.array(plain, pa.list_(COUNT))], ["doc_id", "base", "candidates", "plain"])
+        yield pa.RecordBatch.from_arrays([pa.array(spans, pa.list_(SPAN)), pa.array(plain, pa.list_(COUNT))], ["base", "plain"])
 
 
 def scan(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """doc_id, base (the patterns' spans), candidates, plain (symbol counts): one pass over the whole texts."""
+    """base (the patterns' spans), plain (symbol counts) of each row: one pass over the whole texts."""
     small_batches(spark)
-    text = docs.select("doc_id", text_or_empty().alias("text"))
-    return text.mapInArrow(_scan, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, base {SPAN_SQL}, candidates {SPAN_SQL}, plain {COUNT_SQL}")
+    return docs.select(text_or_empty().alias("text")).mapInArrow(_scan, f"base {SPAN_SQL}, plain {COUNT_SQL}")
 
 
 def _about(df: DataFrame, wanted: int, *key: str) -> DataFrame:
@@ -221,10 +255,9 @@ def fit(scanned: DataFrame, per_kind: int = SAMPLE_PER_KIND) -> Detector:
 def _detect(detector):
     def run(batches):
         for batch in batches:
-            out = []
-            for found in batch.column("candidates").to_pylist():
-                out.append([s for s in found if detector.value.gain(s["value"]) >= MARGIN])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("base"), pa.array(out, pa.list_(SPAN))], ["doc_id", "base", "added"])
+            found = [detector.value.spans(text) for text in batch.column("text").to_pylist()]
+            base, added = (pa.array([_listed(f[i]) for f in found], pa.list_(SPAN)) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), base, added], ["doc_id", "base", "added"])
 
     return run
 
@@ -237,7 +270,8 @@ def find_secrets(spark: SparkSession, docs: DataFrame, per_kind: int = SAMPLE_PE
     """
     scanned = Scratch(spark, "secrets").put(scan(spark, docs), "scanned")
     detector = spark.sparkContext.broadcast(fit(scanned, per_kind))
-    return scanned.mapInArrow(_detect(detector), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, base {SPAN_SQL}, added {SPAN_SQL}")
+    text = docs.select("doc_id", text_or_empty().alias("text"))
+    return text.mapInArrow(_detect(detector), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, base {SPAN_SQL}, added {SPAN_SQL}")
 
 
 MASK = "[secret]"
@@ -251,10 +285,9 @@ def _redact(detector):
                 if text is None:
                     texts.append(None)
                     continue
-                spans = [(s, e) for _, s, e, _ in base_spans(text)]
-                more = [(m.start(), m.end()) for m in CANDIDATE.finditer(text) if detector.value.gain(m[0]) >= MARGIN]
+                base, added = detector.value.spans(text)
                 at, parts = 0, []
-                for s, e in sorted(spans + more):
+                for s, e in sorted((s, e) for _, s, e, _ in base + added):
                     if s >= at:
                         parts += [text[at:s], MASK]
                     at = max(at, e)
@@ -267,7 +300,7 @@ def _redact(detector):
 
 def redact(spark: SparkSession, docs: DataFrame, per_kind: int = SAMPLE_PER_KIND) -> DataFrame:
     """The rows of docs with MASK in place of every span, and n_chars, where there is one, as the text now is."""
-    scanned = Scratch(spark, "redact").put(scan(spark, docs).select("base", "plain"), "scanned")
+    scanned = Scratch(spark, "redact").put(scan(spark, docs), "scanned")
     detector = spark.sparkContext.broadcast(fit(scanned, per_kind))
     out = docs.mapInArrow(_redact(detector), docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
