@@ -70,3 +70,7 @@ def test_odd_rows(spark, made):
     assert T.score(spark, odd.limit(0), model).count() == 0
     none = T.fit(spark, docs, labels.limit(0))
     assert none.score("idiot") < 0.3
+
+
+def test_bounds_were_not_lowered_to_fit_memory():
+    assert (T.MAX_TRAINING_ROWS, T.MAX_FEATURES) == (24_000, 30_000) and T.fit.__defaults__ == (24_000, 30_000)
