@@ -580,6 +580,13 @@ def q7(spark, d):
     return connected_components(spark, o.select(F.col("o_custkey").cast("long").alias("a"), F.expr("o_custkey div 3 * 2 + 1").alias("b")))
 
 
+@query("Q7_components_all_orders")
+def q7_all(spark, d):
+    """As Q7, over every order; its recursive SQL would hold all pairs of a component, so a test holds it against union-find."""
+    o = spark.read.parquet(f"{d}/orders.parquet")
+    return connected_components(spark, o.select(F.col("o_custkey").cast("long").alias("a"), F.expr("o_custkey div 3 * 2 + 1").alias("b")))
+
+
 @query("Q8_within_group_correlation", CORR + SAME + " select x.group_id, round(max(corr), 4) as max_corr, round(avg(corr), 4) as mean_corr from pc join gr x on x.station = station_a join gr y on y.station = station_b and x.group_id = y.group_id where corr is not null group by 1")
 def q8(spark, d):
     w = wind_view(spark, d)
@@ -672,6 +679,13 @@ def t3(spark, d):
     return union_stations([w.where(F.col("zone") == z) for z in (1, 2, 7)])
 
 
+@query("T3_union_all_stations", "select zone, ts, power from wind")
+def t3_all(spark, d):
+    w = wind_view(spark, d).select("zone", "ts", "power")
+    zones = sorted(r["zone"] for r in w.select("zone").distinct().collect())
+    return union_stations([w.where(F.col("zone") == z) for z in zones])
+
+
 @query("T4_control_stations", SAME + " select distinct zone as station from wind where zone not in (select station from gr)")
 def t4(spark, d):
     w = wind_view(spark, d)
