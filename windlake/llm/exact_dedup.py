@@ -1,4 +1,4 @@
-"""Exact dedup: a tree merge of sorted digest runs, with DataFrame functions only.
+"""Exact dedup: digest runs joined in rounds of hash aggregations, with DataFrame functions only.
 
 Every row's normalised text becomes a digest; the rows are dealt into runs, and runs are merged ``fan_in`` at a time in
 rounds. A merge keeps, for each digest, the smallest id and the number of rows, so a group of any size is one row for
@@ -38,7 +38,7 @@ def digest_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def merge_runs(digests: DataFrame, runs: int = 64, fan_in: int = 8) -> DataFrame:
-    """The smallest id and the row count of each digest, by merging ``fan_in`` sorted runs at a time until one is left."""
+    """The smallest id and the row count of each digest, by aggregating ``fan_in`` runs at a time until one is left."""
     keys = ["run", "digest", "length", "check"]
     merged = (
         digests.withColumn("run", hash_group(runs, "doc_id"))
