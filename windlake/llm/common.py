@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Hashable
 from functools import reduce
 from operator import and_
+from typing import TypeVar
 
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +16,8 @@ from windlake.sources.scratch import Scratch, shared_dir
 
 __all__ = ["Scratch", "shared_dir"]
 
+T = TypeVar("T")
+
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -31,9 +36,28 @@ def hash_group(n: int, *cols: str | Column, seed: int = 0) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), *cols), F.lit(n)).cast("int")
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Texts can be long: Python workers get few rows at a time, so their memory stays bounded."""
+def small_batches(spark: SparkSession, rows: int = 500, size: int = 16 << 20) -> None:
+    """Texts can be long: Python workers get few rows and bytes at a time, so their memory stays bounded. These are settings
+    of the session, as Spark has none for a single job."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+
+
+_KEPT: dict = {}
+_KEPT_OF: list = [None]
+
+
+def kept_in_stage(key: Hashable, make: Callable[[], T]) -> T:
+    """A value that a Python worker keeps between tasks of one stage, such as a cache. Workers outlive stages: the first call
+    of another stage lets go of everything, so that a long job's stages don't add up in an executor's memory."""
+    task = TaskContext.get()
+    stage = task.stageId() if task else None
+    if _KEPT_OF[0] != stage:
+        _KEPT.clear()
+        _KEPT_OF[0] = stage
+    if key not in _KEPT:
+        _KEPT[key] = make()
+    return _KEPT[key]
 
 
 #: Up to so many ids (8 bytes each, some tens of MB as a hash table) a join with texts may be a broadcast.

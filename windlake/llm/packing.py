@@ -6,6 +6,8 @@ each group is packed on its own. Only (id, start, length) rows are shuffled, nev
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -41,33 +43,34 @@ def first_fit_decreasing(sizes: list[int], capacity: int) -> tuple[list[int], li
     return bins, offsets
 
 
-PIECES = "doc_id {id}, start long, length long, doc_tokens long, ids binary"
+PIECES = "doc_id {id}, start long, length long, doc_tokens long, ids binary, ids_crc32 long"
 
 
-def _cut(path: str, kind: str, capacity: int, end_id: int | None):
+def _cut(path: str, kind: str, capacity: int, end_id: int | None, with_ids: bool):
     def run(batches):
-        enc = encoder(path, kind)
         for batch in batches:
-            of, start, length, total, ids = [], [], [], [], []
+            enc = encoder(path, kind)
+            of, start, length, total, ids, crc = [], [], [], [], [], []
             for i, x in enumerate(enc.encode(batch.column("text").to_pylist())):
                 if end_id is not None:
                     x = np.append(x, np.uint32(end_id))
                 for s in range(0, len(x), capacity):
-                    piece = x[s : s + capacity]
-                    of.append(i), start.append(s), length.append(len(piece)), total.append(len(x)), ids.append(piece.astype("<u4").tobytes())
+                    piece = x[s : s + capacity].astype("<u4", copy=False).tobytes()
+                    of.append(i), start.append(s), length.append(len(piece) // 4), total.append(len(x)), ids.append(piece if with_ids else None), crc.append(zlib.crc32(piece))
+            longs = [pa.array(x, pa.int64()) for x in (start, length, total)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(pa.array(of, pa.int64())), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(total, pa.int64()), pa.array(ids, pa.binary())],
-                ["doc_id", "start", "length", "doc_tokens", "ids"],
+                [batch.column("doc_id").take(pa.array(of, pa.int64())), *longs, pa.array(ids, pa.binary()), pa.array(crc, pa.int64())],
+                ["doc_id", "start", "length", "doc_tokens", "ids", "ids_crc32"],
             )
 
     return run
 
 
-def token_pieces(spark: SparkSession, docs: DataFrame, path: str, kind: str = "byte", capacity: int = SEQUENCE, end_id: int | None = END_ID) -> DataFrame:
-    """Each document's ids (little-endian unsigned 32-bit), cut at multiples of ``capacity``."""
+def token_pieces(spark: SparkSession, docs: DataFrame, path: str, kind: str = "byte", capacity: int = SEQUENCE, end_id: int | None = END_ID, with_ids: bool = True) -> DataFrame:
+    """Each document's ids (little-endian unsigned 32-bit; only their CRC-32 if not asked for), cut at multiples of ``capacity``."""
     small_batches(spark)
     text = docs.select("doc_id", text_or_empty().alias("text"))
-    return text.mapInArrow(_cut(path, kind, capacity, end_id), PIECES.format(id=docs.schema["doc_id"].dataType.simpleString()))
+    return text.mapInArrow(_cut(path, kind, capacity, end_id, with_ids), PIECES.format(id=docs.schema["doc_id"].dataType.simpleString()))
 
 
 def _pack(capacity: int):
@@ -80,11 +83,12 @@ def _pack(capacity: int):
     return run
 
 
-def pack_pieces(pieces: DataFrame, n_rows: int, capacity: int = SEQUENCE, per_group: int = 8192, seed: int = 4) -> DataFrame:
-    """Adds sequence_id and offset to pieces with a ``length`` of at most ``capacity``."""
+def pack_pieces(pieces: DataFrame, n_rows: int, row: str, capacity: int = SEQUENCE, per_group: int = 8192, seed: int = 4) -> DataFrame:
+    """Adds sequence_id and offset to pieces with a ``length`` of at most ``capacity``. Groups are drawn by ``row``, a number
+    that no two pieces share, so that no id, null or often repeated, makes a large group; it is dropped."""
     n = groups_for(n_rows, per_group)
-    columns = [f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields]
-    grouped = pieces.withColumn("_group", hash_group(n, "doc_id", "start", seed=seed).cast("long")).groupBy("_group")
+    columns = [f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields if f.name != row]
+    grouped = pieces.withColumn("_group", hash_group(n, row, seed=seed).cast("long")).drop(row).groupBy("_group")
     return grouped.applyInArrow(_pack(capacity), ", ".join([*columns, "sequence_id long", "offset long"]))
 
 
@@ -95,10 +99,10 @@ def pack_documents(spark: SparkSession, docs: DataFrame, path: str | None = None
     empty and is the end id alone. Repeated rows are packed each on their own; null ids are packed like others; other
     columns are ignored; an empty table gives an empty result. Sequence ids are unique, not gapless.
     """
-    pieces = token_pieces(spark, docs, path or tokenizer_path("byte_bpe_50k.json"), capacity=capacity)
-    rows = pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
-    rows = Scratch(spark, "packing").put(rows, "pieces")
-    return pack_pieces(rows, rows.count(), capacity)
+    pieces = token_pieces(spark, docs, path or tokenizer_path("byte_bpe_50k.json"), capacity=capacity, with_ids=False)
+    rows = pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", F.monotonically_increasing_id().alias("_row"))
+    rows = Scratch(spark, "packing").put(rows, "pieces")  # written: a row keeps its number
+    return pack_pieces(rows, rows.count(), "_row", capacity)
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
