@@ -42,11 +42,15 @@ class TokenRollup:
         done = self.spark._jvm.org.apache.hadoop.fs.Path
         return sorted(p.getName() for p in names if fs.exists(done(p, "_SUCCESS")))
 
-    def current(self, batches: list[str]) -> DataFrame | None:
-        """What the ledger says of each document after these batches."""
+    def current(self, batches: list[str], only: DataFrame | None = None) -> DataFrame | None:
+        """What the ledger says of each document after these batches, or only of the keys and tokenizers in ``only`` (columns
+        with the prefix _new_): then no other rows of the ledger are aggregated."""
         if not batches:
             return None
         log = self.spark.read.parquet(*(f"{self.path}/ledger/{b}" for b in batches))
+        if only is not None:
+            same = reduce(and_, (F.col(c).eqNullSafe(F.col(f"_new_{c}")) for c in (*self.key, "tokenizer")))
+            log = log.join(only, same, "left_semi")
         state = log.groupBy(*self.key, *GROUP).agg(*(F.sum(m).alias(m) for m in MEASURES))
         return state.where("docs > 0")
 
@@ -64,17 +68,18 @@ class TokenRollup:
             raise ValueError(f"batch {batch} comes after {done[-1]} by time but not by name")
         what = F.struct("tokens", "bytes", "source", "lang")
         new = changes.where(reduce(or_, (F.col(k).isNotNull() for k in self.key))).groupBy(*self.key, "tokenizer").agg(F.max(what).alias("new"))
+        scratch = Scratch(self.spark, "token-rollup-batch")
+        new = scratch.put(new, "new")  # read twice below; counting tokens twice would double the work
         signed = [new.where("new.tokens is not null").select(*self.key, "new.source", "new.lang", "tokenizer", F.lit(1).cast("long").alias("docs"), F.col("new.tokens").cast("long").alias("tokens"), F.col("new.bytes").cast("long").alias("bytes"))]
-        old = self.current(done)
-        if old is not None:
-            revised = new.select(*(F.col(c).alias(f"_new_{c}") for c in (*self.key, "tokenizer")))
-            same = reduce(and_, (F.col(c).eqNullSafe(F.col(f"_new_{c}")) for c in (*self.key, "tokenizer")))
-            back = old.join(revised, same, "left_semi")
+        revised = new.select(*(F.col(c).alias(f"_new_{c}") for c in (*self.key, "tokenizer")))
+        back = self.current(done, revised)
+        if back is not None:
             signed.append(back.select(*self.key, *GROUP, *((-F.col(m)).alias(m) for m in MEASURES)))
         rows = signed[0] if len(signed) == 1 else signed[0].unionByName(signed[1])
         rows.write.mode("overwrite").parquet(f"{self.path}/ledger/{batch}")
         log = self.spark.read.schema(rows.schema).parquet(f"{self.path}/ledger/{batch}")
         log.groupBy(*GROUP).agg(*(F.sum(m).alias(m) for m in MEASURES)).write.mode("overwrite").parquet(f"{self.path}/sums/{batch}")
+        scratch.drop("new")
         return True
 
     def totals(self) -> DataFrame:
@@ -91,8 +96,8 @@ def token_counts(spark: SparkSession, docs: DataFrame, path: str, kind: str, tok
     small_batches(spark)
 
     def run(batches):
-        enc = encoder(path, kind)
         for batch in batches:
+            enc = encoder(path, kind)
             text = batch.column("text").to_pylist()
             counts, sizes = [len(x) for x in enc.encode(text)], [len(t.encode()) for t in text]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in (*key, "source", "lang")] + [pa.array(counts, pa.int64()), pa.array(sizes, pa.int64())], [*key, "source", "lang", "tokens", "bytes"])
