@@ -66,6 +66,28 @@ def test_edits_chains_and_odd_rows(spark, monkeypatch):
     assert N.near_dedup(spark, rows.limit(0)).count() == 0
 
 
+def test_large_buckets_by_rare_shingles(spark, monkeypatch):
+    """Texts that share a long passage but aren't near, in buckets and crowds over the bound; some pairs of them are near."""
+    monkeypatch.setattr(N, "BLOCK", 8)
+    rnd = random.Random(9)
+    words = lambda n, tag: [f"{tag}{rnd.randint(0, 10**9)}" for _ in range(n)]
+    common, docs = words(120, "c"), []
+    for group in range(4):
+        shared = words(50, f"g{group}")
+        for i in range(25):
+            own = words(45, "o")
+            docs.append(" ".join(common + shared + own))
+            if i % 5 == 0:
+                docs.append(" ".join(common + shared + own[:-12] + words(12, "e")))
+    rnd.shuffle(docs)
+    seen = []
+    by_rare = N._by_rare_shingles
+    monkeypatch.setattr(N, "_by_rare_shingles", lambda *a: seen.append(1) or by_rare(*a))
+    rows = list(enumerate(docs))
+    assert got(N.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
+    assert seen
+
+
 def test_estimate_is_collision_corrected():
     rng = np.random.default_rng(4)
     for j in (0.2, 0.5, 0.8):

@@ -2,9 +2,12 @@
 
 Texts with equal shingle sets are one class, so copies never meet each other in a bucket. Candidates are confirmed in
 three steps. First each class is held against one centre of each of its buckets, then against its likeliest partner in
-another component, both at linear cost, which joins dense groups. Then, in buckets that still hold more than one component, all pairs across components are compared by their packed bits,
-in blocks, inside the tasks, and by bitmaps of their shingles, which bound what two texts can share; only pairs that
-neither can rule out are confirmed on full sets.
+another component, among some thousands of its bucket, both at linear cost, which joins dense groups. Then all pairs
+across components are compared by their packed bits and by bitmaps of their shingles, which bound what two texts can
+share, inside the tasks; only pairs that neither can rule out are confirmed on full sets. A bucket too large for one task
+doesn't send its members round: they are split by finer keys. Two sets at the least similarity share one of the rarest
+shingles of each (as many as may be missing, and one), so its members' rare shingles take the bucket's place: exact, and
+what makes the bucket large, a passage that all of its texts have, is no rare shingle of any.
 """
 
 from __future__ import annotations
@@ -16,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from windlake.llm.common import BROADCAST_IDS, Scratch, documents, small_batches, text_or_empty
+from windlake.llm.common import BROADCAST_IDS, Scratch, documents, kept_in_stage, small_batches, text_or_empty
+from windlake.llm.tokens import UnitHashes
 from windlake.operators.components import connected_components
 
 WORDS = 5
@@ -28,7 +32,7 @@ LANES = 64 // BITS
 LONGS = K // LANES
 STAR_BANDS = 10  # bands of the first step; the second uses all
 LEAST_ESTIMATE = 0.56  # over five standard deviations of the estimate below 0.75
-BLOCK = 512
+BLOCK = 4096  # members of a bucket or key that one task compares
 MAP_BITS = 2048
 
 #: Disagreeing lanes above which a pair's collision-corrected estimate is under LEAST_ESTIMATE: equal low bits also come
@@ -49,25 +53,26 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, kept between texts up to a bound."""
+#: The six ASCII white-space characters, and lower case for A-Z.
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_LOWER = np.where((np.arange(256) >= 65) & (np.arange(256) <= 90), np.arange(256) + 32, np.arange(256)).astype(np.uint8)
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        value = self[word] = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
-        return value
 
-
-_WORDS = WordHashes()
+def _word_hashes(text: str) -> np.ndarray:
+    """64 bits for each word, mixed from two polynomial hashes of its lower-cased bytes."""
+    raw = _LOWER[np.frombuffer(text.encode(), np.uint8)]
+    edge = np.flatnonzero(np.diff(np.concatenate([[True], _SPACE[raw], [True]])))
+    if not len(edge):
+        return np.zeros(0, np.uint64)
+    first, second = kept_in_stage("words", UnitHashes)(raw, edge[::2], edge[1::2])
+    return _mix(_mix(first) * _ODD + second)
 
 
 def shingle_set(text: str) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the 5-word shingles; A-Z lower-cased; a shorter text is one shingle."""
-    words = text.encode().lower().split()  # bytes: ASCII letters and the six ASCII white-space characters only
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+    h = _word_hashes(text)
+    if not len(h):
+        return h
     n = max(1, len(h) - WORDS + 1)
     out = np.full(n, min(len(h), WORDS), np.uint64)
     for i in range(min(len(h), WORDS)):
@@ -158,7 +163,7 @@ def _compare(best_only: bool):
         place that only one text falls on is a shingle that the other lacks, which bounds what they share."""
         block, ids, label, size = (table.column(c).to_numpy() for c in ("block", "id", "label", "size"))
         maps = np.frombuffer(b"".join(table.column("map").to_pylist()), np.uint64).reshape(len(ids), -1)
-        bits = np.array(table.column("bits").to_pylist(), np.int64).view(np.uint64)
+        bits = table.column("bits").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(ids), -1)
         first, second = np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
         same = block.min() == block.max()
         found: list[np.ndarray] = [np.zeros((3, 0), np.int64)]
@@ -181,33 +186,93 @@ def _compare(best_only: bool):
                 shared = np.minimum(size[x] - only_x, size[y] - only_y)
                 ok = 100 * shared >= PERCENT * (size[x] + size[y] - shared)
                 found.append(np.stack([x[ok], y[ok], score[part : part + 20_000][ok]]))
-        x, y, score = np.concatenate(found, axis=1)
-        if best_only and len(x):  # each text's likeliest partner
-            order = np.argsort(score, kind="stable")
-            keep = np.unique(np.concatenate([order[np.unique(e[order], return_index=True)[1]] for e in (x, y)]))
-            x, y = x[keep], y[keep]
+            if best_only and len(found) > 64:
+                found = [_likeliest(np.concatenate(found, axis=1))]
+        pairs = np.concatenate(found, axis=1)
+        x, y, _ = _likeliest(pairs) if best_only else pairs
         a, b = ids[x], ids[y]
         return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
 
     return run
 
 
-def _across(scratch: Scratch, members: DataFrame, profiles: DataFrame, links: DataFrame, name: str, best_only: bool) -> DataFrame:
-    """Candidate pairs across the components that the links so far make, from the buckets that hold several of them."""
+def _likeliest(pairs: np.ndarray) -> np.ndarray:
+    """Of pairs (x, y, score), those that are the best of x or of y."""
+    order = np.argsort(pairs[2], kind="stable")
+    keep = np.unique(np.concatenate([order[np.unique(e[order], return_index=True)[1]] for e in pairs[:2]]))
+    return pairs[:, keep]
+
+
+def _labelled(scratch: Scratch, members: DataFrame, links: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """The buckets' members with their component so far, and the buckets that hold several components."""
     labels = connected_components(scratch.spark, links).select(F.col("vertex").alias("id"), F.col("component").alias("label"))
-    if best_only:
-        members = members.where(F.col("band") < STAR_BANDS)
     labelled = members.join(labels, "id", "left").select("id", "key", "n", F.coalesce("label", "id").alias("label"))
     labelled = scratch.put(labelled, f"{name}-labelled")
-    mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-    mixed = scratch.put(mixed, f"{name}-mixed")
+    return labelled, scratch.put(_mixed(labelled), f"{name}-mixed")
+
+
+def _mixed(labelled: DataFrame) -> DataFrame:
+    return labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
+
+
+PAIR = "a long, b long"
+
+
+def _likely(scratch: Scratch, members: DataFrame, profiles: DataFrame, links: DataFrame) -> DataFrame:
+    """Each member's likeliest partner in another component, in each of its mixed buckets, or in its part of a large one."""
+    labelled, mixed = _labelled(scratch, members.where(F.col("band") < STAR_BANDS), links, "best")
+    part = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / BLOCK)).alias("part")
+    rows = labelled.join(mixed, "key").select("key", "id", "label", part).join(profiles, "id").withColumn("block", F.lit(0))
+    return scratch.put(rows.groupBy("key", "part").applyInArrow(_compare(True), PAIR).distinct(), "best")
+
+
+def _across(scratch: Scratch, members: DataFrame, profiles: DataFrame, sets: DataFrame, links: DataFrame) -> DataFrame:
+    """All candidate pairs across the components that the links so far make."""
+    labelled, mixed = _labelled(scratch, members, links, "rest")
+    open_ = labelled.join(mixed, "key")
+    small = open_.where(F.col("n") <= BLOCK).select("key", "id", "label")
+    large = scratch.put(open_.where(F.col("n") > BLOCK).select("id", "label").distinct(), "rest-large")
+    found = small.join(profiles, "id").withColumn("block", F.lit(0)).groupBy("key").applyInArrow(_compare(False), PAIR)
+    if not large.isEmpty():
+        found = found.unionAll(_by_rare_shingles(scratch, large, profiles, sets))
+    return scratch.put(found.distinct(), "rest")
+
+
+def rare_shingles(sets: DataFrame) -> DataFrame:
+    """(id, key) for each of the rarest shingles of a set (id, digest, shingles array<long>): one more than it may lack of another
+    set at the least similarity, in an order that all sets share. Two sets so near share one of them: if not, the one
+    whose last listed shingle comes first in that order would lack too many of its own."""
+    each = sets.select("id", "digest", F.explode("shingles").alias("s"))
+    df = each.groupBy("s").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    ranked = each.join(df, "s", "left").groupBy("id", "digest").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "s"))).alias("all"))
+    lack = F.size("all") - F.ceil(F.size("all") * PERCENT / 100).cast("int") + 1
+    return ranked.select("id", F.explode(F.slice("all", F.lit(1), lack)).alias("r")).where("r.df > 1").select("id", F.col("r.s").alias("key")).distinct()
+
+
+def _by_rare_shingles(scratch: Scratch, members: DataFrame, profiles: DataFrame, sets: DataFrame) -> DataFrame:
+    """Candidate pairs of members (id, label), as they share a rare shingle."""
+    chosen = sets.join(members.select("id"), "id", "left_semi").select("id", "digest", "shingles").mapInArrow(_as_longs, "id long, digest binary, shingles array<long>")
+    keys = scratch.put(rare_shingles(chosen).join(members, "id"), "rare")
+    several = keys.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi").select("key", "n")
+    several = scratch.put(several, "rare-mixed")
     blocks = F.when(F.col("n") <= BLOCK, 1).otherwise(F.ceil(F.col("n") * 2 / BLOCK)).cast("int")
-    open_ = labelled.join(mixed, "key").join(profiles, "id")
-    open_ = open_.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    carried = ["key", "id", "label", "bits", "map", "size", "block"]
-    spread = open_.select(*carried, other.alias("other")).select(*carried, F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
-    return scratch.put(spread.groupBy("key", "lo", "hi").applyInArrow(_compare(best_only), "a long, b long").distinct(), name)
+    rows = keys.join(several, "key").join(profiles, "id").withColumn("blocks", blocks)
+    rows = scratch.put(rows.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")), "rare-rows")
+    small = rows.where("blocks = 1").groupBy("key").applyInArrow(_compare(False), PAIR)
+    # thousands of different texts with one rare shingle: pairs of blocks, the exact way that is left
+    crowd = rows.where("blocks > 1")
+    if crowd.isEmpty():
+        return small
+    spread = crowd.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    spread = spread.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
+    return small.unionAll(spread.groupBy("key", "lo", "hi").applyInArrow(_compare(False), PAIR))
+
+
+def _as_longs(batches):
+    for batch in batches:
+        lists = [np.frombuffer(x, np.int64) for x in batch.column("shingles").to_pylist()]
+        ends = np.cumsum([0, *map(len, lists)])
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("digest"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *lists])))], ["id", "digest", "shingles"])
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -246,9 +311,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
     star_links = scratch.put(_confirmed(near.select("a", "b"), sets), "star-links")
     profiles = sets.select("id", "digest", "map", "size").join(classes.select("id", "digest", "bits"), ["id", "digest"]).drop("digest")
     profiles = scratch.put(profiles, "profiles")
-    best = _across(scratch, members, profiles, star_links, "best", True)
+    best = _likely(scratch, members, profiles, star_links)
     links = scratch.put(star_links.unionAll(_confirmed(best, sets)), "best-links")
-    rest = _across(scratch, members, profiles, links, "rest", False)
+    rest = _across(scratch, members, profiles, sets, links)
     links = scratch.put(links.unionAll(_confirmed(rest, sets)), "links")
 
     found = connected_components(spark, links)
