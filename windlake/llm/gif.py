@@ -77,19 +77,18 @@ def lzw_encode(data: bytes, bits: int = 8) -> bytes:
     return _pack_codes(np.frombuffer(codes, codes.typecode) >> 8, widths)
 
 
+SEGMENT = MAX_CODES
+
+
 def _widths(bits: int, n: int) -> np.ndarray:
-    """Bits of each of the n codes after a clear code: the k-th (from 1) comes when the table has 2**bits + k entries."""
-    key = bits, n
-    if key not in _WIDTHS:
-        if len(_WIDTHS) > 10_000:
-            _WIDTHS.clear()
-        entries = (1 << bits) + 1 + np.arange(n)
-        _WIDTHS[key] = np.clip(np.ceil(np.log2(entries + 1)), bits + 1, 12).astype(np.int64)
-    return _WIDTHS[key]
+    """Bits of each of the n codes (at most SEGMENT) after a clear code: the k-th (from 1) comes when the table has 2**bits + k entries."""
+    if bits not in _WIDTHS:
+        entries = (1 << bits) + 1 + np.arange(SEGMENT)
+        _WIDTHS[bits] = np.clip(np.ceil(np.log2(entries + 1)), bits + 1, 12).astype(np.int64)
+    return _WIDTHS[bits][:n]
 
 
-_WIDTHS: dict[tuple[int, int], np.ndarray] = {}
-SEGMENT = MAX_CODES
+_WIDTHS: dict[int, np.ndarray] = {}
 
 
 def lzw_decode(stream: bytes, bits: int, n: int) -> bytes:

@@ -185,7 +185,7 @@ class Detector:
             return self.gain(key) >= MARGIN
         found = self._known.get(key)
         if found is None:
-            if len(self._known) > 200_000:
+            if len(self._known) > 50_000:
                 self._known = {}
             found = self._known[key] = self.gain(key) >= MARGIN
         return found

@@ -65,7 +65,7 @@ class Vectoriser:
     def _of(self, word: str) -> tuple[int, ...]:
         found = self._words.get(word)
         if found is None:
-            if len(self._words) > 300_000:
+            if len(self._words) > 100_000:
                 self._words = {}
             found = self._words[word] = tuple(self.index[f] for f in features_of(word) if f in self.index)
         return found
