@@ -4,6 +4,7 @@ import random
 from hashlib import sha256
 
 from compare import assert_same
+from pyspark.sql import functions as F
 
 from windlake.llm import exact_dedup as E
 
@@ -25,5 +26,17 @@ def test_odd_rows(spark):
 def test_any_number_of_runs(spark):
     rnd = random.Random(1)
     df = spark.createDataFrame([(i, rnd.choice("abcde")) for i in range(500)], "doc_id long, text string")
-    results = {tuple(sorted(map(tuple, E.exact_dedup(spark, df, runs=r, fan_in=f).collect()))) for r, f in ((1, 2), (7, 2), (64, 8), (100, 3))}
+    results = {tuple(sorted(map(tuple, E.exact_dedup(spark, df, runs=r).collect()))) for r in (1, 2, 5, 8)}
     assert len(results) == 1
+
+
+def test_large_groups_and_merging_without_a_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(E, "LARGE_GROUP", 50)
+    df = spark.createDataFrame([(i, "copy" if i % 3 == 0 else f"t{i % 40}") for i in range(600)], "doc_id long, text string")
+    text = {r.doc_id: r.text for r in df.collect()}
+    got = {r.doc_id: (r.keep_id, r.group_size) for r in E.exact_dedup(spark, df).collect()}
+    assert got == {i: (min(j for j in text if text[j] == t), sum(x == t for x in text.values())) for i, t in text.items()}
+    runs = E._Runs(spark, E.Scratch(spark, "t"), 4)
+    table = runs.write(df.select(F.col("text").alias("key"), (F.col("doc_id") % 2).alias("run"), "doc_id").repartition(4, "key"), 0)
+    plan = table.where("run = 0").hint("merge").join(table.where("run = 1").select("key", F.col("doc_id").alias("other")), "key", "full")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
