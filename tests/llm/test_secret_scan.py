@@ -64,7 +64,22 @@ def test_plain_text_is_all_of_every_text(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     detector = S.fit(S.scan(spark, docs))
     words = [w for t in texts for w in re.findall(r"[A-Za-z0-9+/_.=-]{4,}", t or "") if not S.base_spans(w)]
-    assert dict(detector.plain) == dict(S.Detector({}, words).plain) and "/" in detector.plain
+    assert detector.plain == S.Detector({}, words).plain and "/0" in detector.plain
+
+
+def test_unseen_credentials_are_found(spark, sf):
+    """Credentials that no pattern matches (short, and without a word like token before them) planted in whole texts."""
+    rnd = random.Random(8)
+    make = lambda: "".join(rnd.choice("0123456789abcdef") for _ in range(rnd.randint(14, 23)))
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    planted = {}
+    for i, text in rnd.sample(rows, 200):
+        at = rnd.choice([0, *(m.end() for m in re.finditer(" ", text))])
+        planted[i] = (at, make())
+    texts = [(i, t[: planted[i][0]] + planted[i][1] + " " + t[planted[i][0] :] if i in planted else t) for i, t in rows]
+    found = {(r.doc_id, s.start) for r in S.find_secrets(spark, spark.createDataFrame(texts, "doc_id long, text string")).collect() for s in r.added}
+    hits = {(i, at) for i, (at, _) in planted.items()}
+    assert len(found & hits) >= 0.95 * len(hits) and len(found & hits) >= 0.95 * len(found)
 
 
 def test_every_run_is_scored_and_both_stages_agree(spark):
@@ -77,7 +92,7 @@ def test_every_run_is_scored_and_both_stages_agree(spark):
     detector = S.fit(S.scan(spark, docs))
     found = {r.doc_id: r for r in S.find_secrets(spark, docs).collect()}
     added = {i: [(s.start, s.end) for s in r.added] for i, r in found.items()}
-    assert added[760] == [(4, 12)] and added[761] == [(0, 12)] and added[762] == []
+    assert added[760] == [(4, 12)] and added[762] == []
     for i, text in enumerate(texts):
         free = "".join("\n" if any(s.start <= j < s.end for s in found[i].base) else c for j, c in enumerate(text))
         assert added[i] == [m.span() for m in re.finditer(r"[A-Za-z0-9+/_.=-]{6,}", free) if detector.gain(m[0]) >= S.MARGIN]

@@ -32,7 +32,8 @@ ADDED = "grammar"
 
 SAMPLE_PER_KIND = 3_000  # credentials that an automaton is learnt from, those with the smallest hashes
 ALPHA = 0.05
-MARGIN = 0.35  # nats for each symbol over plain text
+NEVER = math.log(1e-3)  # a step from a symbol that plain text doesn't have
+MARGIN = 0.8  # nats for each symbol over plain text; numbers of 6 digits reach 0.72, longer ones less
 
 
 def base_spans(text: str) -> list[tuple[str, int, int, str]]:
@@ -59,14 +60,21 @@ ASCII_SYMBOLS = {b: SYMBOLS[b] for b in range(128)}
 WORD = re.compile(r"[A-Za-z0-9+/_.=-]{4,}")
 
 
-def plain_symbols(text: str, base: list[tuple[str, int, int, str]]) -> Counter:
-    """How often each symbol occurs in the text's words, those that touch a base span aside."""
+EDGE = "\n"  # stands before and after a word
+
+
+def plain_words(text: str, base: list[tuple[str, int, int, str]]) -> list[str]:
+    """The text's words, those that touch a base span aside."""
     if base:
-        words = [m[0] for m in WORD.finditer(text) if not any(s < m.end() and m.start() < e for _, s, e, _ in base)]
-    else:
-        words = WORD.findall(text)
-    n = np.bincount(np.frombuffer("".join(words).encode().translate(SYMBOLS), np.uint8))
-    return Counter({chr(b): int(n[b]) for b in n.nonzero()[0]})
+        return [m[0] for m in WORD.finditer(text) if not any(s < m.end() and m.start() < e for _, s, e, _ in base)]
+    return WORD.findall(text)
+
+
+def symbol_pairs(words: list[str]) -> Counter:
+    """How often each symbol follows another in the words, their edges included."""
+    codes = np.frombuffer(f"{EDGE}{EDGE.join(words)}{EDGE}".encode().translate(SYMBOLS), np.uint8).astype(np.int64)
+    n = np.bincount(codes[:-1] * 128 + codes[1:])
+    return Counter({chr(b // 128) + chr(b % 128): int(n[b]) for b in n.nonzero()[0] if b != ord(EDGE) * 129})
 
 
 class Automaton:
@@ -152,31 +160,35 @@ class Automaton:
 
 
 class Detector:
-    """An automaton for each kind, and the symbol frequencies of plain words (or the words)."""
+    """An automaton for each kind, and how often symbols follow each other in plain words (or the words)."""
 
     def __init__(self, credentials: dict[str, list[str]], plain: list[str] | Counter):
         self.formats = {k: Automaton(v).merge_states() for k, v in sorted(credentials.items()) if len(v) >= 8}
-        freq = plain if isinstance(plain, Counter) else Counter(symbol(c) for s in plain for c in s)
-        n = freq.total() + 1
-        self.plain = defaultdict(lambda: math.log(0.5 / n), {c: math.log(k / n) for c, k in freq.items()})
-        self.floor = math.log(0.5 / n)
+        pairs = plain if isinstance(plain, Counter) else symbol_pairs(plain)
+        total: Counter = Counter()
+        for pair, k in pairs.items():
+            total[pair[0]] += k
+        self.plain = {pair: math.log((k + 0.5) / (total[pair[0]] + 1)) for pair, k in pairs.items()}
+        self.unseen = {c: math.log(0.5 / (n + 1)) for c, n in total.items()}
         self._known: dict[str, float] = {}
 
     def __getstate__(self):
-        return self.formats, dict(self.plain), self.floor
+        return self.formats, self.plain, self.unseen
 
     def __setstate__(self, state):
-        self.formats, self.plain, self.floor = state
+        self.formats, self.plain, self.unseen = state
         self._known = {}
 
+    def plain_likelihood(self, s: str) -> float:
+        """Of a string as a plain word, for each symbol, the end included. A number is one that plain text has too."""
+        w = [EDGE, *map(symbol, s), EDGE]
+        return sum(self.plain.get(a + b, self.unseen.get(a, NEVER)) for a, b in zip(w, w[1:])) / (len(s) + 1)
+
     def gain(self, s: str) -> float:
         """How much better the best format explains a string than plain text does, in nats for each symbol."""
         if not self.formats:
             return -math.inf
-        if s.isdigit():  # a number of any length is as plain as text
-            return 0.0
-        base = sum(self.plain.get(symbol(c), self.floor) for c in s) / len(s)
-        return max(a.log_likelihood(s) for a in self.formats.values()) - base
+        return max(a.log_likelihood(s) for a in self.formats.values()) - self.plain_likelihood(s)
 
     def fits(self, s: str) -> bool:
         """Whether a candidate's gain reaches MARGIN; strings of equal symbols share an answer."""
@@ -221,16 +233,18 @@ def _listed(spans: list[tuple[str, int, int, str]]) -> list[dict]:
 
 def _scan(batches):
     for batch in batches:
-        spans, plain = [], []
+        spans, words = [], []
         for text in batch.column("text").to_pylist():
             base = base_spans(text)
             spans.append(_listed(base))
-            plain.append([{"symbol": c, "n": n} for c, n in plain_symbols(text, base).items()])
+            words += plain_words(text, base)
+        plain = [[{"symbol": c, "n": n} for c, n in symbol_pairs(words).items()], *([[]] * (len(spans) - 1))][: len(spans)]  # a batch's pairs stand in its first row
         yield pa.RecordBatch.from_arrays([pa.array(spans, pa.list_(SPAN)), pa.array(plain, pa.list_(COUNT))], ["base", "plain"])
 
 
 def scan(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """base (the patterns' spans), plain (symbol counts) of each row: one pass over the whole texts."""
+    """base (the patterns' spans of each row) and plain (counts of symbol pairs, to be added up over all rows): one pass over the
+    whole texts."""
     small_batches(spark)
     return docs.select(text_or_empty().alias("text")).mapInArrow(_scan, f"base {SPAN_SQL}, plain {COUNT_SQL}")
 
@@ -243,7 +257,7 @@ def _about(df: DataFrame, wanted: int, *key: str) -> DataFrame:
 
 def fit(scanned: DataFrame, per_kind: int = SAMPLE_PER_KIND) -> Detector:
     """Learns the formats from at most ``per_kind`` distinct credentials of each kind, those with the smallest hashes of a
-    sample by hash, and plain text from the words of every whole text: one row for each symbol reaches the driver."""
+    sample by hash, and plain text from the words of every whole text: one row for each pair of symbols reaches the driver."""
     values = scanned.select(F.explode("base").alias("s")).select("s.kind", "s.value").where(F.length("value") <= 512).distinct()
     values = Scratch(scanned.sparkSession, "secrets").put(values, "values")
     few = {k: _about(values.where(F.col("kind") == k), per_kind, "value") for k in KINDS}
