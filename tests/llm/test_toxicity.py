@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from windlake.llm import toxicity as T
 
@@ -40,7 +41,7 @@ def test_swaps_change_less_with_the_penalty(spark, made):
         vec = T.Vectoriser({f: i for i, f in enumerate(index)})
         counts = [T.word_counts(t) for t in texts]
         xs = [vec(c) for c in counts]
-        ds = [{f: x.get(f, 0) - y.get(f, 0) for f in x.keys() | y.keys()} for x, c in zip(xs, counts) if (o := T.swapped(c)) for y in [vec(o)]]
+        ds = [d for x, c in zip(xs, counts) if (d := T.score_change(vec, x, c))]
         flat = lambda r: T.Rows(np.array([len(x) for x in r]), np.array([f for x in r for f in x]), np.array([v for x in r for v in x.values()]), len(index))
         return flat(xs), flat(ds)
 
@@ -53,6 +54,34 @@ def test_swaps_change_less_with_the_penalty(spark, made):
     assert change[1.0] < 0.5 * change[0.0]
 
 
+def test_swaps_stay_in_a_language_and_are_averaged():
+    assert "women" not in T.PARTNERS["frauen"] and set(T.PARTNERS["femmes"]) == {"hommes", "filles", "garçons"}
+    got = T.swaps(T.word_counts("old citizens and citizens"))
+    assert len(got) == 3 + 3 and all(c.total() == 4 for c in got) and T.swaps(T.word_counts("nobody")) == []
+
+
+def false_positives(spark, docs, labels, fairness):
+    """Of clean held-out texts with a neutral mention added, those that are called toxic after training on toxic texts that
+    name one group far more often than clean ones do; and those called so without the mention."""
+    toxic = F.col("toxic") == 1
+    named = F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(100)) < F.when(toxic, 70).otherwise(2)
+    train = docs.join(labels.where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "doc_id")
+    seen = train.where(~T.held_out()).withColumn("text", F.when(named, F.concat("text", F.lit(" muslims"))).otherwise(F.col("text")))
+    model = T.fit(spark, seen.select("doc_id", "text"), labels, fairness=fairness)
+    clean = train.where(T.held_out() & ~toxic)
+    mention = clean.withColumn("text", F.concat("text", F.lit(" the muslims of our street")))
+    count = lambda d: T.score(spark, d, model).where("predicted = 1").count()
+    return count(mention), count(clean), clean.count()
+
+
+def test_fewer_false_positives_on_neutral_mentions(spark):
+    d = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
+    (plain, base, n), (fair, fair_base, _) = (false_positives(spark, docs, labels, f) for f in (0.0, T.FAIRNESS))
+    print("false positives with a neutral mention, without one, of clean texts:", (plain, base), (fair, fair_base), n)
+    assert fair <= 0.5 * plain and fair <= fair_base + 0.02 * n
+
+
 def test_only_the_text_counts(spark, made):
     docs, labels = made
     model = T.fit(spark, docs, labels)
@@ -73,4 +102,4 @@ def test_odd_rows(spark, made):
 
 
 def test_bounds_were_not_lowered_to_fit_memory():
-    assert (T.MAX_TRAINING_ROWS, T.MAX_FEATURES) == (24_000, 30_000) and T.fit.__defaults__ == (24_000, 30_000)
+    assert (T.MAX_TRAINING_ROWS, T.MAX_FEATURES) == (24_000, 30_000) and T.fit.__defaults__ == (24_000, 30_000, T.FAIRNESS)

@@ -1,8 +1,8 @@
 """Toxicity: a counterfactual-regularised linear classifier, learnt from the labelled rows.
 
 Features are words and word beginnings; the most telling ones are kept. Training adds, for each labelled text that names
-a group of people, a penalty on the change of its score when the group is swapped for another of the same kind, so a
-neutral mention of a group doesn't move the score. Text is the only input of a score.
+a group of people, a penalty on the change of its score when the group is swapped for others of the same kind in the same
+language, on average, so a neutral mention of a group doesn't move the score. Text is the only input of a score.
 """
 
 from __future__ import annotations
@@ -25,21 +25,44 @@ from windlake.llm.common import Scratch, documents, small_batches, text_or_empty
 MAX_TRAINING_ROWS = 24_000
 MAX_FEATURES = 30_000
 HASH_BITS = 22
+FAIRNESS = 1.0  # weight of the penalty on score changes under swaps
 PREFIXES = range(3, 9)
 THRESHOLD = 0.3
 WORD = re.compile(r"[^\W\d_]+")
 
-#: Groups of people, by kind; a swap stays within its kind.
+#: Terms for groups of people, a line for each kind and language; a swap stays within its line.
 IDENTITY = [
-    "women men girls boys transgender femmes hommes frauen männer mujeres hombres",
-    "muslims christians jews hindus buddhists atheists musulmans chrétiens juifs muslime christen juden musulmanes cristianos judíos",
-    "gay lesbian bisexual straight homosexual heterosexual lesbienne lesbisch lesbiana schwul",
-    "black white asian latino arab african european noir blanc asiatique schwarz asiatisch negro blanco asiático",
-    "immigrants refugees foreigners citizens immigrés réfugiés étrangers einwanderer flüchtlinge ausländer inmigrantes refugiados extranjeros",
-    "disabled blind deaf autistic handicapé aveugle sourd behindert taub discapacitado ciego sordo",
-    "old young elderly teenagers vieux jeunes alte junge viejos jóvenes",
+    "women men girls boys",
+    "femmes hommes filles garçons",
+    "frauen männer mädchen jungen",
+    "mujeres hombres niñas niños",
+    "muslims christians jews hindus buddhists atheists",
+    "musulmans chrétiens juifs hindous bouddhistes athées",
+    "muslime christen juden hindus buddhisten atheisten",
+    "musulmanes cristianos judíos hindúes budistas ateos",
+    "gay lesbian bisexual transgender straight homosexual heterosexual",
+    "gay lesbienne bisexuel transgenre homosexuel hétérosexuel",
+    "schwul lesbisch bisexuell transgender homosexuell heterosexuell",
+    "gay lesbiana bisexual transgénero homosexual heterosexual",
+    "black white asian latino arab african european",
+    "noir blanc asiatique latino arabe africain européen",
+    "schwarz weiß asiatisch arabisch afrikanisch europäisch",
+    "negro blanco asiático latino árabe africano europeo",
+    "immigrants refugees foreigners citizens",
+    "immigrés réfugiés étrangers citoyens",
+    "einwanderer flüchtlinge ausländer bürger",
+    "inmigrantes refugiados extranjeros ciudadanos",
+    "disabled blind deaf autistic",
+    "handicapé aveugle sourd autiste",
+    "behindert blind taub autistisch",
+    "discapacitado ciego sordo autista",
+    "old young elderly teenage",
+    "vieux jeunes âgés adolescents",
+    "alte junge ältere jugendliche",
+    "viejos jóvenes mayores adolescentes",
 ]
-SWAP = {w: words[(i + 1) % len(words)] for words in map(str.split, IDENTITY) for i, w in enumerate(words)}
+#: The other terms of a term's lines.
+PARTNERS = {w: sorted({x for line in map(str.split, IDENTITY) if w in line for x in line} - {w}) for line in map(str.split, IDENTITY) for w in line}
 
 
 def word_counts(text: str) -> Counter:
@@ -79,16 +102,29 @@ class Vectoriser:
         return {f: v * scale for f, v in x.items()}
 
 
-def swapped(counts: Counter) -> Counter | None:
-    """The counts after every identity term is swapped for another of its kind; None without any."""
-    if counts.keys().isdisjoint(SWAP):
-        return None
-    out: Counter = Counter()
-    for word, n in counts.items():
-        out[SWAP.get(word, word)] += n
+def swaps(counts: Counter) -> list[Counter]:
+    """The counts after each swap of one of the text's identity terms for one of its partners."""
+    out = []
+    for word in counts.keys() & PARTNERS.keys():
+        for other in PARTNERS[word]:
+            changed = counts.copy()
+            del changed[word]
+            changed[other] += counts[word]
+            out.append(changed)
     return out
 
 
+def score_change(vector: Vectoriser, x: dict[int, float], counts: Counter) -> dict[int, float]:
+    """A text's vector less the mean of its swaps' vectors; empty without any: its product with the weights is how far the
+    score moves, on average, when only the group that is named changes."""
+    others = swaps(counts)
+    d = dict(x) if others else {}
+    for other in others:
+        for f, v in vector(other).items():
+            d[f] = d.get(f, 0.0) - v / len(others)
+    return d
+
+
 @dataclass
 class Model:
     index: dict[int, int]
@@ -134,8 +170,8 @@ class Rows:
         return np.bincount(self.col, self.val * e.astype(np.float32)[self.row], minlength=self.width)
 
 
-def train(x: Rows, labels: np.ndarray, d: Rows, l2: float = 1e-5, fairness: float = 1.0, steps: int = 250, rate: float = 0.03) -> tuple[np.ndarray, float]:
-    """Logistic loss with positives weighted up, plus l2 |w|^2 and fairness * mean (w . (x - swapped x))^2, by Adam."""
+def train(x: Rows, labels: np.ndarray, d: Rows, l2: float = 1e-5, fairness: float = FAIRNESS, steps: int = 250, rate: float = 0.03) -> tuple[np.ndarray, float]:
+    """Logistic loss with positives weighted up, plus l2 |w|^2 and fairness * mean (w . (x - mean of its swaps))^2, by Adam."""
     width = x.width
     share = max(1e-3, labels.mean())
     weight = np.where(labels > 0, 0.3 / share, 1.0)
@@ -186,9 +222,8 @@ def _vectors(index: dict[int, int]):
             out = []
             for text, toxic, check in zip(*(batch.column(c).to_pylist() for c in ("text", "toxic", "check"))):
                 counts = word_counts(text)
-                x, other = vector(counts), swapped(counts)
-                y = vector(other) if other is not None else {}
-                d = {f: x.get(f, 0.0) - y.get(f, 0.0) for f in x.keys() | y.keys()} if y else {}
+                x = vector(counts)
+                d = score_change(vector, x, counts)
                 out.append({"toxic": toxic, "check": check, "f": list(x), "v": list(x.values()), "df": list(d), "dv": list(d.values())})
             yield pa.RecordBatch.from_pylist(out, VECTORS)
 
@@ -198,7 +233,7 @@ def _vectors(index: dict[int, int]):
 VECTORS = pa.schema([("toxic", pa.int32()), ("check", pa.bool_()), ("f", pa.list_(pa.int32())), ("v", pa.list_(pa.float32())), ("df", pa.list_(pa.int32())), ("dv", pa.list_(pa.float32()))])
 
 
-def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS, max_features: int = MAX_FEATURES) -> Model:
+def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS, max_features: int = MAX_FEATURES, fairness: float = FAIRNESS) -> Model:
     """Learns from at most ``max_rows`` labelled rows that aren't held out; a fifth of them sets the threshold."""
     chosen = labels.where(F.col("toxic").isNotNull() & ~held_out()).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     chosen = chosen.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
@@ -224,7 +259,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_rows: int =
     y, y_keep = (t.column("toxic").to_numpy().astype(float) for t in (learn, keep))
     swaps = learn.filter(pc.greater(pc.list_value_length(learn.column("df")), 0))
     x, d = Rows.of(learn.column("f"), learn.column("v"), len(index)), Rows.of(swaps.column("df"), swaps.column("dv"), len(index))
-    w, b = train(x, y, d)
+    w, b = train(x, y, d, fairness=fairness)
     if y_keep.sum() >= 5:
         x, y = Rows.of(keep.column("f"), keep.column("v"), len(index)), y_keep
     scale, shift = calibrate(x.dot(w) + b, y, b)
