@@ -66,3 +66,13 @@ def test_op7(spark, sf):
         payload = data + b"\0" * (max(1, -(-len(data) // 64)) * 64 - len(data))
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(data), len(payload), sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
     assert gif.media_features(spark, odd.limit(0)).count() == 0
+
+
+def test_broken_files_are_rows_and_no_failure(spark):
+    whole = gif.encode([np.arange(64, dtype=np.uint8).reshape(8, 8)] * 3)
+    files = [(1, whole), (2, whole[:-40]), (3, b"no gif"), (4, None), (5, b""), (6, whole[:900])]
+    got = {}
+    for r in gif.frame_table(spark.createDataFrame(files, "k long, m binary"), "k", "m").collect():
+        got.setdefault(r.k, []).append(r.error is None)
+    assert got[1] == [True] * 3 and 4 not in got and got[3] == got[5] == [False]
+    assert got[2][-1] is False and got[2].count(False) == 1 and got[6].count(False) == 1

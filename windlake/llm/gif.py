@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from windlake.llm.common import documents, small_batches, text_or_empty
+from windlake.llm.common import Scratch, documents, small_batches, text_or_empty
 
 MAX_CODES = 4096
 WIDTH = 64
@@ -245,21 +245,33 @@ def colour_histogram(rgba: np.ndarray) -> np.ndarray:
     return np.bincount(seen[:, 0] * 16 + seen[:, 1] * 4 + seen[:, 2], minlength=64)
 
 
-FRAMES_SQL = "frame int, start_cs long, delay_cs int, width int, height int, pixels binary, histogram array<long>"
-FRAME_ROW = pa.schema([("frame", pa.int32()), ("start_cs", pa.int64()), ("delay_cs", pa.int32()), ("width", pa.int32()), ("height", pa.int32()), ("pixels", pa.binary()), ("histogram", pa.list_(pa.int64()))])
+FRAMES_SQL = "frame int, start_cs long, delay_cs int, width int, height int, pixels binary, histogram array<long>, error string"
+FRAME_ROW = pa.schema([("frame", pa.int32()), ("start_cs", pa.int64()), ("delay_cs", pa.int32()), ("width", pa.int32()), ("height", pa.int32()), ("pixels", pa.binary()), ("histogram", pa.list_(pa.int64())), ("error", pa.string())])
+
+
+def safe_frames(data: bytes) -> Iterator[Frame | str]:
+    """The frames of a file; where it is cut off or broken, what is wrong with it follows those before."""
+    try:
+        yield from decode(data)
+    except (ValueError, IndexError) as e:
+        yield str(e) or type(e).__name__
 
 
 def frame_table(media: DataFrame, id_col: str, media_col: str) -> DataFrame:
-    """One row for each frame of each GIF: its time, its RGBA canvas and its colour histogram; a null file has none."""
+    """One row for each frame of each GIF: its time, its RGBA canvas and its colour histogram; a null file has none. A broken
+    file has its frames up to there and then a row with only an ``error``."""
     id_type = media.schema[id_col].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
             for i, data in enumerate(batch.column("m").to_pylist()):
                 start = 0
-                for k, f in enumerate(decode(data)):
-                    row = {"frame": k, "start_cs": start, "delay_cs": f.delay_cs, "width": f.rgba.shape[1], "height": f.rgba.shape[0], "pixels": f.rgba.tobytes(), "histogram": colour_histogram(f.rgba).tolist()}
-                    start += f.delay_cs
+                for k, f in enumerate(safe_frames(data)):
+                    if isinstance(f, str):
+                        row = {"frame": k, "error": f}
+                    else:
+                        row = {"frame": k, "start_cs": start, "delay_cs": f.delay_cs, "width": f.rgba.shape[1], "height": f.rgba.shape[0], "pixels": f.rgba.tobytes(), "histogram": colour_histogram(f.rgba).tolist()}
+                        start += f.delay_cs
                     columns = pa.RecordBatch.from_pylist([row], FRAME_ROW)
                     yield pa.RecordBatch.from_arrays([batch.column("id").slice(i, 1), *columns.columns], ["id", *FRAME_ROW.names])
 
@@ -293,20 +305,17 @@ def padded(text: bytes) -> bytes:
     return text.ljust(max(1, -(-len(text) // 64)) * 64, b"\0")
 
 
-MEDIA = pa.schema([("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
+MEDIA = pa.schema([("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
 
 
-def _digests(batches):
+def _describe(batches):
     for batch in batches:
         rows = []
-        for text in batch.column("text").to_pylist():
-            data = text.encode()
-            media = to_gif(padded(data))
+        for media in batch.column("media").to_pylist():
             payload, histogram, time = read_back(media)
             levels = histogram[[0, 21, 42, 63]]
             rows.append(
                 {
-                    "n_bytes": len(data),
                     "payload_bytes": len(payload),
                     "payload_sha256": sha256(payload).hexdigest(),
                     "tail_crc32": zlib.crc32(payload[-64:]),
@@ -316,29 +325,30 @@ def _digests(batches):
                 }
             )
         columns = pa.RecordBatch.from_pylist(rows, MEDIA)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns.columns], ["doc_id", *MEDIA.names])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *columns.columns], ["doc_id", "n_bytes", *MEDIA.names])
 
 
 def media_column(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """doc_id and the text's bytes, padded to a positive multiple of 64, stored as a GIF file (column ``media``)."""
+    """doc_id, n_bytes and the text's bytes, padded to a positive multiple of 64, stored as a GIF file (column ``media``)."""
     small_batches(spark)
 
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([to_gif(padded(t.encode())) for t in batch.column("text").to_pylist()], pa.binary())], ["doc_id", "media"])
+            data = [t.encode() for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(map(len, data), pa.int64()), pa.array([to_gif(padded(x)) for x in data], pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, media binary")
+    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, media binary")
 
 
 def media_features(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """Stores each text as a GIF, reads it back through the decoder, and describes both.
+    """Stores each text as a GIF in a table of the shared folder, reads that through the decoder, and describes both.
 
     A null or empty text is 64 zero bytes. Repeated rows give repeated results; null ids are kept; other columns are
     ignored; an empty table gives an empty result. ``feature`` is the running time and the pixels of each grey quarter.
     """
-    small_batches(spark)
+    stored = Scratch(spark, "gif").put(media_column(spark, docs), "media")
     columns = ", ".join(f"{f.name} {'string' if f.type == pa.string() else 'long'}" for f in MEDIA)
-    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(_digests, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {columns}")
+    return stored.mapInArrow(_describe, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, {columns}")
 
 
 def op7_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
