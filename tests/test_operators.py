@@ -154,7 +154,7 @@ def test_ridge_is_the_closed_form(spark):
 def test_jobs(spark, tmp_path):
     s = stations(spark)
     f = forecast.run(spark, s, f"{tmp_path}/f")
-    assert {r.model for r in f["experiment_a"].collect()} == {"power curve", "cubic", "linear", "ridge"} and f["experiment_b"].count() == 2
+    assert {r.model for r in f["experiment_a"].collect()} == {"power curve", "cubic", "linear", "ridge", "gbt"} and f["experiment_b"].count() == 3
     assert f["experiment_a"].where("accuracy_pct > 85").count() > 0
     r = resource_job.run(spark, s, f"{tmp_path}/r")
     assert r["sites"].count() == 6 and r["top_bins"].count() == 48 and r["mean_shear"].count() == 7
@@ -171,3 +171,23 @@ def test_read_stations(spark, tmp_path):
     assert read_stations(spark, f"{tmp_path}/*.csv", zones=[2]).count() == 3
     write_report(df, f"{tmp_path}/out", single_file=True)
     assert spark.read.csv(f"{tmp_path}/out", header=True).count() == 6
+
+
+def test_odd_curves_clashing_names_and_empty_tables(spark):
+    curve = spark.createDataFrame([(0.0, 0.0), (3.0, 0.1), (3.5, 0.9), (20.0, 1.0), (None, 5.0)], "x double, y double")
+    rows = [(1, v, 7.0, "lo", "a") for v in (-1.0, 0.0, 1.5, 3.0, 3.25, 3.5, 20.0, 21.0, None)]
+    df = spark.createDataFrame(rows, "zone int, ws100 double, k double, lo string, a string")
+    got = [r.p for r in curves.interpolate(df, "ws100", curve, "p", left=-9.0).collect()]
+    assert got[-1] is None and np.allclose(got[:-1], [-9.0, 0.0, 0.05, 0.1, 0.5, 0.9, 1.0, 1.0])
+    cubic = spark.createDataFrame([(0.001,)], "k double")
+    out = curves.predict_cubic(df, cubic)
+    assert set(df.columns) < set(out.columns) and {r.k for r in out.collect()} == {7.0}
+    none = df.limit(0).withColumn("power", F.lit(0.5))
+    assert weibull.fit_mle(spark, none, "ws100").count() == 0 and curves.fit_power_curve(spark, none).where("y is not null").count() == 0
+
+
+def test_files_of_any_column_order(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("ZONEID,TIMESTAMP,TARGETVAR,U10,V10,U100,V100\n1,20120101 1:00,0.5,1,2,3,4\n")
+    (tmp_path / "b.csv").write_text(" v100,u100,V10,U10,TARGETVAR,TIMESTAMP,ZoneId\n4,3,2,1,,20120101 24:00,2\n")
+    got = {r.zone: (r.power, r.u10, r.v10, r.u100, r.v100, str(r.timestamp)) for r in read_stations(spark, [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")]).collect()}
+    assert got == {1: (0.5, 1.0, 2.0, 3.0, 4.0, "2012-01-01 01:00:00"), 2: (None, 1.0, 2.0, 3.0, 4.0, "2012-01-02 00:00:00")}
