@@ -11,7 +11,7 @@ from windlake.sources.scratch import Scratch
 from windlake.sources.stations import write_report
 
 
-def run(spark: SparkSession, stations: DataFrame, out: str, test_ratio: float = 0.3, learners: Sequence[str] = ("ridge",), ts: str = "timestamp") -> dict[str, DataFrame]:
+def run(spark: SparkSession, stations: DataFrame, out: str, test_ratio: float = 0.3, learners: Sequence[str] = ("ridge", "gbt"), ts: str = "timestamp") -> dict[str, DataFrame]:
     """Writes overview, missing, metrics and errors by speed for both experiments under ``out``; returns them as read back.
 
     The feature table is written once and read by every model.

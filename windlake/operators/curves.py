@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from windlake.functions.physics import clip01, typical_power
 
 
+MOST_POINTS = 4095
+
+
 def typical_curve(spark: SparkSession, n: int = 200) -> DataFrame:
     """x, y at n even places from 0 to 30 m/s."""
     x = F.col("id") * F.lit(30.0) / F.lit(n - 1.0)
@@ -24,18 +27,22 @@ def segments(curve: DataFrame) -> DataFrame:
 def interpolate(df: DataFrame, v: str, curve: DataFrame, out: str, left: float | None = None, right: float | None = None) -> DataFrame:
     """Adds ``out``: the curve at v; beyond its ends the end values, or ``left`` and ``right``. NULL stays NULL.
 
-    The pieces travel as one array of structs in a one-row broadcast; a binary place is found by transform and filter on
-    it inside each row, so no row is multiplied.
+    The curve (at most MOST_POINTS points, which need not be even) travels as one sorted array in a one-row broadcast, and
+    each row finds its place in it by halving, so no row is multiplied. Of points with one x the largest y counts. The
+    columns of df may have any names but _curve.
     """
-    ends = curve.agg(F.min(F.struct("x", "y")).alias("lo"), F.max(F.struct("x", "y")).alias("hi"), F.array_sort(F.collect_list(F.struct("x", "y"))).alias("pts"))
-    x = F.col(v)
-    at = F.size(F.filter("pts", lambda p: p["x"] <= x))
-    a, b = F.element_at("pts", F.greatest(at, F.lit(1))), F.element_at("pts", F.least(at + 1, F.size("pts")))
-    inner = a["y"] + (b["y"] - a["y"]) * (x - a["x"]) / (b["x"] - a["x"])
-    low = F.lit(left) if left is not None else F.col("lo.y")
-    high = F.lit(right) if right is not None else F.col("hi.y")
-    y = F.when(x < F.col("lo.x"), low).when(x > F.col("hi.x"), high).when(x == F.col("hi.x"), F.col("hi.y")).when(x.isNotNull(), inner)
-    return df.crossJoin(F.broadcast(ends)).withColumn(out, y).drop("lo", "hi", "pts")
+    points = curve.where("x is not null and y is not null").groupBy("x").agg(F.max("y").alias("y"))
+    points = points.agg(F.array_sort(F.collect_list(F.struct("x", "y"))).alias("_curve"))
+    x, pts = F.col(v), F.col("_curve")
+    halves = F.array(*(F.lit(1 << k) for k in range(MOST_POINTS.bit_length() - 1, -1, -1)))
+    at = F.aggregate(halves, F.lit(0), lambda n, step: F.when(F.get(pts, n + step - 1)["x"] <= x, n + step).otherwise(n))  # points up to x
+    lo, hi = F.get(pts, F.lit(0)), F.get(pts, F.size(pts) - 1)
+    a, b = F.get(pts, F.greatest(at - 1, F.lit(0))), F.get(pts, F.least(at, F.size(pts) - 1))
+    inner = a["y"] + (b["y"] - a["y"]) * (x - a["x"]) / F.nullif(b["x"] - a["x"], F.lit(0.0))
+    low = F.lit(left) if left is not None else lo["y"]
+    high = F.lit(right) if right is not None else hi["y"]
+    y = F.when(x < lo["x"], low).when(x > hi["x"], high).when(x == hi["x"], hi["y"]).when(x.isNotNull(), inner)
+    return df.crossJoin(F.broadcast(points)).withColumn(out, y).drop("_curve")
 
 
 def fit_power_curve(spark: SparkSession, df: DataFrame, ws: str = "ws100", power: str = "power", width: float = 0.5, least: int = 5) -> DataFrame:
@@ -46,7 +53,12 @@ def fit_power_curve(spark: SparkSession, df: DataFrame, ws: str = "ws100", power
     """
     d = df.select(F.col(ws).alias("ws"), F.col(power).alias("p")).where("ws is not null and p is not null")
     top = d.agg((F.ceil(F.max("ws") / width)).cast("int").alias("bins"))
-    med = d.groupBy(F.floor(F.col("ws") / width).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.expr("percentile(p, 0.5)").alias("med"))
+    # equal powers are counted first; the median is read off their running count, so no bin has to fit into memory
+    counted = d.groupBy(F.floor(F.col("ws") / width).cast("int").alias("bin"), "p").agg(F.count(F.lit(1)).alias("c"))
+    upto = Window.partitionBy("bin").orderBy("p")
+    run = counted.select("bin", "p", F.sum("c").over(upto).alias("upto"), F.sum("c").over(Window.partitionBy("bin")).alias("n"))
+    middle = lambda of: F.min(F.when(F.col("upto") > of, F.col("p")))
+    med = run.groupBy("bin").agg(F.max("n").alias("n"), ((middle(F.floor((F.col("n") - 1) / 2)) + middle(F.floor(F.col("n") / 2))) / 2).alias("med"))
     spine = top.select(F.explode(F.sequence(F.lit(0), F.greatest(F.col("bins"), F.lit(1)) - 1)).alias("bin"))
     known = spine.join(F.broadcast(med.where(F.col("n") >= least).select("bin", "med")), "bin", "left")
     back, on = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0), Window.orderBy("bin").rowsBetween(0, Window.unboundedFollowing)
@@ -76,15 +88,17 @@ def fit_cubic(df: DataFrame, ws: str = "ws100", power: str = "power") -> DataFra
 
 
 def _with_one_row(df: DataFrame, params: DataFrame, out: str, y: Column) -> DataFrame:
-    return df.crossJoin(F.broadcast(params)).withColumn(out, clip01(y)).drop(*params.columns)
+    """``y`` may use the parameters by their names with _p_ before them, so df may have columns of their names."""
+    named = params.select(*(F.col(c).alias(f"_p_{c}") for c in params.columns))
+    return df.crossJoin(F.broadcast(named)).withColumn(out, clip01(y)).drop(*named.columns)
 
 
 def predict_linear(df: DataFrame, params: DataFrame, ws: str = "ws100", out: str = "pred") -> DataFrame:
-    return _with_one_row(df, params, out, F.col("a") * F.col(ws) + F.col("b"))
+    return _with_one_row(df, params, out, F.col("_p_a") * F.col(ws) + F.col("_p_b"))
 
 
 def predict_cubic(df: DataFrame, params: DataFrame, ws: str = "ws100", out: str = "pred") -> DataFrame:
-    return _with_one_row(df, params, out, F.col("k") * F.pow(F.col(ws), F.lit(3.0)))
+    return _with_one_row(df, params, out, F.col("_p_k") * F.pow(F.col(ws), F.lit(3.0)))
 
 
 def predict_persistence(df: DataFrame, lag: str = "power_lag1", out: str = "pred") -> DataFrame:

@@ -84,7 +84,7 @@ def gram_correlation(df: DataFrame, stations: Sequence, value: str = "power", st
     place = {s: i for i, s in enumerate(names)}
     n = len(names)
     means = df.groupBy(station).agg(F.avg(value).alias("_m"))
-    d = df.where(F.col(value).isNotNull() & F.col(station).isin(names)).join(F.broadcast(means), station)
+    d = df.where(F.col(value).isNotNull() & F.col(station).isin(names)).join(means, station)
     d = d.groupBy(ts).agg(F.collect_list(F.struct(F.col(station).alias("s"), (F.col(value) - F.col("_m")).alias("v"))).alias("row"))
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -20,8 +20,8 @@ def split_by_time(df: DataFrame, test_ratio: float = 0.3, ts: str = "ts") -> tup
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
     counts = df.groupBy(micros.alias("m")).agg(F.count(F.lit(1)).alias("w"))
     cut = counts.agg(F.percentile("m", 1 - test_ratio, F.col("w")).alias("cut"))
-    d = df.crossJoin(F.broadcast(cut)).withColumn("_m", micros)
-    return d.where("_m <= cut").drop("cut", "_m"), d.where("_m > cut").drop("cut", "_m"), cut
+    d = df.crossJoin(F.broadcast(cut.toDF("_cut"))).withColumn("_m", micros)
+    return d.where("_m <= _cut").drop("_cut", "_m"), d.where("_m > _cut").drop("_cut", "_m"), cut
 
 
 @dataclass
@@ -132,7 +132,7 @@ def predictions(spark: SparkSession, train: DataFrame, test: DataFrame, models:
         elif name == "ridge":
             p = ridge_predict(ok, ridge_fit(train, features))
         elif name == "gbt":
-            p = gbt_predict(ok, gbt_fit(train, features, max_iter=gbt_iter, max_depth=4, partitions=4), features)
+            p = gbt_predict(ok, gbt_fit(train, features, max_iter=gbt_iter, max_depth=4), features)
         else:
             raise ValueError(f"no model is called {name}")
         parts.append(p.select(F.lit(name).alias("model"), *keep))
@@ -150,12 +150,12 @@ def run_experiment(spark: SparkSession, train: DataFrame, test: DataFrame, model
     return table, error_by_wind_bin(pred.join(F.broadcast(best), "model"))
 
 
-def experiment_a(spark: SparkSession, train: DataFrame, test: DataFrame, learners: Sequence[str] = ("ridge",), gbt_iter: int = 5):
+def experiment_a(spark: SparkSession, train: DataFrame, test: DataFrame, learners: Sequence[str] = ("ridge", "gbt"), gbt_iter: int = 5):
     """Forecast features only: physical baselines against learners."""
     return run_experiment(spark, train, test, ["power curve", "cubic", "linear", *learners], FEATURES, gbt_iter)
 
 
-def experiment_b(spark: SparkSession, train: DataFrame, test: DataFrame, learners: Sequence[str] = ("ridge",), gbt_iter: int = 5):
+def experiment_b(spark: SparkSession, train: DataFrame, test: DataFrame, learners: Sequence[str] = ("ridge", "gbt"), gbt_iter: int = 5):
     """With the station's own history: persistence is the baseline."""
     return run_experiment(spark, train, test, ["persistence", *learners], [*FEATURES, *LAG_FEATURES], gbt_iter)
 

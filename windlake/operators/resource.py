@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from windlake.functions import physics as P
+from windlake.operators.curves import interpolate
 from windlake.operators.weibull import fit_mle
 
 #: The uncertainty items of a yield assessment and their standard deviations.
@@ -34,9 +35,11 @@ def speed_bins(spark: SparkSession, v_max: float = 25.0, dv: float = 0.2) -> Dat
     return spark.range(round((v_max - dv / 2) / dv + 0.4999)).select((F.lit(dv / 2) + F.col("id") * dv).alias("v_mid"))
 
 
-def aep_detail(spark: SparkSession, params: DataFrame, capacity_mw: float = 1.0, hours: float = 8760.0, v_max: float = 25.0, dv: float = 0.2, k: str = "k", c: str = "c", by: str = "zone") -> DataFrame:
-    """Energy of each station and speed bin: its frequency by the Weibull density, the typical curve's power, the energy."""
-    bins = F.broadcast(speed_bins(spark, v_max, dv).withColumn("p_norm", _curve_at("v_mid")))
+def aep_detail(spark: SparkSession, params: DataFrame, capacity_mw: float = 1.0, hours: float = 8760.0, v_max: float = 25.0, dv: float = 0.2, k: str = "k", c: str = "c", by: str = "zone", curve: DataFrame | None = None) -> DataFrame:
+    """Energy of each station and speed bin: its frequency by the Weibull density, the power, the energy. ``curve`` (x speed,
+    y power of a turbine in shares of its capacity) is a turbine's own; 0 beyond its ends. Without one, the typical curve."""
+    bins = speed_bins(spark, v_max, dv)
+    bins = F.broadcast(bins.withColumn("p_norm", _curve_at("v_mid")) if curve is None else interpolate(bins, "v_mid", curve, "p_norm", left=0.0, right=0.0))
     d = params.select(by, F.col(k).alias("k"), F.col(c).alias("c")).crossJoin(bins)
     d = d.withColumn("frequency", P.weibull_pdf("v_mid", "k", "c") * dv)
     return d.select(by, "v_mid", "frequency", "p_norm", (F.col("p_norm") * capacity_mw).alias("p_mw"), (hours * capacity_mw * F.col("p_norm") * F.col("frequency")).alias("energy_mwh"))
@@ -71,23 +74,23 @@ def uncertainty_budget(spark: SparkSession, items: list[tuple[str, float]] = UNC
     return d.withColumn("variance_share_pct", F.col("sigma") * F.col("sigma") / (total * total) * 100).withColumn("total_sigma", F.lit(total))
 
 
-def wind_resource_report(spark: SparkSession, df: DataFrame, ws: str = "ws100", hub_height: float = 100.0, z_obs: float = 100.0, capacity_mw: float = 1.0, by: str = "zone", alpha: float = 0.143) -> DataFrame:
-    """One row for each station: fits, density, grade, hub values, capacity factor, P50, P75, P90, unrounded."""
+def wind_resource_report(spark: SparkSession, df: DataFrame, ws: str = "ws100", hub_height: float = 100.0, z_obs: float = 100.0, capacity_mw: float = 1.0, by: str = "zone", alpha: float = 0.143, curve: DataFrame | None = None) -> DataFrame:
+    """One row for each station (``curve`` as in aep_detail): fits, density, grade, hub values, capacity factor, P50, P75, P90, unrounded."""
     rho = P.STANDARD_DENSITY
     fits = fit_mle(spark, df, ws, [by])
     v = F.when(F.abs(F.col(ws)) < float("inf"), F.col(ws))
     base = df.groupBy(by).agg(F.count(v).alias("n"), F.avg(v).alias("mean_ws"), (F.avg(v * v * v) * (0.5 * rho)).alias("wpd"))
     r = base.join(fits, by).withColumn("c_hub", F.col("c_mle") * (hub_height / z_obs) ** alpha)
-    energy = aep(spark, r, capacity_mw, by, k="k_mle", c="c_hub")
+    energy = aep(spark, r, capacity_mw, by, k="k_mle", c="c_hub", curve=curve)
     r = r.withColumns({"wpd_weibull": P.wind_power_density_weibull("k_mle", "c_mle", rho), "wpd_hub": P.wind_power_density_weibull("k_mle", "c_hub", rho), "grade": P.grade("wpd")})
     return r.join(energy, by).withColumns(P.p_values("aep_mwh", TOTAL_SIGMA)).drop("aep_mwh")
 
 
-def site_resource_table(spark: SparkSession, df: DataFrame, hub: float = 100.0, capacity_mw: float = 50.0, by: str = "zone") -> DataFrame:
+def site_resource_table(spark: SparkSession, df: DataFrame, hub: float = 100.0, capacity_mw: float = 50.0, by: str = "zone", curve: DataFrame | None = None) -> DataFrame:
     """One row for each station. Hub speeds come from 100 m by the station's own mean shear; the grade from 10 m."""
     shear = df.groupBy(by).agg(F.avg("shear").alias("shear_alpha"), F.avg("ws10").alias("ws10_mean"))
-    d = df.join(F.broadcast(shear.select(by, "shear_alpha")), by).withColumn("ws_hub", P.extrapolate_shear("ws100", 100.0, hub, "shear_alpha"))
-    hub_rows = wind_resource_report(spark, d, "ws_hub", hub, hub, capacity_mw, by)
+    d = df.join(shear.select(by, "shear_alpha"), by).withColumn("ws_hub", P.extrapolate_shear("ws100", 100.0, hub, "shear_alpha"))
+    hub_rows = wind_resource_report(spark, d, "ws_hub", hub, hub, capacity_mw, by, curve=curve)
     low = power_density_observed(df, "ws10", P.STANDARD_DENSITY, by).select(by, F.col("wpd").alias("wpd10"))
     r = hub_rows.join(low, by).join(shear, by)
     return r.select(

@@ -12,6 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from windlake.functions.physics import clip01
 from windlake.operators.features import FEATURES, drop_missing
 from windlake.operators.models import Moments, gbt_fit, gbt_predict, moment_blocks, ridge_from_moments
 
@@ -19,7 +20,7 @@ from windlake.operators.models import Moments, gbt_fit, gbt_predict, moment_bloc
 def exclude_stations(df: DataFrame, stations: DataFrame, station: str = "zone") -> DataFrame:
     """All rows but those of the listed stations (one column)."""
     gone = stations.toDF("_s")
-    return df.join(F.broadcast(gone), df[station] == gone["_s"], "left_anti")
+    return df.join(gone, df[station] == gone["_s"], "left_anti")
 
 
 def control_stations(df: DataFrame, groups: DataFrame, station: str = "zone") -> DataFrame:
@@ -28,7 +29,7 @@ def control_stations(df: DataFrame, groups: DataFrame, station: str = "zone") ->
 
 
 def station_folds(df: DataFrame, groups: DataFrame, station: str = "zone") -> DataFrame:
-    """fold, held_out, test_rows, train_has_partner: one station held out in each fold."""
+    """fold, held_out, test_rows, train_has_partner, stations (the held-out ones): one station held out in each fold."""
     return _folds(df, groups, station, by_group=False)
 
 
@@ -41,10 +42,11 @@ def _folds(df: DataFrame, groups: DataFrame, station: str, by_group: bool) -> Da
     n = df.groupBy(F.col(station).alias("station")).agg(F.count(F.lit(1)).alias("rows")).join(groups, "station", "left")
     unit = F.coalesce("group_id", "station") if by_group else F.col("station")
     partner = F.lit(0) if by_group else F.max(F.col("group_id").isNotNull().cast("int"))
-    f = n.groupBy(unit.alias("unit")).agg(F.array_join(F.transform(F.array_sort(F.collect_list("station")), lambda s: s.cast("string")), ",").alias("held_out"), F.sum("rows").alias("test_rows"), partner.alias("train_has_partner"))
+    f = n.groupBy(unit.alias("unit")).agg(F.array_sort(F.collect_list("station")).alias("stations"), F.sum("rows").alias("test_rows"), partner.alias("train_has_partner"))
+    f = f.withColumn("held_out", F.array_join(F.transform("stations", lambda s: s.cast("string")), ","))
     from pyspark.sql import Window
 
-    return f.select(F.row_number().over(Window.orderBy("unit")).alias("fold"), "held_out", "test_rows", "train_has_partner")
+    return f.select(F.row_number().over(Window.orderBy("unit")).alias("fold"), "held_out", "test_rows", "train_has_partner", "stations")
 
 
 def run_plan(spark: SparkSession, df: DataFrame, plan: list[tuple[str, Sequence, Sequence]], features: Sequence[str] = FEATURES, y: str = "power", station: str = "zone", learner: str = "ridge", alpha: float = 1.0, **gbt) -> DataFrame:
@@ -66,18 +68,24 @@ def run_plan(spark: SparkSession, df: DataFrame, plan: list[tuple[str, Sequence,
         for name, test, gone in plan:
             m = total
             for s in gone:
-                m = m - blocks[s]
-            pred = ridge_from_moments(m, shift, features, alpha).column()
-            runs.append(F.when(F.col(station).isin(list(test)), F.struct(F.lit(name).alias("run"), F.pow(F.col(y) - pred, F.lit(2.0)).alias("e"))))
-        errors = d.select(F.explode(F.array_compact(F.array(*runs))).alias("r")).select("r.run", "r.e")
+                if s in blocks:
+                    m = m - blocks[s]
+            if m.n <= 0:
+                continue
+            model = ridge_from_moments(m, shift, features, alpha)
+            runs += [(name, s, [float(x) for x in model.coef], model.intercept) for s in test]
+        kind = df.schema[station].dataType.simpleString()
+        table = spark.createDataFrame(runs, f"run string, _station {kind}, _coef array<double>, _intercept double")
+        pred = F.col("_intercept")
+        for i, name in enumerate(features):
+            pred = pred + F.col("_coef")[i] * F.col(name)
+        errors = d.join(table, F.col(station) == F.col("_station")).select("run", F.pow(F.col(y) - clip01(pred), F.lit(2.0)).alias("e"))
     return errors.groupBy("run").agg(F.sqrt(F.avg("e")).alias("rmse"), F.count(F.lit(1)).alias("n"))
 
 
 def fold_rmse(spark: SparkSession, df: DataFrame, folds: DataFrame, station: str = "zone", **kw) -> DataFrame:
     """The folds with their rmse. Folds are one row for each station or group."""
-    rows = folds.collect()
-    kind = type(df.select(station).first()[0])
-    plan = [(str(r["fold"]), held, held) for r in rows for held in [[kind(x) for x in r["held_out"].split(",")]]]
+    plan = [(str(r["fold"]), r["stations"], r["stations"]) for r in folds.collect()]
     got = run_plan(spark, df, plan, station=station, **kw)
     return folds.join(got.select(F.col("run").cast("int").alias("fold"), F.round("rmse", 4).alias("rmse")), "fold").select("fold", "held_out", "test_rows", "rmse", "train_has_partner")
 

@@ -31,8 +31,8 @@ def fit_mle(spark: SparkSession, df: DataFrame, col: str, keys: Sequence[str] =
     """Maximum likelihood k and c (k_mle, c_mle), with the moments' fit (k_mom, c_mom).
 
     The likelihood equation in k has one root; Newton steps from the moments' k find it, each an aggregate of three sums
-    over distinct speeds. Speeds are divided by their station's mean, so powers can't overflow. Outside [0.2, 20], or
-    where there are no moments, the moments' fit stands.
+    over distinct speeds. Speeds are divided by their station's mean, so powers can't overflow. Outside [0.2, 20],
+    where the last step still moves k, or where there are no moments, the moments' fit stands.
     """
     keys = list(keys)
     scratch = Scratch(spark, "weibull")
@@ -49,10 +49,11 @@ def fit_mle(spark: SparkSession, df: DataFrame, col: str, keys: Sequence[str] =
         )
         f = F.col("s1") / F.col("s0") - 1 / F.col("k") - F.col("m")
         slope = F.col("s2") / F.col("s0") - F.pow(F.col("s1") / F.col("s0"), F.lit(2.0)) + 1 / (F.col("k") * F.col("k"))
-        state = sums.select(*keys, "mean", F.least(F.greatest(F.col("k") - f / slope, F.lit(0.2)), F.lit(20.0)).alias("k"))
-    last = counted.join(state, keys).groupBy(*keys, "mean", "k").agg((F.sum(xk) / F.sum("w")).alias("mk"))
-    fit = last.select(*keys, F.col("k").alias("k1"), (F.col("mean") * F.pow("mk", 1 / F.col("k"))).alias("c1"))
-    inside = (F.col("k1") > 0.2) & (F.col("k1") < 20)
+        state = sums.select(*keys, "mean", F.abs(f / slope).alias("move"), F.least(F.greatest(F.col("k") - f / slope, F.lit(0.2)), F.lit(20.0)).alias("k"))
+    state = scratch.put(state, "state")
+    last = counted.join(state, keys).groupBy(*keys, "mean", "k", "move").agg((F.sum(xk) / F.sum("w")).alias("mk"))
+    fit = last.select(*keys, "move", F.col("k").alias("k1"), (F.col("mean") * F.pow("mk", 1 / F.col("k"))).alias("c1"))
+    inside = (F.col("k1") > 0.2) & (F.col("k1") < 20) & (F.col("move") < 1e-6 * F.col("k1"))
     return moments.join(fit, keys, "left").select(
         *keys, F.when(inside, F.col("k1")).otherwise(F.col("k_mom")).alias("k_mle"), F.when(inside, F.col("c1")).otherwise(F.col("c_mom")).alias("c_mle"), "k_mom", "c_mom"
     )

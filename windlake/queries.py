@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from windlake.functions import physics as P
 from windlake.operators import curves, features, independence, metrics, models, quality, resource, validation, weibull
 from windlake.operators.components import connected_components
-from windlake.sources.stations import WIND_CTES, parse_irregular_timestamp, union_stations, wind_view
+from windlake.sources.scratch import Scratch
+from windlake.sources.stations import MEASURES, WIND_CTES, parse_irregular_timestamp, read_stations, union_stations, wind_view, write_report
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -58,6 +59,18 @@ def s3(spark, d):
     return wind_view(spark, d).select("zone", "ts", parse_irregular_timestamp(text).alias("parsed"))
 
 
+@query("S1_S2_S6_csv_round_trip", "select ts as timestamp, zone, round(power, 6) as power, round(u10, 6) as u10, round(v10, 6) as v10, round(u100, 6) as u100, round(v100, 6) as v100 from wind")
+def s1(spark, d):
+    """Written as reports with two orders of columns, one spelt in lower case, and read back as station files."""
+    w = wind_view(spark, d)
+    cols = [F.col("zone").alias("ZONEID"), F.date_format("ts", "yyyyMMdd H:mm").alias("TIMESTAMP"), *(F.col(n).alias(c) for n, c in MEASURES.items())]
+    path = Scratch(spark, "stations").path
+    write_report(w.where("zone % 2 = 0").select(*cols), f"{path}/even")
+    odd = w.where("zone % 2 = 1").select(*reversed(cols))
+    write_report(odd.toDF(*(c.lower() for c in odd.columns)), f"{path}/odd")
+    return rounded(read_stations(spark, [f"{path}/even", f"{path}/odd"]))
+
+
 @query(
     "S4_missing_report",
     """, n as (select count(*) as n, count(ts) as ts, count(zone) as zone, count(power) as power, count(u10) as u10, count(v10) as v10, count(u100) as u100, count(v100) as v100 from wind),
@@ -211,7 +224,7 @@ def w1(spark, d):
     return rounded(out, 9, ("power_lag1", "power_lag2", "power_lag24"))
 
 
-@query("W1_lag_by_time", "select a.zone, a.ts, b.power as power_48h from wind a left join wind b on a.zone = b.zone and b.ts = a.ts - interval 48 hour")
+@query("W1_lag_by_time", ", now as materialized (select zone, ts from wind), past as materialized (select zone, ts + interval 48 hour as ts, power as power_48h from wind) select zone, ts, power_48h from now left join past using (zone, ts)")
 def w1t(spark, d):
     return features.lag_by_time(wind_view(spark, d), "power", 48).select("zone", "ts", "power_48h")
 
@@ -316,9 +329,39 @@ def a10(spark, d):
     return e.select("zone", F.round("capacity_factor", 6).alias("capacity_factor"), F.round("aep_mwh", 2).alias("aep_mwh"))
 
 
+CURVE_FIT = """, d as (select ws100 as ws, power as p from {t} where ws100 is not null and power is not null),
+    sp as (select i as bin from range(greatest((select cast(ceil(max(ws) / 0.5) as int) from d), 1)) t(i)),
+    me as (select cast(floor(ws / 0.5) as int) as bin, median(p) as med from d group by 1 having count(*) >= 5),
+    kn as (select sp.bin, med from sp left join me using (bin)),
+    nb as (select bin, med, (select max(bin) from me where me.bin <= kn.bin) as b0, (select min(bin) from me where me.bin >= kn.bin and me.bin in (select bin from sp)) as b1 from kn),
+    cv as (select nb.bin, nb.bin * 0.5 + 0.25 as x, least(greatest(coalesce(m0.med + (m1.med - m0.med) * (nb.bin - b0) / nullif(b1 - b0, 0), m0.med, m1.med), 0), 1) as y
+      from nb left join me m0 on m0.bin = nb.b0 left join me m1 on m1.bin = nb.b1)"""
+
+
+OWN = """, sg as (select x as x0, y as y0, lead(x) over (order by x) as x1, lead(y) over (order by x) as y1 from cv),
+    b as (select v, case when v < (select min(x) from cv) or v > (select max(x) from cv) then 0 when x1 is null then y0 else y0 + (y1 - y0) * (v - x0) / (x1 - x0) end as p
+      from (select 0.1 + i * 0.2 as v from range(125) t(i)) left join sg on v >= x0 and (v < x1 or x1 is null))"""
+
+
+def own_curve(spark: SparkSession, table: DataFrame) -> DataFrame:
+    """The stations' measured curve, as a user's own."""
+    return curves.fit_power_curve(spark, table).select("x", "y")
+
+
+def a10_own_sql() -> str:
+    return MOMENTS + CURVE_FIT.format(t="f") + OWN + f" select zone, round(sum(p * {PDF.format(k='k_mom', c='c_mom')}), 6) as capacity_factor, round(8760 * 50 * sum(p * {PDF.format(k='k_mom', c='c_mom')}), 2) as aep_mwh from kc, b group by zone"
+
+
 ITEMS = "(values " + ", ".join(f"('{n}', {s})" for n, s in resource.UNCERTAINTY) + ") u(item, sigma)"
 
 
+@query("A10_aep_own_curve", a10_own_sql())
+def a10_own(spark, d):
+    t = speeds(spark, d)
+    e = resource.aep(spark, weibull.fit_moments(t, "ws100"), 50.0, curve=own_curve(spark, t))
+    return e.select("zone", F.round("capacity_factor", 6).alias("capacity_factor"), F.round("aep_mwh", 2).alias("aep_mwh"))
+
+
 @query(
     "A11_uncertainty",
     MOMENTS + BINS + f""", e as (select zone, 8760 * sum(p * {PDF.format(k="k_mom", c="c_mom")}) as aep from kc, b group by zone)
@@ -348,6 +391,20 @@ def a12(spark, d):
     return r.select("zone", "n", "grade", *(F.round(c, n.get(c, 3)).alias(c) for c in ("mean_ws", "k_mle", "c_mle", "k_mom", "c_mom", "wpd", "wpd_weibull", "c_hub", "wpd_hub", "capacity_factor", "p50", "p75", "p90")))
 
 
+@query(
+    "A12_own_curve",
+    REPORT.replace(BINS, CURVE_FIT.format(t="f") + OWN) + f""" select zone, n, round(mean_ws, 3) as mean_ws, round(k_mle, 3) as k_mle, round(c_mle, 3) as c_mle, round(k_mom, 3) as k_mom, round(c_mom, 3) as c_mom, round(wpd, 1) as wpd,
+    round(0.5 * {RHO} * pow(c_mle, 3) * gamma(1 + 3 / k_mle), 1) as wpd_weibull, {GRADE.format(w="wpd")} as grade, round(c_mle * pow(1.2, 0.143), 3) as c_hub,
+    round(0.5 * {RHO} * pow(c_mle * pow(1.2, 0.143), 3) * gamma(1 + 3 / k_mle), 1) as wpd_hub, round(cf, 4) as capacity_factor, round(8760 * 50 * cf, 1) as p50,
+    round(8760 * 50 * cf * (1 - 0.6745 * {SIGMA}), 1) as p75, round(8760 * 50 * cf * (1 - 1.2816 * {SIGMA}), 1) as p90 from ob join w using (zone) join e using (zone)""",
+)
+def a12_own(spark, d):
+    t = speeds(spark, d)
+    r = resource.wind_resource_report(spark, t, "ws100", 120.0, 100.0, 50.0, curve=own_curve(spark, t))
+    n = {"wpd": 1, "wpd_weibull": 1, "wpd_hub": 1, "capacity_factor": 4, "p50": 1, "p75": 1, "p90": 1}
+    return r.select("zone", "n", "grade", *(F.round(c, n.get(c, 3)).alias(c) for c in ("mean_ws", "k_mle", "c_mle", "k_mom", "c_mom", "wpd", "wpd_weibull", "c_hub", "wpd_hub", "capacity_factor", "p50", "p75", "p90")))
+
+
 def site_sql() -> str:
     """The same Newton steps on 100 m speeds scaled to a 120 m hub by each station's shear."""
     sql = newton_sql().replace("from f where ws100 > 0", "from hub where ws100 > 0").replace("from f join kc using (zone) where ws100 > 0", "from hub f join kc using (zone) where ws100 > 0")
@@ -399,15 +456,6 @@ def m1(spark, d):
     return part(train, "train").unionAll(part(test, "test"))
 
 
-CURVE_FIT = """, d as (select ws100 as ws, power as p from {t} where ws100 is not null and power is not null),
-    sp as (select i as bin from range(greatest((select cast(ceil(max(ws) / 0.5) as int) from d), 1)) t(i)),
-    me as (select cast(floor(ws / 0.5) as int) as bin, median(p) as med from d group by 1 having count(*) >= 5),
-    kn as (select sp.bin, med from sp left join me using (bin)),
-    nb as (select bin, med, (select max(bin) from me where me.bin <= kn.bin) as b0, (select min(bin) from me where me.bin >= kn.bin and me.bin in (select bin from sp)) as b1 from kn),
-    cv as (select nb.bin, nb.bin * 0.5 + 0.25 as x, least(greatest(coalesce(m0.med + (m1.med - m0.med) * (nb.bin - b0) / nullif(b1 - b0, 0), m0.med, m1.med), 0), 1) as y
-      from nb left join me m0 on m0.bin = nb.b0 left join me m1 on m1.bin = nb.b1)"""
-
-
 @query("A15_power_curve", CURVE_FIT.format(t="s") + " select bin, x, round(y, 9) as y from cv")
 def a15(spark, d):
     return rounded(curves.fit_power_curve(spark, speeds(spark, d)), 9)
@@ -507,6 +555,32 @@ def m9b(spark, d):
     return models.experiment_b(spark, train, test)[0]
 
 
+@query("M8_best_model_errors_a")
+def m8a(spark, d):
+    train, test, _ = full_split(spark, d)
+    return models.experiment_a(spark, train, test)[1]
+
+
+@query("M8_best_model_errors_b")
+def m8b(spark, d):
+    train, test, _ = full_split(spark, d)
+    return models.experiment_b(spark, train, test)[1]
+
+
+TWO = ["ws100", "shear"]
+#: Ridge on two standardised features, solved by hand: {g} groups the training rows in tr2.
+RIDGE = """, st as (select {g} count(*) as n, avg(ws100) as m1, avg(shear) as m2, avg(power) as my, stddev_pop(ws100) as s1, stddev_pop(shear) as s2, covar_pop(ws100, shear) as c12, covar_pop(ws100, power) as c1y, covar_pop(shear, power) as c2y from tr2 {by}),
+    so as (select *, n * c12 / (s1 * s2) as a12, n * c1y / s1 as b1, n * c2y / s2 as b2, (n + 1) * (n + 1) - pow(n * c12 / (s1 * s2), 2) as det from st),
+    w2 as (select *, (b1 * (n + 1) - a12 * b2) / det / s1 as w1, (b2 * (n + 1) - a12 * b1) / det / s2 as w2 from so)"""
+GUESS = "least(greatest(my + w1 * (ws100 - m1) + w2 * (shear - m2), 0), 1)"
+
+
+@query("M5_ridge_two_features", SPLIT + ", tr2 as (select * from tr where power is not null and shear is not null)" + RIDGE.format(g="", by="") + f" select zone, ts, round({GUESS}, 6) as pred from te, w2 where power is not null and shear is not null")
+def m5_two(spark, d):
+    train, test, _ = split(spark, d)
+    return rounded(models.ridge_predict(features.drop_missing(test, [*TWO, "power"]), models.ridge_fit(train, TWO)).select("zone", "ts", "pred"))
+
+
 @query("M10_experiment_delta", PRED + f", mt as ({METRICS}) select 'linear' as learner, 'power curve' as baseline, round((select accuracy_pct from mt where model = 'linear') - (select accuracy_pct from mt where model = 'power curve'), 2) as delta_points")
 def m10(spark, d):
     return models.experiment_delta(metrics.regression_metrics(baseline_predictions(spark, d)), "linear")
@@ -574,15 +648,8 @@ def q6(spark, d):
     return independence.correlation_clusters(spark, independence.correlation_pairs(w), w.select(F.col("zone").alias("station")), 0.02)
 
 
-@query("Q7_components", ", e as (select o_custkey as station_a, o_custkey // 3 * 2 + 1 as station_b from orders where o_orderkey % 4 = 0)" + REACH.format(t="e") + " select station as vertex, group_id as component from cc")
+@query("Q7_components", ", e as materialized (select distinct o_custkey as station_a, o_custkey // 3 * 2 + 1 as station_b from orders)" + REACH.format(t="e") + " select station as vertex, group_id as component from cc")
 def q7(spark, d):
-    o = spark.read.parquet(f"{d}/orders.parquet").where("o_orderkey % 4 = 0")
-    return connected_components(spark, o.select(F.col("o_custkey").cast("long").alias("a"), F.expr("o_custkey div 3 * 2 + 1").alias("b")))
-
-
-@query("Q7_components_all_orders")
-def q7_all(spark, d):
-    """As Q7, over every order; its recursive SQL would hold all pairs of a component, so a test holds it against union-find."""
     o = spark.read.parquet(f"{d}/orders.parquet")
     return connected_components(spark, o.select(F.col("o_custkey").cast("long").alias("a"), F.expr("o_custkey div 3 * 2 + 1").alias("b")))
 
@@ -633,13 +700,13 @@ FOLD = ", sr as (select zone as station, count(*) as n, any_value(group_id) as g
 @query("C2_station_folds", SAME + FOLD + " select row_number() over (order by station) as fold, cast(station as varchar) as held_out, n as test_rows, case when g is null then 0 else 1 end as train_has_partner from sr")
 def c2(spark, d):
     w = wind_view(spark, d)
-    return validation.station_folds(w, independence.exact_duplicate_groups(w))
+    return validation.station_folds(w, independence.exact_duplicate_groups(w)).drop("stations")
 
 
 @query("C3_group_folds", SAME + FOLD + ", fo as (select coalesce(g, station) as u, string_agg(cast(station as varchar), ',' order by station) as held_out, sum(n) as test_rows from sr group by 1) select row_number() over (order by u) as fold, held_out, test_rows, 0 as train_has_partner from fo")
 def c3(spark, d):
     w = wind_view(spark, d)
-    return validation.group_folds(w, independence.exact_duplicate_groups(w))
+    return validation.group_folds(w, independence.exact_duplicate_groups(w)).drop("stations")
 
 
 @query("C2_C3_fold_rmse")
@@ -651,6 +718,38 @@ def c23(spark, d):
     return one.unionAll(many)
 
 
+OK_ROWS = ", ok as materialized (select zone, ts, ws100, shear, power from s where power is not null and shear is not null)"
+ERRORS = f", er as (select w2.*, ok.zone, pow(power - {GUESS}, 2) as e from ok join w2 on {{on}})"
+
+
+@query(
+    "C2_C3_fold_rmse_two_features",
+    SAME + OK_ROWS + """, un as (select distinct zone, 'station' as how, zone as u from wind union all select distinct zone, 'group', coalesce(group_id, zone) from wind left join gr on gr.station = zone),
+    fo as (select distinct how, u from un), tr2 as (select fo.how, fo.u, ok.* from ok join un on un.zone = ok.zone join fo on fo.how = un.how and fo.u <> un.u)"""
+    + RIDGE.format(g="how, u,", by="group by how, u") + ERRORS.format(on="exists (select 1 from un where un.zone = ok.zone and un.how = w2.how and un.u = w2.u)")
+    + " select how as by, row_number() over (partition by how order by u) as fold, round(sqrt(avg(e)), 4) as rmse from er group by how, u",
+)
+def c23_two(spark, d):
+    w = wind_view(spark, d)
+    groups = independence.exact_duplicate_groups(w)
+    by = lambda t, n: validation.fold_rmse(spark, sheared(spark, d), t, features=TWO).select(F.lit(n).alias("by"), "fold", "rmse")
+    return by(validation.station_folds(w, groups), "station").unionAll(by(validation.group_folds(w, groups), "group"))
+
+
+@query(
+    "C4_leakage_two_features",
+    SAME + OK_ROWS + """, tg as (select group_id as t, min(station) filter (station <> group_id) as twin from gr group by group_id),
+    ru as (select t, 'A' as kind, t as k from tg union all select t, 'B', twin from tg union all select t, 'C', zone from tg, (select distinct zone from wind) where zone not in (select station from gr where group_id = t)),
+    tr2 as (select ru.*, ok.* from ok join ru on ok.zone <> t and ok.zone <> k)"""
+    + RIDGE.format(g="t, kind, k,", by="group by t, kind, k") + ERRORS.format(on="ok.zone = w2.t")
+    + """, rm as (select t, kind, k, sqrt(avg(e)) as rmse from er group by t, kind, k)
+    select t as test_station, round(max(rmse) filter (kind = 'A'), 5) as a_rmse, round(max(rmse) filter (kind = 'B'), 5) as b_rmse, round(avg(rmse) filter (kind = 'C'), 5) as c_mean, round(stddev_pop(rmse) filter (kind = 'C'), 5) as c_sd from rm group by t""",
+)
+def c4_two(spark, d):
+    table = validation.controlled_leakage_test(spark, sheared(spark, d), independence.exact_duplicate_groups(wind_view(spark, d)), features=TWO)
+    return rounded(table.select("test_station", "a_rmse", "b_rmse", "c_mean", "c_sd"), 5)
+
+
 @query("C4_C7_leakage_test")
 def c4(spark, d):
     w = wind_view(spark, d)
@@ -673,19 +772,39 @@ def c5(spark, d):
     return rounded(validation.relative_overestimate(validation.leakage_verdict(t)).select("test_station", "verdict", "overestimate_pct", "over_c_pct", "over_a_pct"), 4)
 
 
-@query("T3_union", "select zone, ts, power from wind where zone in (1, 2, 7)")
+@query("T3_union", "select zone, ts, power from wind")
 def t3(spark, d):
-    w = wind_view(spark, d).select("zone", "ts", "power")
-    return union_stations([w.where(F.col("zone") == z) for z in (1, 2, 7)])
-
-
-@query("T3_union_all_stations", "select zone, ts, power from wind")
-def t3_all(spark, d):
     w = wind_view(spark, d).select("zone", "ts", "power")
     zones = sorted(r["zone"] for r in w.select("zone").distinct().collect())
     return union_stations([w.where(F.col("zone") == z) for z in zones])
 
 
+# ---- the same with a station for each supplier, so that stations grow with the tables
+
+
+def by_supplier(name: str, sql: str):
+    def register(f: Query) -> Query:
+        QUERIES[name] = f
+        ORACLE_SQL[name] = BASE.replace("cast(l_suppkey % 10 as int) + 1", "cast(l_suppkey as int)").replace("l_suppkey % 10", "l_suppkey") + sql
+        return f
+
+    return register
+
+
+QC_SQL = ORACLE_SQL["A5_station_qc"].removeprefix(BASE)
+
+
+@by_supplier("A5_station_qc_suppliers", QC_SQL)
+def a5_wide(spark, d):
+    return quality.station_qc_table(features.with_speeds(wind_view(spark, d, by_supplier=True)))
+
+
+@by_supplier("W1_W2_history_suppliers", ORACLE_SQL["W1_W2_history"].removeprefix(BASE))
+def w1_wide(spark, d):
+    out = features.lag_features(wind_view(spark, d, by_supplier=True)).select("zone", "ts", *features.LAG_FEATURES)
+    return rounded(out, 9, ("power_lag1", "power_lag2", "power_lag24"))
+
+
 @query("T4_control_stations", SAME + " select distinct zone as station from wind where zone not in (select station from gr)")
 def t4(spark, d):
     w = wind_view(spark, d)

@@ -9,14 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir, or, only where that is unset, a temporary one (tests, one machine)."""
+    """The folder named by spark.checkpoint.dir; only where that is unset and Spark runs in one process, a temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='windlake-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = _LOCAL.setdefault(spark.sparkContext.applicationId, f"file://{tempfile.mkdtemp(prefix='windlake-')}")
     return base.rstrip("/")
 
 
+_LOCAL: dict[str, str] = {}
+
+
 class Scratch:
     """Tables written to the shared folder to cut lineage: a lost executor costs a reread, not a recomputation."""
 

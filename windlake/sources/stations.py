@@ -22,16 +22,23 @@ def parse_irregular_timestamp(text: Column | str) -> Column:
 def read_stations(spark: SparkSession, paths: str | Sequence[str], zones: Sequence[int] | None = None, task: int | None = None) -> DataFrame:
     """CSV files of stations as one long table: timestamp, zone, power, u10, v10, u100, v100 (and task, if given).
 
-    Header names are trimmed and upper-cased, so each file may spell them its own way only as far as its columns stand in
-    one order. A path pattern reads whatever files there are; without any, Spark raises. Missing values are NULL.
+    Header names are trimmed and upper-cased, and files are read by name: each may spell and order its columns its own way.
+    A path pattern reads whatever files there are; without any, Spark raises. Missing values are NULL.
     """
-    raw = spark.read.csv(paths, header=True, inferSchema=False, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
-    raw = raw.toDF(*(c.strip().upper() for c in raw.columns))
-    out = raw.select(
-        parse_irregular_timestamp("TIMESTAMP").alias("timestamp"),
-        F.col("ZONEID").cast("int").alias("zone"),
-        *(clean(F.expr(f"try_cast({c} as double)")).alias(n) for n, c in MEASURES.items()),
-    )
+    lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("file"))
+    headers = lines.where(F.upper("value").contains("ZONEID")).groupBy("value").agg(F.collect_set("file").alias("files")).collect()
+    parts = []
+    for header in headers:  # as many as there are orders and spellings of columns
+        raw = spark.read.csv(header["files"], header=True, inferSchema=False, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
+        raw = raw.toDF(*(c.strip().upper() for c in raw.columns))
+        parts.append(
+            raw.select(
+                parse_irregular_timestamp("TIMESTAMP").alias("timestamp"),
+                F.col("ZONEID").cast("int").alias("zone"),
+                *(clean(F.expr(f"try_cast({c} as double)")).alias(n) for n, c in MEASURES.items()),
+            )
+        )
+    out = union_stations(parts)
     if zones is not None:
         out = out.where(F.col("zone").isin(list(zones)))
     return out if task is None else out.withColumn("task", F.lit(task))
@@ -78,6 +85,8 @@ wind as (
   from z)"""
 
 
-def wind_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+def wind_view(spark: SparkSession, sf_dir: str, by_supplier: bool = False) -> DataFrame:
+    """The view; ``by_supplier`` makes each supplier a station, so that their number grows with the tables."""
     lineitem = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    return spark.sql(f"with {WIND_CTES} select * from wind", lineitem=lineitem)
+    ctes = WIND_CTES.replace("cast(l_suppkey % 10 as int) + 1", "cast(l_suppkey as int)").replace("l_suppkey % 10", "l_suppkey") if by_supplier else WIND_CTES
+    return spark.sql(f"with {ctes} select * from wind", lineitem=lineitem)
