@@ -19,9 +19,9 @@ from windlake.llm.tokens import UnitHashes
 
 LEAST_DOCS = 3
 TOP = 200
-#: The sketch: rows of cells of two bits, which stay at 3 once there. Its size is fixed (16 MB by default), whatever the input: with
+#: The sketch: rows of cells of two bits, which stay at 3 once there. Its size is fixed (12 MB by default), whatever the input: with
 #: many more terms than cells fewer are dropped early, and the exact counts still decide.
-SHAPE, FULL = (4, 24), 3  # rows, and bits of a cell's number
+SHAPE, FULL = (3, 24), 3  # rows, and bits of a cell's number
 PIECE_BITS = 16  # cells of a piece, the unit in which sketches are merged
 ONE = 1_000_000_000
 
@@ -86,10 +86,15 @@ def _document_pairs(codes: np.ndarray, text: np.ndarray, n: int) -> tuple[np.nda
 
 
 def add_to(cells: np.ndarray, at: np.ndarray, n: np.ndarray) -> None:
-    """Adds to cells that stay at FULL."""
-    place, back = np.unique(at, return_inverse=True)
-    more = np.bincount(back, n)
-    cells[place] = np.minimum(FULL, cells[place] + more).astype(np.uint8)
+    """Adds to cells that stay at FULL. Cells that are named more than once get their sum."""
+    s = np.sort(at)
+    twice = s[1:][s[1:] == s[:-1]]
+    if len(twice):
+        again = twice[np.minimum(np.searchsorted(twice, at), len(twice) - 1)] == at
+        place, back = np.unique(at[again], return_inverse=True)
+        cells[place] = np.minimum(FULL, cells[place] + np.bincount(back, n[again]))
+        at, n = at[~again], n[~again]
+    cells[at] = np.minimum(FULL, cells[at] + n)
 
 
 def _sketch(shape: tuple[int, int]):
@@ -205,7 +210,7 @@ def source_divergence(spark: SparkSession, docs: DataFrame, least: int = LEAST_D
     without kept terms has pair rows of 0. Equal values are ranked by item. Other columns are ignored; an empty table gives
     an empty result. ``shape`` is the sketch's: of 2 bits a cell, at least 16 bits for a cell's number.
     """
-    small_batches(spark, rows=4000)
+    small_batches(spark, rows=1000, size=4 << 20)
     scratch = Scratch(spark, "divergence")
     docs = docs.select(*(text_or_empty(c).alias(c) for c in ("text", "lang", "source")))
     kept = kept_terms(spark, scratch, docs, least, shape)
