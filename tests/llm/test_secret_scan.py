@@ -53,7 +53,8 @@ def test_automata_know_formats():
     words = ["".join(rnd.choice("etaoinshr") for _ in range(rnd.randint(3, 12))) for _ in range(500)]
     detector = S.Detector({"assign": [make() for _ in range(500)]}, words)
     tree = S.Automaton(["ab1", "ab2", "xb1"])
-    assert detector.formats["assign"].total(0) == 500 and tree.total(0) == 3
+    (kind, prefix, _), automaton = next(iter(detector.formats.items()))
+    assert (kind, prefix) == ("assign", "") and automaton.total(0) == 500 and tree.total(0) == 3
     assert all(detector.gain(make()) > S.MARGIN for _ in range(50))
     assert all(detector.gain(w + "-" + v) < S.MARGIN for w, v in zip(words, words[1:]) if len(w + v) > 15)
     assert detector.gain("4012888888881881") < S.MARGIN
@@ -102,3 +103,65 @@ def test_every_run_is_scored_and_both_stages_agree(spark):
             parts += [texts[r.doc_id][at:s], S.MASK] if s >= at else []
             at = max(at, e)
         assert r.text == "".join(parts) + texts[r.doc_id][at:]
+
+
+LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+BASE62 = LETTERS + LETTERS.lower() + "0123456789"
+some = lambda rnd, letters, n: "".join(rnd.choice(letters) for _ in range(n))
+#: Made formats, each with labelled kin in the texts.
+FORMATS = {
+    "base62": lambda r: some(r, BASE62, 40),
+    "prefixed": lambda r: "ghp_" + some(r, BASE62, 36),
+    "dashed prefix": lambda r: "xoxb-" + some(r, "0123456789", 11) + "-" + some(r, BASE62, 24),
+    "grouped": lambda r: "-".join(some(r, LETTERS + "0123456789", 4) for _ in range(4)),
+    "hex": lambda r: some(r, "0123456789abcdef", 20),
+    "upper case": lambda r: some(r, LETTERS, 24),
+}
+PLAIN = [
+    lambda r: f"20{r.randint(10, 29)}-0{r.randint(1, 9)}-{r.randint(10, 28)}",
+    lambda r: f"/usr/local/lib/{some(r, 'abcdefgh', 6)}/{some(r, 'nopqrst', 8)}.html",
+    lambda r: f"{r.randint(1, 9)}.{r.randint(0, 20)}.{r.randint(0, 99)}",
+    lambda r: f"{r.randint(10, 255)}.{r.randint(10, 255)}.{r.randint(10, 255)}.{r.randint(1, 255)}",
+    lambda r: f"{some(r, 'etaoinshr', 7)}-{some(r, 'etaoinshr', 6)}",
+    lambda r: f"978-{r.randint(0, 9)}-{r.randint(100, 999)}-{r.randint(10000, 99999)}-{r.randint(0, 9)}",
+    lambda r: str(r.randint(100_000, 99_999_999)),
+]
+
+
+def test_formats_whose_kin_are_labelled_are_found(spark):
+    """Recall and precision of each format, on credentials that stand in texts without a word like token before them."""
+    rnd = random.Random(21)
+    words = lambda n: " ".join(some(rnd, "etaoinshrdlucm", rnd.randint(2, 9)) for _ in range(n))
+    docs, planted, looks = [], {}, set()
+    for i in range(1500):
+        name = rnd.choice(list(FORMATS))
+        text = f"{words(20)} token={FORMATS[name](rnd)} {words(5)} "
+        for make in rnd.sample(PLAIN, 3):
+            looks.add((i, len(text)))
+            text += make(rnd) + " " + words(3) + " "
+        if i % 3 == 0:
+            name = rnd.choice(list(FORMATS))
+            planted[i, len(text)] = name
+            text += FORMATS[name](rnd) + " " + words(4)
+        docs.append((i, text))
+    found = {(r.doc_id, s.start) for r in S.find_secrets(spark, spark.createDataFrame(docs, "doc_id long, text string")).collect() for s in r.added}
+    recall = {n: sum(k in found for k, v in planted.items() if v == n) / list(planted.values()).count(n) for n in FORMATS}
+    wrong = found - set(planted)
+    print("recall", recall, "wrong", len(wrong), "of", len(found))
+    assert min(recall.values()) >= 0.95 and len(wrong) <= 0.02 * len(found), (recall, [docs[i][1][at : at + 30] for i, at in list(wrong)[:5]])
+
+
+def test_automata_keep_prefixes_lengths_and_groups():
+    rnd = random.Random(4)
+    for n in (150, 300, 1500):
+        d = S.Detector({"assign": [FORMATS["dashed prefix"](rnd) for _ in range(n)] + [FORMATS["grouped"](rnd) for _ in range(n)], "access": ["AKIA" + some(rnd, LETTERS + "0123456789", 16) for _ in range(n)]}, ["plain"])
+        by = {(k, p): a for (k, p, _), a in d.formats.items()}
+        assert set(by) == {("assign", "xoxb-"), ("assign", ""), ("access", "AKIA")}
+        assert by["access", "AKIA"].lengths == {16: n} and by["access", "AKIA"].states <= 3  # a body of one kind
+        grouped = max((a for (k, p, _), a in d.formats.items() if (k, p) == ("assign", "")), key=lambda a: a.total(0))
+        inside = sum(grouped.log_likelihood(FORMATS["grouped"](rnd)) for _ in range(20)) / 20
+        outside = sum(grouped.log_likelihood(some(rnd, LETTERS + "0123456789", 8) + "-" + some(rnd, LETTERS, 10)) for _ in range(20)) / 20
+        assert inside > outside + 1 and 5 <= grouped.states <= 8  # a state for each place in a group
+    hexes = S.Detector({"hex": [some(rnd, "0123456789abcdef", 32) for _ in range(500)]}, ["plain"])
+    (automaton,) = hexes.formats.values()
+    assert automaton.states == 1 and automaton.log_likelihood("0" * 16 + "a" * 16) > automaton.log_likelihood("0" * 9 + "a" * 9)

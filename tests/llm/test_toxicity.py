@@ -50,7 +50,11 @@ def test_swaps_change_less_with_the_penalty(spark, made):
     index = sorted({f for r in got for w in T.word_counts(r.text) for f in T.features_of(w)})
     x, d = rows([r.text for r in got])
     y = np.array([float(r.toxic) for r in got])
-    change = {fairness: np.abs(d.dot(T.train(x, y, d, fairness=fairness)[0])).mean() for fairness in (0.0, 1.0)}
+    none = T.Rows(np.zeros(0, int), np.zeros(0), np.zeros(0), x.width)
+    part = T.Part(x, y, d, none, np.zeros(0))
+    weigh = 1 / len(y)
+    weights = {f: T.learn(lambda th, f=f: T.loss_and_slope(part, th, (weigh, weigh), d.n, f), x.width)[0] for f in (0.0, 1.0)}
+    change = {f: np.abs(d.dot(w)).mean() for f, w in weights.items()}
     assert change[1.0] < 0.5 * change[0.0]
 
 
@@ -101,5 +105,28 @@ def test_odd_rows(spark, made):
     assert none.score("idiot") < 0.3
 
 
-def test_bounds_were_not_lowered_to_fit_memory():
-    assert (T.MAX_TRAINING_ROWS, T.MAX_FEATURES) == (24_000, 30_000) and T.fit.__defaults__ == (24_000, 30_000, T.FAIRNESS)
+def test_slope_is_the_losss(made):
+    rng = np.random.default_rng(1)
+    some = lambda n: T.Rows(np.full(n, 4), rng.integers(0, 9, 4 * n), rng.normal(size=4 * n), 9)
+    part = T.Part(some(30), (rng.random(30) < 0.3).astype(float), some(8), some(1), np.zeros(1))
+    theta = rng.normal(size=10)
+    f = lambda th: T.loss_and_slope(part, th, (0.5, 2.0), 8, 1.5)
+    for i in range(10):
+        e = np.eye(10)[i] * 1e-3
+        assert f(theta)[1 + i] == pytest.approx((f(theta + e)[0] - f(theta - e)[0]) / 2e-3, rel=0.02, abs=2e-3)
+
+
+def test_an_id_that_repeats_is_learnt_from_once_a_text(spark, made):
+    """One labelled id on most of the rows, and one with many texts: what is learnt from stays bounded."""
+    docs, labels = made
+    first = docs.where(~T.held_out()).limit(1).first()
+    copies = spark.range(20_000).select(F.lit(first.doc_id).alias("doc_id"), F.lit(first.text).alias("text"))
+    texts = spark.range(3_000).select(F.lit(first.doc_id).alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    crowd = docs.select("doc_id", "text").unionAll(copies).unionAll(texts)
+    scratch = T.Scratch(spark, "test-toxicity")
+    rows = T._labelled(scratch, crowd, labels, 1_000)
+    assert rows.count() == 1_000 and rows.where(F.col("text") == first.text).count() <= 1
+    alike = T.fit(spark, docs.unionByName(docs), labels)
+    once = T.fit(spark, docs, labels)
+    texts = [r.text for r in docs.limit(200).collect()]
+    assert np.allclose([alike.score(t) for t in texts], [once.score(t) for t in texts], atol=1e-3)

@@ -1,8 +1,9 @@
 """Secret scans: fixed patterns, and probabilistic automata inferred from the credentials that they label.
 
-The patterns' matches are labelled credentials, by kind. For each kind, a prefix tree of a bounded sample of its
-credentials is folded into a probabilistic automaton by merging states whose next-symbol and ending frequencies are
-compatible (Hoeffding bound). Every candidate string of a text is then scored by its likelihood, for each symbol, under
+The patterns' matches are labelled credentials, by kind. For each format of a kind (a fixed prefix, or the classes of
+characters it has), a prefix tree of a bounded sample of its credentials is folded into a probabilistic automaton by
+merging states whose next-symbol frequencies are compatible (Hoeffding bound) as far as enough strings reach them; the
+lengths of its strings are the format's too. Every candidate string of a text is then scored by its likelihood, for each symbol, under
 each kind's automaton against plain text; those that fit a format better than text are added as spans.
 """
 
@@ -10,7 +11,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict, deque
+from collections import Counter, defaultdict
 from hashlib import sha256
 
 import numpy as np
@@ -77,13 +78,40 @@ def symbol_pairs(words: list[str]) -> Counter:
     return Counter({chr(b // 128) + chr(b % 128): int(n[b]) for b in n.nonzero()[0] if b != ord(EDGE) * 129})
 
 
+LEAST = 20  # strings that a state must have seen for its frequencies to say anything
+PREFIX, PREFIX_SHARE = 3, 0.5  # so many characters, each after the first the next one of half of the strings that got so far
+
+
+def prefixes(strings: list[str]) -> list[str]:
+    """The fixed prefixes of a sample, longest first: strings that begin alike go on alike, as random ones don't."""
+    found, work = [], [("", strings)]
+    while work:
+        prefix, some = work.pop()
+        after: dict[str, list[str]] = defaultdict(list)
+        for s in some:
+            if len(s) > len(prefix):
+                after[s[len(prefix)]].append(s)
+        grown = [(prefix + c, x) for c, x in after.items() if len(x) >= LEAST and (not prefix or len(x) >= PREFIX_SHARE * len(some))]
+        if len(prefix) >= PREFIX and not grown:
+            found.append(prefix)
+        work += grown
+    return sorted(found, key=lambda p: (-len(p), p))
+
+
+def shape(s: str) -> str:
+    """Which classes of characters a string has: strings of one format mostly agree."""
+    return "".join(sorted({"a" if c == "g" else c for c in map(symbol, s)}))
+
+
 class Automaton:
-    """States with the counts of their next symbols and of strings that end there."""
+    """States with the counts of their next symbols and of strings that end there, and the lengths of all strings."""
 
     def __init__(self, strings: list[str] = ()):
         self.next: list[dict[str, int]] = [{}]
         self.count: list[Counter] = [Counter()]
         self.end: list[int] = [0]
+        self.lengths = Counter(map(len, strings))
+        self.states = 1
         for s in strings:
             at = 0
             for c in map(symbol, s):
@@ -98,16 +126,18 @@ class Automaton:
         return self.end[q] + self.count[q].total()
 
     def _close(self, a: int, n: int, b: int, m: int) -> bool:
-        return not n or not m or abs(a / n - b / m) < math.sqrt(0.5 * math.log(2 / ALPHA)) * (1 / math.sqrt(n) + 1 / math.sqrt(m))
+        return abs(a / n - b / m) < math.sqrt(0.5 * math.log(2 / ALPHA)) * (1 / math.sqrt(n) + 1 / math.sqrt(m))
 
     def compatible(self, q: int, r: int) -> bool:
-        """Whether two states, and all that follow them, could have the same frequencies."""
-        work = [(q, r)]
+        """Whether two states, and those after them that have seen enough, could have the same frequencies of symbols. Where strings
+        end is left to their lengths."""
+        work, seen = [(q, r)], set()
         while work:
             q, r = work.pop()
-            n, m = self.total(q), self.total(r)
-            if not self._close(self.end[q], n, self.end[r], m):
-                return False
+            n, m = self.count[q].total(), self.count[r].total()
+            if n < LEAST or m < LEAST or (q, r) in seen:
+                continue
+            seen.add((q, r))
             for c in self.count[q].keys() | self.count[r].keys():
                 if not self._close(self.count[q][c], n, self.count[r][c], m):
                     return False
@@ -129,41 +159,65 @@ class Automaton:
                     self.next[q][c] = child
 
     def merge_states(self) -> Automaton:
-        """Red states are settled; each state next to them is merged into the first compatible red one or becomes red."""
-        red = [0]
-        blue = deque((0, c) for c in sorted(self.next[0]))
-        while blue:
-            parent, c = blue.popleft()
+        """Red states are settled. Each state next to them, those that most strings reach first, is merged into the compatible red one
+        that saw most, or becomes red. A state that too few strings reach proves nothing: it goes to where its symbol
+        mostly leads from red states, or stays with its parent."""
+        red, in_red = [0], {0}
+        while True:
+            blue = [(self.total(r), -q, c) for q in red for c, r in self.next[q].items() if r not in in_red]
+            if not blue:
+                break
+            n, parent, c = max(blue)
+            parent = -parent
             r = self.next[parent][c]
-            if r in red:
-                continue
-            for q in red:
-                if self.compatible(q, r):
-                    self.next[parent][c] = q
-                    self.fold(q, r)
-                    blue.extend((q, x) for x in sorted(self.next[q]) if self.next[q][x] not in red and (q, x) not in blue)
-                    break
+            if n < LEAST:
+                after = Counter()
+                for q in red:
+                    if self.next[q].get(c) in in_red:
+                        after[self.next[q][c]] += self.count[q][c]
+                to = max(after, key=lambda q: (after[q], -q)) if after else parent
             else:
+                to = max((q for q in red if self.compatible(q, r)), key=lambda q: (self.total(q), -q), default=None)
+            if to is None:
                 red.append(r)
-                blue.extend((r, x) for x in sorted(self.next[r]))
+                in_red.add(r)
+            else:
+                self.next[parent][c] = to
+                self.fold(to, r)
+        self.states = len(red)
         return self
 
     def log_likelihood(self, s: str) -> float:
-        """For each symbol, the end included; unseen steps cost as much as one more symbol of a smoothed state."""
-        at, total = 0, 0.0
+        """Of the string's length and symbols, for each symbol and the end; unseen steps and lengths cost as much as one more of
+        a smoothed state."""
+        at, n = 0, sum(self.lengths.values())
+        near = sum(self.lengths[k] for k in range(len(s) - 2, len(s) + 3)) / 5  # lengths close by count a little
+        total = math.log((0.9 * self.lengths[len(s)] + 0.1 * near + 0.02) / (n + 1))
         for c in map(symbol, s):
-            n = self.total(at)
+            n = self.count[at].total()
             total += math.log((self.count[at][c] + 0.02) / (n + 1))
             at = self.next[at].get(c, 0)
-        total += math.log((self.end[at] + 0.02) / (self.total(at) + 1))
         return total / (len(s) + 1)
 
 
 class Detector:
-    """An automaton for each kind, and how often symbols follow each other in plain words (or the words)."""
+    """An automaton for each format of each kind, and how often symbols follow each other in plain words (or the words).
+
+    A kind's credentials are told apart by their fixed prefix and, without one, by their classes of characters; formats of
+    fewer than LEAST credentials are learnt together, as one more. An automaton is for what follows the prefix, which a
+    candidate must have to the letter.
+    """
 
     def __init__(self, credentials: dict[str, list[str]], plain: list[str] | Counter):
-        self.formats = {k: Automaton(v).merge_states() for k, v in sorted(credentials.items()) if len(v) >= 8}
+        self.formats: dict[tuple[str, str, str], Automaton] = {}
+        for kind, strings in sorted(credentials.items()):
+            fixed, groups = prefixes(strings), defaultdict(list)
+            for s in strings:
+                prefix = next((p for p in fixed if s.startswith(p)), "")
+                groups[prefix, "" if prefix else shape(s)].append(s[len(prefix) :])
+            rest = [s for (p, k), v in groups.items() if not p and len(v) < LEAST for s in v]
+            groups = {key: v for key, v in groups.items() if key[0] or len(v) >= LEAST} | ({("", "rest"): rest} if rest else {})
+            self.formats |= {(kind, *key): Automaton(v).merge_states() for key, v in sorted(groups.items())}
         pairs = plain if isinstance(plain, Counter) else symbol_pairs(plain)
         total: Counter = Counter()
         for pair, k in pairs.items():
@@ -186,20 +240,24 @@ class Detector:
 
     def gain(self, s: str) -> float:
         """How much better the best format explains a string than plain text does, in nats for each symbol."""
-        if not self.formats:
-            return -math.inf
-        return max(a.log_likelihood(s) for a in self.formats.values()) - self.plain_likelihood(s)
+        best = -math.inf
+        for (_, prefix, _), automaton in self.formats.items():
+            if s.startswith(prefix) and len(s) > len(prefix):
+                rest = len(s) - len(prefix) + 1
+                best = max(best, automaton.log_likelihood(s[len(prefix) :]) * rest / (len(s) + 1))  # a prefix is certain
+        return best - self.plain_likelihood(s)
 
     def fits(self, s: str) -> bool:
-        """Whether a candidate's gain reaches MARGIN; strings of equal symbols share an answer."""
-        key = s.translate(ASCII_SYMBOLS)
+        """Whether a candidate's gain reaches MARGIN; strings of equal symbols and prefix share an answer."""
+        prefix = max((p for _, p, _ in self.formats if s.startswith(p)), key=len, default="")
+        key = prefix + s[len(prefix) :].translate(ASCII_SYMBOLS)
         if len(key) > 64:
-            return self.gain(key) >= MARGIN
+            return self.gain(s) >= MARGIN
         found = self._known.get(key)
         if found is None:
             if len(self._known) > 50_000:
                 self._known = {}
-            found = self._known[key] = self.gain(key) >= MARGIN
+            found = self._known[key] = self.gain(s) >= MARGIN
         return found
 
     def spans(self, text: str) -> tuple[list[tuple[str, int, int, str]], list[tuple[str, int, int, str]]]:
@@ -258,7 +316,7 @@ def _about(df: DataFrame, wanted: int, *key: str) -> DataFrame:
 def fit(scanned: DataFrame, per_kind: int = SAMPLE_PER_KIND) -> Detector:
     """Learns the formats from at most ``per_kind`` distinct credentials of each kind, those with the smallest hashes of a
     sample by hash, and plain text from the words of every whole text: one row for each pair of symbols reaches the driver."""
-    values = scanned.select(F.explode("base").alias("s")).select("s.kind", "s.value").where(F.length("value") <= 512).distinct()
+    values = scanned.select(F.explode("base").alias("s")).select("s.kind", "s.value").distinct()
     values = Scratch(scanned.sparkSession, "secrets").put(values, "values")
     few = {k: _about(values.where(F.col("kind") == k), per_kind, "value") for k in KINDS}
     sample = {k: [r["value"] for r in v.orderBy(F.xxhash64("value"), "value").limit(per_kind).collect()] for k, v in few.items()}

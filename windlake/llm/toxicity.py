@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -156,13 +156,6 @@ class Rows:
         self.row = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
         self.col, self.val = col.astype(np.int32), val.astype(np.float32)
 
-    @classmethod
-    def of(cls, columns: pa.ChunkedArray, values: pa.ChunkedArray, width: int) -> Rows:
-        """From two list columns."""
-        columns, values = columns.combine_chunks(), values.combine_chunks()
-        sizes = np.diff(columns.offsets.to_numpy())
-        return cls(sizes, columns.flatten().to_numpy(), values.flatten().to_numpy(), width)
-
     def dot(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, self.val * w.astype(np.float32)[self.col], minlength=self.n)
 
@@ -170,23 +163,64 @@ class Rows:
         return np.bincount(self.col, self.val * e.astype(np.float32)[self.row], minlength=self.width)
 
 
-def train(x: Rows, labels: np.ndarray, d: Rows, l2: float = 1e-5, fairness: float = FAIRNESS, steps: int = 250, rate: float = 0.03) -> tuple[np.ndarray, float]:
-    """Logistic loss with positives weighted up, plus l2 |w|^2 and fairness * mean (w . (x - mean of its swaps))^2, by Adam."""
-    width = x.width
-    share = max(1e-3, labels.mean())
-    weight = np.where(labels > 0, 0.3 / share, 1.0)
-    weight = weight / weight.sum()
-    theta, m, v = np.zeros(width + 1), np.zeros(width + 1), np.zeros(width + 1)
-    for t in range(1, steps + 1):
-        w = theta[:-1]
-        p = 1 / (1 + np.exp(-np.clip(x.dot(w) + theta[-1], -60, 60)))
-        e = (p - labels) * weight
-        empty = 1 / (1 + math.exp(-theta[-1]))  # a text with no known feature is clean
-        g = np.append(x.dot_t(e) + 2 * l2 * w, e.sum() + 0.1 * empty)
-        if d.n:
-            g[:-1] += d.dot_t(2 * fairness * d.dot(w) / d.n)
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        theta = theta - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
+@dataclass
+class Part:
+    """A partition's learning rows, their labels, and the score changes of those with swaps; and rows that set the threshold."""
+
+    x: Rows
+    y: np.ndarray
+    d: Rows
+    x_check: Rows
+    y_check: np.ndarray
+
+
+def loss_and_slope(part: Part, theta: np.ndarray, weights: tuple[float, float], swapped: int, fairness: float) -> np.ndarray:
+    """A part's share of the loss, followed by its slope: weighted logistic loss, and fairness * mean (w . (x - mean of its
+    swaps))^2. Shares add up over the parts; ``weights`` are those of a clean and of a toxic row."""
+    w = theta[:-1]
+    z = np.clip(part.x.dot(w) + theta[-1], -60, 60)
+    weight = np.where(part.y > 0, weights[1], weights[0])
+    e = (1 / (1 + np.exp(-z)) - part.y) * weight
+    out = np.concatenate([[(weight * (np.logaddexp(0, z) - part.y * z)).sum()], part.x.dot_t(e), [e.sum()]])
+    if part.d.n:
+        change = part.d.dot(w)
+        out[0] += fairness * (change**2).sum() / swapped
+        out[1:-1] += part.d.dot_t(2 * fairness * change / swapped)
+    return out
+
+
+def learn(total, width: int, l2: float = 1e-5, steps: int = 30, memory: int = 10) -> tuple[np.ndarray, float]:
+    """Weights and bias by L-BFGS. ``total`` adds up loss_and_slope over all parts: about one pass over the rows for each step. An
+    empty text is to be clean, and l2 |w|^2 keeps weights small."""
+
+    def whole(theta: np.ndarray) -> tuple[float, np.ndarray]:
+        got = total(theta)
+        g = got[1:].copy()
+        g[:-1] += 2 * l2 * theta[:-1]
+        g[-1] += 0.1 / (1 + math.exp(-theta[-1]))
+        return got[0] + l2 * float(theta[:-1] @ theta[:-1]) + 0.1 * float(np.logaddexp(0, theta[-1])), g
+
+    theta = np.zeros(width + 1)
+    loss, g = whole(theta)
+    moves: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(steps):
+        q, shares = g.copy(), []
+        for s, y in reversed(moves):
+            shares.append(s @ q / (y @ s))
+            q -= shares[-1] * y
+        q *= (moves[-1][0] @ moves[-1][1]) / (moves[-1][1] @ moves[-1][1]) if moves else 1 / max(1e-12, float(np.linalg.norm(g)))
+        for (s, y), share in zip(moves, reversed(shares)):
+            q += s * (share - y @ q / (y @ s))
+        step, downhill = 1.0, float(g @ q)
+        while True:
+            to = theta - step * q
+            new_loss, new_g = whole(to)
+            if new_loss <= loss - 1e-4 * step * downhill or step < 1e-6:
+                break
+            step /= 2
+        if (to - theta) @ (new_g - g) > 1e-12:
+            moves = [*moves, (to - theta, new_g - g)][-memory:]
+        theta, loss, g = to, new_loss, new_g
     return theta[:-1], float(theta[-1])
 
 
@@ -216,53 +250,101 @@ def _count_features(batches):
 
 
 def _vectors(index: dict[int, int]):
+    """Sparse vectors as packed arrays: of each row (x) and of how its swaps change it (d)."""
+
     def run(batches):
         vector = Vectoriser(index)
         for batch in batches:
-            out = []
+            out: dict[str, list] = {n: [] for n in VECTORS.names}
             for text, toxic, check in zip(*(batch.column(c).to_pylist() for c in ("text", "toxic", "check"))):
                 counts = word_counts(text)
                 x = vector(counts)
-                d = score_change(vector, x, counts)
-                out.append({"toxic": toxic, "check": check, "f": list(x), "v": list(x.values()), "df": list(d), "dv": list(d.values())})
-            yield pa.RecordBatch.from_pylist(out, VECTORS)
+                d = score_change(vector, x, counts) if not check else {}
+                packed = (np.fromiter(v, kind).tobytes() for m in (x, d) for v, kind in ((m.keys(), np.int32), (m.values(), np.float32)))
+                for name, value in zip(VECTORS.names, (toxic, check, *packed)):
+                    out[name].append(value)
+            yield pa.RecordBatch.from_pydict(out, VECTORS)
 
     return run
 
 
-VECTORS = pa.schema([("toxic", pa.int32()), ("check", pa.bool_()), ("f", pa.list_(pa.int32())), ("v", pa.list_(pa.float32())), ("df", pa.list_(pa.int32())), ("dv", pa.list_(pa.float32()))])
+VECTORS = pa.schema([("toxic", pa.int32()), ("check", pa.bool_()), *((n, pa.binary()) for n in ("xf", "xv", "df", "dv"))])
 
 
-def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS, max_features: int = MAX_FEATURES, fairness: float = FAIRNESS) -> Model:
-    """Learns from at most ``max_rows`` labelled rows that aren't held out; a fifth of them sets the threshold."""
+def _part(width: int):
+    def run(rows):
+        kept: dict[str, list] = {n: [] for n in ("x", "d", "c", "y", "yc")}
+        for r in rows:
+            x = np.frombuffer(r["xf"], np.int32), np.frombuffer(r["xv"], np.float32)
+            kept["c" if r["check"] else "x"].append(x)
+            kept["yc" if r["check"] else "y"].append(r["toxic"])
+            if r["df"]:
+                kept["d"].append((np.frombuffer(r["df"], np.int32), np.frombuffer(r["dv"], np.float32)))
+        flat = lambda v: Rows(np.array([len(f) for f, _ in v], int), np.concatenate([f for f, _ in v] or [np.zeros(0, np.int32)]), np.concatenate([x for _, x in v] or [np.zeros(0, np.float32)]), width)
+        yield Part(flat(kept["x"]), np.array(kept["y"], float), flat(kept["d"]), flat(kept["c"]), np.array(kept["yc"], float))
+
+    return run
+
+
+PARTS = 12  # in which the learning rows are kept while their losses are added up
+
+
+def _labelled(scratch: Scratch, docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFrame:
+    """text, toxic, check of at most ``max_rows`` different labelled documents: one row for each id and text, however often
+    they repeat; those with the smallest hashes of ids, and then of ids and texts where an id has several."""
     chosen = labels.where(F.col("toxic").isNotNull() & ~held_out()).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     chosen = chosen.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     check = F.pmod(F.xxhash64(F.lit(6), "doc_id"), F.lit(5)) == 0
-    scratch = Scratch(spark, "toxicity")
     chosen = scratch.put(chosen.select("doc_id", "toxic", check.alias("check")), "chosen")
-    rows = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "toxic", "check")
-    rows = scratch.put(rows, "rows")
-    if rows.where("toxic = 1 and not check").limit(1).count() == 0:
+    found = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(chosen), "doc_id").withColumn("digest", F.unhex(F.sha2("text", 256)))
+    keys = found.groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("again"))
+    keys = keys.orderBy(F.xxhash64("doc_id"), F.xxhash64("doc_id", "digest"), "doc_id", "digest").limit(max_rows).select("doc_id", "digest")
+    keys = scratch.put(keys, "keys")
+    rows = found.join(F.broadcast(keys), ["doc_id", "digest"]).groupBy("doc_id", "digest").agg(*(F.first(c).alias(c) for c in ("text", "toxic", "check")))
+    return scratch.put(rows.select("text", "toxic", "check"), "rows")
+
+
+def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS, max_features: int = MAX_FEATURES, fairness: float = FAIRNESS) -> Model:
+    """Learns from at most ``max_rows`` labelled documents that aren't held out; a fifth of them sets the threshold.
+
+    Their vectors stay in the executors: a step of the optimiser is a pass over them, of which the driver gets one sum for
+    each feature. An id that repeats counts once for each of its texts. Without toxic rows nothing is toxic.
+    """
+    scratch = Scratch(spark, "toxicity")
+    rows = _labelled(scratch, docs, labels, max_rows)
+    total = rows.where("not check").agg(F.sum("toxic").alias("pos"), F.sum(1 - F.col("toxic")).alias("neg")).first()
+    if not total["pos"]:
         return Model({}, np.zeros(0), -3.0, 1.0, 0.0)
     counts = rows.where("not check").mapInArrow(_count_features, "feature long, pos long, neg long").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    total = rows.where("not check").agg(F.sum("toxic").alias("pos"), F.sum(1 - F.col("toxic")).alias("neg")).first()
     n, p = float(total["pos"] + total["neg"]), float(total["pos"])
     df = F.col("pos") + F.col("neg")
     # the usual chi-square of a feature's presence against the label
     lift = F.pow(F.col("pos") * F.lit(n) - df * F.lit(p), 2) / (df * (F.lit(n + 1) - df))
     kept = counts.where(df >= 3).orderBy(lift.desc(), "feature").limit(max_features).select("feature").collect()
     index = {r["feature"]: i for i, r in enumerate(kept)}
-    spread = rows.repartition(24).mapInArrow(_vectors(index), "toxic int, check boolean, f array<int>, v array<float>, df array<int>, dv array<float>")
-    got = spread.toArrow()
-    held = got.column("check").to_numpy()
-    learn, keep = got.filter(pa.array(~held)), got.filter(pa.array(held))
-    y, y_keep = (t.column("toxic").to_numpy().astype(float) for t in (learn, keep))
-    swaps = learn.filter(pc.greater(pc.list_value_length(learn.column("df")), 0))
-    x, d = Rows.of(learn.column("f"), learn.column("v"), len(index)), Rows.of(swaps.column("df"), swaps.column("dv"), len(index))
-    w, b = train(x, y, d, fairness=fairness)
-    if y_keep.sum() >= 5:
-        x, y = Rows.of(keep.column("f"), keep.column("v"), len(index)), y_keep
-    scale, shift = calibrate(x.dot(w) + b, y, b)
+    kinds = "toxic int, check boolean, xf binary, xv binary, df binary, dv binary"
+    vectors = scratch.put(rows.repartition(PARTS).mapInArrow(_vectors(index), kinds), "vectors")
+    parts = vectors.rdd.mapPartitions(_part(len(index))).persist(StorageLevel.MEMORY_AND_DISK)
+    swapped = parts.map(lambda part: part.d.n).sum()
+    share = max(1e-3, p / n)
+    weights = tuple(v / (p * 0.3 / share + (n - p)) for v in (1.0, 0.3 / share))
+
+    def add(theta: np.ndarray) -> np.ndarray:
+        sent = spark.sparkContext.broadcast(theta)
+        got = parts.map(lambda part: loss_and_slope(part, sent.value, weights, swapped, fairness)).reduce(lambda x, y: x + y)
+        sent.destroy()
+        return got
+
+    w, b = learn(add, len(index))
+
+    def scores(part: Part) -> list[np.ndarray]:
+        return [np.stack([r.dot(w) + b, y]) for r, y in ((part.x, part.y), (part.x_check, part.y_check))]
+
+    # two numbers for each labelled row, of which there are at most max_rows
+    seen, checked = (np.concatenate(v, axis=1) for v in zip(*parts.map(scores).collect()))
+    parts.unpersist()
+    z, y = checked if checked[1].sum() >= 5 else seen
+    scale, shift = calibrate(z, y, b)
     return Model(index, w, b, scale, shift)
 
 
