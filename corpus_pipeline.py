@@ -29,23 +29,23 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near-duplicates, directly or by others, the row with the smallest id stays. Each text of an id that repeats is
-    linked by itself: near_dedup gets a key of id and text in the id's place."""
+    """Of near-duplicates, directly or by others, one row with the smallest id stays. Each row is linked by itself, so each text
+    of an id that repeats is: near_dedup gets the number of a written row in the id's place. Rows without an id stay."""
     scratch = Scratch(spark, "near-stage")
-    key = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text"))
-    found = near_dedup(spark, docs.select(key.alias("doc_id"), "text")).where("doc_id is not null").select(F.col("doc_id").alias("_key"), "component_id").distinct()
-    ids = docs.where("doc_id is not null").select(key.alias("_key"), "doc_id").distinct()
+    numbered = scratch.put(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    row = F.when(F.col("doc_id").isNotNull(), F.col("_row"))
+    found = near_dedup(spark, numbered.select(row.alias("doc_id"), "text")).where("doc_id is not null").select(F.col("doc_id").alias("_row"), "component_id")
     found = scratch.put(found, "found")
     # a component of one needs no choice
     shared = scratch.put(found.groupBy("component_id").count().where("count > 1").select("component_id"), "shared")
     few = shared.count() <= BROADCAST_IDS
-    members = found.join(F.broadcast(shared) if few else shared, "component_id").join(ids, "_key")
-    members = scratch.put(members.select("component_id", "_key", "doc_id"), "members")
-    first = members.groupBy("component_id").agg(F.min(F.struct("doc_id", "_key")).alias("first")).select("component_id", F.col("first._key").alias("first"))
+    members = found.join(F.broadcast(shared) if few else shared, "component_id").join(numbered.select("_row", "doc_id"), "_row")
+    members = scratch.put(members.select("component_id", "_row", "doc_id"), "members")
+    first = members.groupBy("component_id").agg(F.min(F.struct("doc_id", "_row")).alias("first")).select("component_id", F.col("first._row").alias("first"))
     first = scratch.put(first, "first")
-    dropped = members.join(F.broadcast(first) if few else first, "component_id").where("_key <> first").select("_key")
+    dropped = members.join(F.broadcast(first) if few else first, "component_id").where("_row <> first").select("_row")
     dropped = scratch.put(dropped, "dropped")
-    return without_keys(docs.withColumn("_key", key), dropped).select(*docs.columns)
+    return without_keys(numbered, dropped).select(*docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
