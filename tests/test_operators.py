@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from windlake.functions.physics import air_density_correction, clip01, wind_direction
 from windlake.functions.special import gamma
 from windlake.jobs import forecast, quality as quality_job, resource as resource_job
-from windlake.operators import curves, features, independence, metrics, models, quality, resource, validation, weibull
+from windlake.operators import curves, features, independence, metrics, models, quality, ranks, resource, validation, weibull
 from windlake.operators.components import connected_components
-from windlake.sources.stations import read_stations, write_report
+from windlake.operators.trees import TreeSettings
+from windlake.sources.stations import read_stations, read_stations_checked, write_report
 
 
 def at(i):
@@ -153,12 +154,16 @@ def test_ridge_is_the_closed_form(spark):
 
 def test_jobs(spark, tmp_path):
     s = stations(spark)
-    f = forecast.run(spark, s, f"{tmp_path}/f")
+    f = forecast.run(spark, s, f"{tmp_path}/f", settings=TreeSettings(trees=15, leaves=7))
     assert {r.model for r in f["experiment_a"].collect()} == {"power curve", "cubic", "linear", "ridge", "gbt"} and f["experiment_b"].count() == 3
     assert f["experiment_a"].where("accuracy_pct > 85").count() > 0
+    assert f["importance_a"].count() == 13 and f["importance_b"].first().importance > 0 and f["trees_a"].agg(F.max("tree")).first()[0] == 14
+    assert {r.learner for r in f["delta_a"].collect()} == {"ridge", "gbt"}
     r = resource_job.run(spark, s, f"{tmp_path}/r")
+    own = resource_job.run(spark, s, f"{tmp_path}/own", curve=spark.createDataFrame([(0.0, 1.0), (30.0, 1.0)], "x double, y double"))
+    assert own["totals"].first().capacity_factor > 0.95 > r["totals"].first().capacity_factor
     assert r["sites"].count() == 6 and r["top_bins"].count() == 48 and r["mean_shear"].count() == 7
-    q = quality_job.run(spark, s, f"{tmp_path}/q")
+    q = quality_job.run(spark, s, f"{tmp_path}/q", learner="gbt", settings=TreeSettings(trees=10, leaves=7))
     assert [list(x.members) for x in q["groups"].collect()] == [[1, 2]] and q["leakage"].first().twin == 2 and q["folds_by_group"].count() == 5
 
 
@@ -191,3 +196,157 @@ def test_files_of_any_column_order(spark, tmp_path):
     (tmp_path / "b.csv").write_text(" v100,u100,V10,U10,TARGETVAR,TIMESTAMP,ZoneId\n4,3,2,1,,20120101 24:00,2\n")
     got = {r.zone: (r.power, r.u10, r.v10, r.u100, r.v100, str(r.timestamp)) for r in read_stations(spark, [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")]).collect()}
     assert got == {1: (0.5, 1.0, 2.0, 3.0, 4.0, "2012-01-01 01:00:00"), 2: (None, 1.0, 2.0, 3.0, 4.0, "2012-01-02 00:00:00")}
+
+
+def test_curve_of_many_uneven_points(spark):
+    rng = np.random.default_rng(8)
+    x = np.unique(np.round(np.cumsum(rng.exponential(1.0, 5000)), 6))
+    y = np.sin(x)
+    curve = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y)], "x double, y double")
+    v = np.concatenate([rng.uniform(x[0] - 5, x[-1] + 5, 2000), x[::97], [x[0], x[-1]]])
+    out = curves.interpolate(spark.createDataFrame([(float(a),) for a in v], "v double"), "v", curve, "p").collect()
+    assert np.allclose([r.p for r in out], np.interp([r.v for r in out], x, y), atol=1e-9)
+    one = spark.createDataFrame([(2.0, 7.0)], "x double, y double")
+    got = [r.p for r in curves.interpolate(spark.createDataFrame([(v,) for v in (1.0, 2.0, 3.0, None)], "v double"), "v", one, "p").collect()]
+    assert got == [7.0, 7.0, 7.0, None]
+    none = curves.interpolate(spark.createDataFrame([(1.0,)], "v double"), "v", curve.limit(0), "p").collect()
+    assert [r.p for r in none] == [None]
+
+
+def test_a_broken_speed_is_no_curve_of_a_billion_bins(spark):
+    rows = [(0.1 * (i % 30), 0.01 * (i % 30)) for i in range(300)] + [(1e9, 0.5)] * 6 + [(float("inf"), 0.5)]
+    df = spark.createDataFrame(rows, "ws100 double, power double")
+    with pytest.raises(Exception, match="give v_max"):
+        curves.fit_power_curve(spark, df).collect()
+    assert curves.fit_power_curve(spark, df, v_max=40.0).count() == 6
+
+
+def test_no_file_and_no_row_is_lost(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("ZONEID,TIMESTAMP,TARGETVAR,U10,V10,U100,V100\n1,20120101 1:00,0.5,1,2,3,4\nx,20120101 1:00,0.5,1,2,3,4\n1,yesterday,0.5,1,2,3,4\n1,20120101 2:00,0.5,1,2\n1,20120101 3:00,bad,1,2,3,4\n\n1,20120101 4:00,0.5,1,2,3,4,5\n")
+    (tmp_path / "b c.csv").write_text("TIMESTAMP,TARGETVAR,U10,V10,U100,V100\n20120101 1:00,0.5,1,2,3,4\n")
+    (tmp_path / "d.csv").write_text("")
+    with pytest.raises(ValueError, match="ZONEID"):
+        read_stations(spark, str(tmp_path / "*.csv"))
+    good, bad, files = read_stations_checked(spark, str(tmp_path / "*.csv"))
+    assert sorted((r.timestamp.hour, r.power) for r in good.collect()) == [(1, 0.5), (3, None)]
+    assert sorted((r.reason, r.line) for r in bad.collect()) == [("columns", "1,20120101 2:00,0.5,1,2"), ("columns", "1,20120101 4:00,0.5,1,2,3,4,5"), ("timestamp", "1,yesterday,0.5,1,2,3,4"), ("zone", "x,20120101 1:00,0.5,1,2,3,4")]
+    assert {f.rsplit("/", 1)[1].replace("%20", " "): len(c) for f, c in files.items()} == {"b c.csv": 1, "d.csv": 7}
+    assert all(r.file.endswith("a.csv") for r in bad.collect())
+
+
+def test_values_at_ranks(spark):
+    rng = np.random.default_rng(4)
+    groups = {0: np.round(rng.normal(size=3000), 3), 1: np.array([5.0] * 400), 2: np.concatenate([[-1e300, 1e300], rng.random(500)]), 3: np.array([2.0]), 4: rng.integers(0, 3, 900).astype(float)}
+    rows = [(g, float(v)) for g, x in groups.items() for v in x]
+    counted = spark.createDataFrame(rows, "g int, v double").groupBy("g", "v").agg(F.count(F.lit(1)).alias("c"))
+    want = {(g, r): float(np.sort(x)[r]) for g, x in groups.items() for r in {0, len(x) // 3, len(x) // 2, len(x) - 1}}
+    targets = spark.createDataFrame([*want, (3, 7), (9, 0)], "g int, rank long")
+    got = {(r.g, r["rank"]): r.v for r in ranks.values_at_ranks(spark, counted, targets, "g", buckets=16).collect()}
+    assert got == want
+    assert ranks.values_at_ranks(spark, counted.limit(0), targets, "g").count() == 0
+
+
+def test_median_of_a_crowded_bin(spark):
+    rng = np.random.default_rng(9)
+    ws, p = np.concatenate([np.full(4000, 5.2), rng.uniform(0, 12, 3000)]), rng.random(7000)
+    curve = {r.bin: r.y for r in curves.fit_power_curve(spark, spark.createDataFrame([(float(a), float(b)) for a, b in zip(ws, p)], "ws100 double, power double")).collect()}
+    for b in range(24):
+        assert curve[b] == pytest.approx(np.median(p[np.floor(ws / 0.5) == b]), abs=1e-12)
+
+
+def test_time_cut_is_numpys(spark):
+    rng = np.random.default_rng(1)
+    rows = [(int(z), at(int(t))) for z in range(3) for t in np.unique(rng.integers(0, 300, 90))]
+    train, test, cut = models.split_by_time(spark.createDataFrame([*rows, (9, None)], "zone int, ts timestamp_ntz"))
+    micros = np.array([(t - dt.datetime(1970, 1, 1)).total_seconds() * 1e6 for _, t in rows])
+    assert cut.first()[0] == pytest.approx(np.quantile(micros, 0.7), abs=1) and train.count() + test.count() == len(rows)
+    assert train.columns == test.columns == ["zone", "ts"]
+    empty = models.split_by_time(spark.createDataFrame([], "zone int, ts timestamp_ntz"))
+    assert empty[0].count() == empty[1].count() == 0
+
+
+def test_weibull_where_newton_alone_does_not_settle(spark):
+    rng = np.random.default_rng(12)
+    samples = {0: np.concatenate([rng.weibull(9.0, 400) * 8, [400.0, 900.0]]), 1: np.concatenate([np.full(60, 7.0), [7.1, 6.9, 0.001]]), 2: np.concatenate([np.full(400, 1e-6), rng.weibull(2.0, 30)]), 3: rng.weibull(0.3, 300), 4: np.concatenate([np.full(500, 5.0), [5.0000001]]), 5: rng.weibull(2.0, 300) * 1e12}
+
+    def f(k, v):
+        x = v / v.max()
+        return (x**k * np.log(x)).sum() / (x**k).sum() - 1 / k - np.log(x).mean()
+
+    got = {r.zone: r for r in weibull.fit_mle(spark, spark.createDataFrame([(z, float(v)) for z, x in samples.items() for v in x], "zone int, v double"), "v").collect()}
+    for z, v in samples.items():
+        lo, hi = 0.2, 20.0
+        if not f(lo, v) < 0 < f(hi, v):
+            assert got[z].k_mle == got[z].k_mom
+            continue
+        for _ in range(200):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if f(mid, v) < 0 else (lo, mid)
+        assert got[z].k_mle == pytest.approx(lo, rel=1e-7) and got[z].c_mle == pytest.approx(((v / v.max()) ** lo).mean() ** (1 / lo) * v.max(), rel=1e-7)
+    assert got[4].k_mle == got[4].k_mom
+
+
+def test_near_pairs_are_pruned_at_probe_times(spark):
+    """Groups of near stations among many, gaps, stations at one time only: the pairs of a full comparison, from few candidates."""
+    rng = np.random.default_rng(3)
+    rows, base = [], rng.uniform(0, 30, (20, 40))
+    for z in range(120):
+        v = base[z % 20] + rng.uniform(-0.24, 0.24, 40) if z < 60 else rng.uniform(0, 30, 40)
+        keep = rng.random(40) > (0.5 if z % 10 == 0 else 0.05)
+        rows += [(z, at(t), float(x), None if z % 7 == 0 else 1.0) for t, x in enumerate(v) if keep[t] and not (z == 119 and t > 0)]
+    rows += [(200, at(t), 5.0, 1.0) for t in range(100, 110)] + [(201, at(t), 5.3, 1.0) for t in range(105, 120)] + [(202, at(3), None, None)]
+    df = spark.createDataFrame(rows, "zone int, ts timestamp_ntz, u100 double, v100 double")
+    by = {}
+    for z, t, u, v in rows:
+        by.setdefault(z, {})[t] = (u, v)
+    want = {}
+    for a in by:
+        for b in by:
+            diffs = [abs(x - y) for t in by[a].keys() & by[b].keys() for x, y in zip(by[a][t], by[b][t]) if x is not None and y is not None] if a < b else []
+            if diffs and max(diffs) <= 0.5:
+                want[a, b] = max(diffs)
+    got = {(r.station_a, r.station_b): r.max_abs_diff for r in independence.near_duplicate_pairs(df, 0.5).collect()}
+    assert got == pytest.approx(want, abs=6e-5) and len(want) >= 50
+    candidates = independence.near_candidates(df, 0.5)
+    assert candidates.count() == candidates.distinct().count() < 0.1 * len(by) ** 2 / 2
+    assert independence.near_duplicate_pairs(df.limit(0), 0.5).count() == 0
+
+
+@pytest.mark.parametrize("tile,times", [(3, 7), (64, 4096)])
+def test_tiled_correlation_is_the_joins(spark, tile, times):
+    rng = np.random.default_rng(6)
+    rows = [(z, at(t), None if rng.random() < 0.2 else float(0.5 if z == 4 else rng.random() + z * (t % 5))) for z in range(1, 12) for t in range(30) if rng.random() > 0.1] + [(50, at(999), 1.0)]
+    df = spark.createDataFrame(rows, "zone int, ts timestamp_ntz, power double")
+    value = lambda d: {(r.station_a, r.station_b): (r.n, None if r["corr"] is None else round(r["corr"], 9)) for r in d.collect()}
+    want = value(independence.correlation_pairs(df))
+    assert value(independence.gram_correlation(df, tile=tile, times=times)) == want and len(want) == 55
+    assert independence.gram_correlation(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("hours", [5, 24, 10_000])
+def test_chunks_of_time_are_whole_stations(spark, hours):
+    """Gaps longer than chunks, runs over several chunks, rows without a time, missing and infinite values."""
+    rng = np.random.default_rng(hours)
+    rows = []
+    for z in range(1, 5):
+        t, v = 0, 1.0
+        for _ in range(220):
+            t += 1 if rng.random() < 0.9 else int(rng.integers(1, 60))
+            if rng.random() < (0.12 if z % 2 else 0.6):
+                v = float(rng.choice([1.0, 2.0, 9.5, np.inf])) if rng.random() < 0.9 else None
+            rows.append((z, at(t), v, "x"))
+    rows += [(9, None, 1.0, "x"), (9, at(3), 1.0, "x"), (9, at(900), 1.0, "x"), (8, at(1), None, "x")]
+    df = spark.createDataFrame(rows, "zone int, ts timestamp_ntz, v double, jump string").repartition(4)
+    same = lambda f: [sorted(map(repr, f(df, chunk_hours=h).collect())) for h in (None, hours)]
+    for f in (
+        lambda d, **k: features.lag_features(d, "v", **k),
+        lambda d, **k: quality.frozen_runs(d, "v", 2, **k),
+        lambda d, **k: quality.frozen_check(d, "v", **k),
+        lambda d, **k: quality.jump_points(d, "v", **k),
+        lambda d, **k: quality.jump_check(d, "v", **k),
+        lambda d, **k: quality.station_qc_table(d, "v", **k),
+    ):
+        whole, chunks = same(f)
+        assert whole == chunks and len(whole) > 3
+    assert quality.station_qc_table(df.limit(0), "v", chunk_hours=hours).count() == 0
+    assert features.lag_features(df, "v", chunk_hours=hours).columns == features.lag_features(df, "v").columns

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from windlake.operators import features, independence, quality, validation
+from windlake.operators.history import CHUNK_HOURS
 from windlake.sources.scratch import Scratch
 from windlake.sources.stations import write_report
 
@@ -14,7 +15,7 @@ def run(spark: SparkSession, stations: DataFrame, out: str, ts: str = "timestamp
     d = stations.withColumnRenamed(ts, "ts")
     quality.assert_unique(d)
     d = Scratch(spark, "quality").put(features.build_features(d, add_lag=False), "features")
-    results = {"station_qc": quality.station_qc_table(d)} | independence.independence_report(spark, d, tol=tol)
+    results = {"station_qc": quality.station_qc_table(d, chunk_hours=CHUNK_HOURS)} | independence.independence_report(spark, d, tol=tol)
     groups = independence.near_duplicate_groups(spark, d, tol) if tol > 0 else independence.exact_duplicate_groups(d)
     groups = Scratch(spark, "quality").put(groups, "groups")
     test = validation.controlled_leakage_test(spark, d, groups, learner=learner, **gbt)

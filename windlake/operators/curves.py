@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from windlake.functions.physics import clip01, typical_power
+from windlake.operators.ranks import values_at_ranks
+from windlake.sources.scratch import Scratch
 
-
-MOST_POINTS = 4095
+MOST_BINS = 1_000_000
 
 
 def typical_curve(spark: SparkSession, n: int = 200) -> DataFrame:
@@ -27,40 +28,44 @@ def segments(curve: DataFrame) -> DataFrame:
 def interpolate(df: DataFrame, v: str, curve: DataFrame, out: str, left: float | None = None, right: float | None = None) -> DataFrame:
     """Adds ``out``: the curve at v; beyond its ends the end values, or ``left`` and ``right``. NULL stays NULL.
 
-    The curve (at most MOST_POINTS points, which need not be even) travels as one sorted array in a one-row broadcast, and
-    each row finds its place in it by halving, so no row is multiplied. Of points with one x the largest y counts. The
-    columns of df may have any names but _curve.
+    The curve (any number of points that one row can hold; they need not be even) travels as one sorted array in a one-row
+    broadcast, and each row finds its place in it by halving, in as many steps as the curve's size asks for, so no row is
+    multiplied. Of points with one x the largest y counts; without any point the result is NULL. The columns of df may have
+    any names but _curve and _steps.
     """
     points = curve.where("x is not null and y is not null").groupBy("x").agg(F.max("y").alias("y"))
     points = points.agg(F.array_sort(F.collect_list(F.struct("x", "y"))).alias("_curve"))
+    points = points.withColumn("_steps", F.expr("transform(sequence(cast(floor(log2(size(_curve) + 1)) as int), 0, -1), k -> shiftleft(1, k))"))
     x, pts = F.col(v), F.col("_curve")
-    halves = F.array(*(F.lit(1 << k) for k in range(MOST_POINTS.bit_length() - 1, -1, -1)))
-    at = F.aggregate(halves, F.lit(0), lambda n, step: F.when(F.get(pts, n + step - 1)["x"] <= x, n + step).otherwise(n))  # points up to x
+    at = F.aggregate("_steps", F.lit(0), lambda n, step: F.when(F.get(pts, n + step - 1)["x"] <= x, n + step).otherwise(n))  # points up to x
     lo, hi = F.get(pts, F.lit(0)), F.get(pts, F.size(pts) - 1)
     a, b = F.get(pts, F.greatest(at - 1, F.lit(0))), F.get(pts, F.least(at, F.size(pts) - 1))
     inner = a["y"] + (b["y"] - a["y"]) * (x - a["x"]) / F.nullif(b["x"] - a["x"], F.lit(0.0))
     low = F.lit(left) if left is not None else lo["y"]
     high = F.lit(right) if right is not None else hi["y"]
     y = F.when(x < lo["x"], low).when(x > hi["x"], high).when(x == hi["x"], hi["y"]).when(x.isNotNull(), inner)
-    return df.crossJoin(F.broadcast(points)).withColumn(out, y).drop("_curve")
+    return df.crossJoin(F.broadcast(points)).withColumn(out, y).drop("_curve", "_steps")
 
 
-def fit_power_curve(spark: SparkSession, df: DataFrame, ws: str = "ws100", power: str = "power", width: float = 0.5, least: int = 5) -> DataFrame:
+def fit_power_curve(spark: SparkSession, df: DataFrame, ws: str = "ws100", power: str = "power", width: float = 0.5, least: int = 5, v_max: float | None = None) -> DataFrame:
     """bin, x (its middle), y: the exact median power of each speed bin [i w, (i + 1) w), for bins with ``least`` rows.
 
     Empty bins between are filled linearly by place, those at the ends by the nearest; all clipped to [0, 1]. A speed
-    exactly on the top edge, ceil(max / w) w, belongs to no bin.
+    exactly on the top edge, ceil(max / w) w, belongs to no bin. Speeds over ``v_max`` are left out. A speed that asks for
+    more than MOST_BINS bins is an error (a broken sensor, for which v_max is there), not a curve of so many rows. Missing
+    and infinite values are left out; rows that repeat count each; an empty table gives one bin without a value.
     """
-    d = df.select(F.col(ws).alias("ws"), F.col(power).alias("p")).where("ws is not null and p is not null")
-    top = d.agg((F.ceil(F.max("ws") / width)).cast("int").alias("bins"))
-    # equal powers are counted first; the median is read off their running count, so no bin has to fit into memory
-    counted = d.groupBy(F.floor(F.col("ws") / width).cast("int").alias("bin"), "p").agg(F.count(F.lit(1)).alias("c"))
-    upto = Window.partitionBy("bin").orderBy("p")
-    run = counted.select("bin", "p", F.sum("c").over(upto).alias("upto"), F.sum("c").over(Window.partitionBy("bin")).alias("n"))
-    middle = lambda of: F.min(F.when(F.col("upto") > of, F.col("p")))
-    med = run.groupBy("bin").agg(F.max("n").alias("n"), ((middle(F.floor((F.col("n") - 1) / 2)) + middle(F.floor(F.col("n") / 2))) / 2).alias("med"))
+    d = df.select(F.col(ws).alias("ws"), F.col(power).alias("p")).where("ws is not null and p is not null and abs(ws) < double('infinity')")
+    d = d if v_max is None else d.where(F.col("ws") <= v_max)
+    bins = F.ceil(F.max("ws") / width)
+    top = d.agg(F.when(bins > MOST_BINS, F.raise_error(F.concat(F.lit("speeds up to "), F.max("ws").cast("string"), F.lit(" need too many bins: give v_max"))).cast("int")).otherwise(bins.cast("int")).alias("bins"))
+    counted = d.groupBy(F.floor(F.col("ws") / width).cast("int").alias("bin"), F.col("p").alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    counted = Scratch(spark, "power-curve").put(counted.where("bin is not null"), "counted")
+    sizes = counted.groupBy("bin").agg(F.sum("c").alias("n")).where(F.col("n") >= least)
+    middle = sizes.select("bin", F.explode(F.array(F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2))).alias("rank"))
+    med = values_at_ranks(spark, counted, middle, "bin").groupBy("bin").agg(((F.min("v") + F.max("v")) / 2).alias("med"))
     spine = top.select(F.explode(F.sequence(F.lit(0), F.greatest(F.col("bins"), F.lit(1)) - 1)).alias("bin"))
-    known = spine.join(F.broadcast(med.where(F.col("n") >= least).select("bin", "med")), "bin", "left")
+    known = spine.join(F.broadcast(med), "bin", "left")
     back, on = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0), Window.orderBy("bin").rowsBetween(0, Window.unboundedFollowing)
     place = F.when(F.col("med").isNotNull(), F.col("bin"))
     k = known.select("bin", F.last("med", True).over(back).alias("m0"), F.last(place, True).over(back).alias("b0"), F.first("med", True).over(on).alias("m1"), F.first(place, True).over(on).alias("b1"))

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from windlake.operators.components import connected_components
+from windlake.sources.scratch import Scratch
 
 
 def _members(groups: DataFrame) -> DataFrame:
@@ -44,14 +45,59 @@ def exact_duplicate_groups(df: DataFrame, values: Sequence[str] = ("u100", "v100
     return agreed.join(big, "group_id", "left_semi").select("station", "group_id")
 
 
-def near_duplicate_pairs(df: DataFrame, tol: float = 0.5, values: Sequence[str] = ("u100", "v100"), station: str = "zone", ts: str = "ts") -> DataFrame:
-    """station_a < station_b whose values never differ by more than tol at common times; with the largest and mean difference."""
+PROBES = 6
+
+
+def near_candidates(df: DataFrame, tol: float, values: Sequence[str] = ("u100", "v100"), station: str = "zone", ts: str = "ts", probes: int = PROBES) -> DataFrame:
+    """(a, b), a < b: the station pairs that can stay within tol of each other, judged at a few probe times.
+
+    Stations within tol are so at each probe that both have, so their bands of width tol are equal or neighbours there: an
+    equi-join on bands at the first probe that both have, whose rows must agree at all others. Pairs without a common probe
+    are kept: the few patterns of who has which probe are paired first. Probes are the times at which most stations have a
+    value and their values spread most.
+    """
+    lead, width = values[0], tol * 1.000001  # a little wider than tol, against rounding
+    d = df.where(F.coalesce(*(F.col(c) for c in values)).isNotNull()).select(F.col(station).alias("s"), F.col(ts).alias("t"), *(F.col(c).alias(f"v{i}") for i, c in enumerate(values)))
+    spread = d.where("v0 is not null").groupBy("t").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct(F.floor(F.col("v0") / width)).alias("d"))
+    times = [r["t"] for r in spread.orderBy(F.desc(F.col("n") * F.col("d")), F.xxhash64("t"), "t").limit(probes).collect()]
+    if not times:
+        return d.select(F.col("s").alias("a"), F.col("s").alias("b")).limit(0)
+    at = lambda t, c: F.max(F.when(F.col("t") == F.lit(t), F.col(c)))
+    p = d.where(F.col("t").isin(times)).groupBy("s").agg(*(at(t, f"v{i}").alias(f"p{k}_{i}") for k, t in enumerate(times) for i in range(len(values))))
+    has = [F.col(f"p{k}_0").isNotNull() for k in range(len(times))]
+    p = p.withColumn("has", sum((F.when(h, 1 << k).otherwise(0) for k, h in enumerate(has)), F.lit(0)))
+    p = d.select("s").distinct().join(p, "s", "left").withColumn("has", F.coalesce("has", F.lit(0)))
+    names = [c for c in p.columns if c != "s"]
+    left, right = p.toDF("a", *(f"l_{c}" for c in names)), p.toDF("b", *(f"r_{c}" for c in names))
+    bands = lambda side: F.array(*(F.floor(F.col(f"{side}_p{k}_0") / width) for k in range(len(times))))
+    left = left.select("*", F.posexplode(bands("l")).alias("k", "band")).where("band is not null")
+    left = left.withColumn("band", F.explode(F.array(*(F.col("band") + i for i in (-1, 0, 1)))))
+    right = right.select("*", F.posexplode(bands("r")).alias("k", "band")).where("band is not null")
+    agree = [F.coalesce(F.abs(F.col(f"l_{c}") - F.col(f"r_{c}")) <= tol, F.lit(True)) for c in names if c != "has"]
+    both = F.col("l_has").bitwiseAND(F.col("r_has"))
+    first = both.bitwiseAND(F.call_function("shiftleft", F.lit(1), F.col("k")) - 1) == 0  # no earlier probe that both have
+    met = left.join(right, ["k", "band"]).where((F.col("a") < F.col("b")) & first)
+    for c in agree:
+        met = met.where(c)
+    shapes = p.groupBy("has").count().select("has")  # at most 2^probes patterns
+    apart = shapes.toDF("x").crossJoin(F.broadcast(shapes.toDF("y"))).where(F.col("x").bitwiseAND(F.col("y")) == 0)
+    lone = p.select(F.col("s").alias("a"), F.col("has").alias("x")).join(F.broadcast(apart), "x").join(p.select(F.col("s").alias("b"), F.col("has").alias("y")), "y").where("a < b")
+    return met.select("a", "b").unionAll(lone.select("a", "b"))
+
+
+def near_duplicate_pairs(df: DataFrame, tol: float = 0.5, values: Sequence[str] = ("u100", "v100"), station: str = "zone", ts: str = "ts", probes: int = PROBES) -> DataFrame:
+    """station_a < station_b whose values never differ by more than tol at common times; with the largest and mean difference.
+
+    Only pairs that agree at the probe times (near_candidates) are compared at all times. Missing values are not compared; a
+    pair without any common value isn't near; an empty table gives none. Keys (station, time) must be unique.
+    """
     d = df.select(F.col(station).alias("s"), F.col(ts).alias("t"), *values)
     a, b = d.toDF("station_a", "t", *(f"a_{c}" for c in values)), d.toDF("station_b", "t", *(f"b_{c}" for c in values))
+    pairs = near_candidates(df, tol, values, station, ts, probes).toDF("station_a", "station_b")
     diffs = [F.abs(F.col(f"a_{c}") - F.col(f"b_{c}")) for c in values]
     most = F.max(F.greatest(*diffs) if len(diffs) > 1 else diffs[0])
     total, n = sum((F.coalesce(x, F.lit(0.0)) for x in diffs), F.lit(0.0)), sum((x.isNotNull().cast("int") for x in diffs), F.lit(0))
-    g = a.join(b, "t").where("station_a < station_b").groupBy("station_a", "station_b").agg(most.alias("m"), F.sum(total).alias("s"), F.sum(n).alias("n"))
+    g = pairs.join(a, "station_a").join(b, ["station_b", "t"]).groupBy("station_a", "station_b").agg(most.alias("m"), F.sum(total).alias("s"), F.sum(n).alias("n"))
     return g.where(F.col("m") <= tol).select("station_a", "station_b", F.round("m", 4).alias("max_abs_diff"), F.round(F.col("s") / F.col("n"), 4).alias("mean_abs_diff"))
 
 
@@ -75,39 +121,78 @@ def correlation_matrix(pairs: DataFrame, stations: Sequence) -> DataFrame:
     return both.unionAll(own).groupBy(F.col("station_a").alias("station")).pivot("station_b", list(stations)).agg(F.first("corr"))
 
 
-def gram_correlation(df: DataFrame, stations: Sequence, value: str = "power", station: str = "zone", ts: str = "ts") -> DataFrame:
-    """The pairs' correlation for many stations: each task adds up masked products of whole time rows with numpy.
+TILE, TIMES = 1024, 4096
+
+
+def _pack(times: int, tile: int):
+    def pack(table: pa.Table) -> pa.Table:
+        """One tile of stations at one chunk of times, as a dense block; NaN where a value is missing."""
+        x = np.full((times, tile), np.nan)
+        x[table.column("row").to_numpy(), table.column("place").to_numpy()] = table.column("v").to_numpy()
+        return pa.table({"chunk": table.column("chunk")[:1], "tile": table.column("tile")[:1], "x": pa.array([x.tobytes()], pa.binary())})
+
+    return pack
 
-    Five N x N matrices leave a task, so N is bounded by memory (some thousands), not the number of times.
+
+def _products(tile: int):
+    def products(table: pa.Table) -> pa.Table:
+        """Sums over the times that both stations of a pair have, for all pairs of two tiles."""
+        blocks = {t: np.frombuffer(x, float).reshape(-1, tile) for t, x in zip(table.column("tile").to_pylist(), table.column("x").to_pylist())}
+        lo, hi = min(blocks), max(blocks)
+        if table.column("lo")[0].as_py() != table.column("hi")[0].as_py() and lo == hi:
+            return pa.table({c: pa.array([], t) for c, t in _SUMS})  # the other tile has no value in this chunk
+        a, b = blocks[lo], blocks[hi]
+        ma, mb = (~np.isnan(a)).astype(float), (~np.isnan(b)).astype(float)
+        a, b = np.nan_to_num(a), np.nan_to_num(b)
+        n = ma.T @ mb
+        i, j = np.nonzero(np.triu(n, 1) if lo == hi else n)
+        sums = {"n": n, "x": a.T @ mb, "y": ma.T @ b, "xx": (a * a).T @ mb, "yy": ma.T @ (b * b), "xy": a.T @ b}
+        where = {"lo": np.full(len(i), lo, np.int32), "i": i.astype(np.int32), "hi": np.full(len(i), hi, np.int32), "j": j.astype(np.int32)}
+        return pa.table({c: pa.array(v) for c, v in (where | {k: m[i, j] for k, m in sums.items()}).items()})
+
+    return products
+
+
+_SUMS = [(c, pa.int32()) for c in ("lo", "i", "hi", "j")] + [(c, pa.float64()) for c in ("n", "x", "y", "xx", "yy", "xy")]
+
+
+def gram_correlation(df: DataFrame, value: str = "power", station: str = "zone", ts: str = "ts", tile: int | None = None, times: int = TIMES) -> DataFrame:
+    """The pairs' correlation (as correlation_pairs) for many stations: station tiles against station tiles, by chunks of time.
+
+    A task holds two tiles of ``tile`` stations at ``times`` times and the masked products of the two, whatever the number
+    of stations or the length of their history; chunks' sums are added up by Spark. Missing values drop out pair by pair; a
+    station that doesn't vary has a NULL correlation; keys (station, time) must be unique; an empty table gives no pairs.
     """
-    names = list(stations)
-    place = {s: i for i, s in enumerate(names)}
-    n = len(names)
-    means = df.groupBy(station).agg(F.avg(value).alias("_m"))
-    d = df.where(F.col(value).isNotNull() & F.col(station).isin(names)).join(means, station)
-    d = d.groupBy(ts).agg(F.collect_list(F.struct(F.col(station).alias("s"), (F.col(value) - F.col("_m")).alias("v"))).alias("row"))
-
-    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        count, sx, sxx, sxy = (np.zeros((n, n)) for _ in range(4))
-        for b in batches:
-            x, m = np.zeros((len(b), n)), np.zeros((len(b), n))
-            for i, row in enumerate(b["row"]):
-                for e in row:
-                    x[i, place[e["s"]]], m[i, place[e["s"]]] = e["v"], 1
-            count += m.T @ m
-            sx += x.T @ m
-            sxx += (x * x).T @ m
-            sxy += x.T @ x
-        i, j = np.triu_indices(n, 1)
-        yield pd.DataFrame({"i": i, "j": j, "n": count[i, j], "x": sx[i, j], "y": sx[j, i], "xx": sxx[i, j], "yy": sxx[j, i], "xy": sxy[i, j]})
-
-    sums = d.select("row").mapInPandas(add, "i int, j int, n double, x double, y double, xx double, yy double, xy double")
-    g = sums.groupBy("i", "j").agg(*(F.sum(c).alias(c) for c in ("n", "x", "y", "xx", "yy", "xy"))).where("n > 0")
+    d = df.where(F.col(value).isNotNull()).select(F.col(station).alias("s"), F.col(ts).alias("t"), F.col(value).alias("v"))
+    means = d.groupBy("s").agg(F.avg("v").alias("m"))
+    count = means.count()
+    tile = tile or max(1, min(TILE, count))
+    tiles = max(1, -(-count // tile))
+    stations = means.withColumn("tile", F.pmod(F.xxhash64("s"), F.lit(tiles)).cast("int"))
+    # hash tiles differ a little in size: those over the size make further tiles of their own
+    stations = stations.withColumn("nth", F.row_number().over(Window.partitionBy("tile").orderBy("s")) - 1)
+    stations = stations.select("s", "m", (F.col("tile") + (F.col("nth") / tile).cast("int") * tiles).cast("int").alias("tile"), (F.col("nth") % tile).cast("int").alias("place"))
+    rows = d.select("t").distinct()
+    length = rows.count()
+    times = max(1, min(times, length))
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("t"), F.lit(max(1, -(-length // times)))).cast("int"))
+    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("chunk").orderBy("t")) - 1)
+    many = F.lit(1_000_003)
+    rows = rows.select("t", (F.col("chunk") + (F.col("nth") / times).cast("int") * many).cast("int").alias("chunk"), (F.col("nth") % times).cast("int").alias("row"))
+    placed = d.join(stations, "s").join(rows, "t").select("chunk", "tile", "row", "place", (F.col("v") - F.col("m")).alias("v"))
+    blocks = placed.groupBy("chunk", "tile").applyInArrow(_pack(times, tile), "chunk int, tile int, x binary")
+    used = stations.agg(F.array_sort(F.collect_set("tile")).alias("tiles"))  # as many as there are tiles
+    pairs = blocks.crossJoin(F.broadcast(used)).withColumn("other", F.explode("tiles"))
+    pairs = pairs.select("chunk", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"), "tile", "x")
+    kinds = ", ".join(f"{c} {'int' if t == pa.int32() else 'double'}" for c, t in _SUMS)
+    sums = pairs.groupBy("chunk", "lo", "hi").applyInArrow(_products(tile), kinds)
+    g = sums.groupBy("lo", "i", "hi", "j").agg(*(F.sum(c).alias(c) for c in ("n", "x", "y", "xx", "yy", "xy")))
     var = lambda s, q: F.col(q) - F.col(s) * F.col(s) / F.col("n")
     vx, vy = var("x", "xx"), var("y", "yy")
     corr = F.when((vx > 1e-12) & (vy > 1e-12), (F.col("xy") - F.col("x") * F.col("y") / F.col("n")) / F.sqrt(vx * vy))
-    name = F.array(*map(F.lit, names))
-    return g.select(name[F.col("i")].alias("station_a"), name[F.col("j")].alias("station_b"), corr.alias("corr"), F.col("n").cast("long").alias("n"))
+    named = lambda t, p, n: stations.select(F.col("tile").alias(t), F.col("place").alias(p), F.col("s").alias(n))
+    g = g.join(named("lo", "i", "s_lo"), ["lo", "i"]).join(named("hi", "j", "s_hi"), ["hi", "j"])
+    return g.select(F.least("s_lo", "s_hi").alias("station_a"), F.greatest("s_lo", "s_hi").alias("station_b"), corr.alias("corr"), F.col("n").cast("long").alias("n"))
 
 
 def correlation_clusters(spark: SparkSession, pairs: DataFrame, stations: DataFrame, threshold: float = 0.9) -> DataFrame:
@@ -161,7 +246,7 @@ def within_group_correlation(groups: DataFrame, pairs: DataFrame) -> DataFrame:
 def independence_report(spark: SparkSession, df: DataFrame, values: Sequence[str] = ("u100", "v100"), corr_value: str = "power", threshold: float = 0.9, tol: float = 0.0, station: str = "zone", ts: str = "ts") -> dict[str, DataFrame]:
     """Named tables: groups, sample_size, correlation, clusters, cv, within_groups."""
     groups = near_duplicate_groups(spark, df, tol, values, station, ts) if tol > 0 else exact_duplicate_groups(df, values, station, ts)
-    corr = correlation_pairs(df, corr_value, station, ts)
+    corr = Scratch(spark, "independence").put(gram_correlation(df, corr_value, station, ts), "correlation")
     return {
         "groups": _members(groups),
         "sample_size": effective_sample_size(groups, df, station, ts),

@@ -1,9 +1,10 @@
-"""Learners: ridge by per-station moment blocks, boosted trees by MLlib; the time split and the experiments."""
+"""Learners: ridge by per-station moment blocks, boosted trees (trees.py); the time split and the experiments."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,15 +14,23 @@ from windlake.functions.physics import clip01
 from windlake.operators import curves
 from windlake.operators.features import FEATURES, LAG_FEATURES, drop_missing
 from windlake.operators.metrics import error_by_wind_bin, ranked, regression_metrics
+from windlake.operators.ranks import values_at_ranks
+from windlake.operators.trees import Trees, TreeSettings, fit_trees
+from windlake.sources.scratch import Scratch
 
 
 def split_by_time(df: DataFrame, test_ratio: float = 0.3, ts: str = "ts") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Train, test and the cut (one row, epoch microseconds): the interpolated quantile of all rows' times, never a random draw."""
+    """Train, test and the cut (one row, epoch microseconds): the interpolated quantile of all rows' times, never a random draw.
+    Rows without a time are in neither; an empty table gives two empty ones."""
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    counts = df.groupBy(micros.alias("m")).agg(F.count(F.lit(1)).alias("w"))
-    cut = counts.agg(F.percentile("m", 1 - test_ratio, F.col("w")).alias("cut"))
-    d = df.crossJoin(F.broadcast(cut.toDF("_cut"))).withColumn("_m", micros)
-    return d.where("_m <= _cut").drop("_cut", "_m"), d.where("_m > _cut").drop("_cut", "_m"), cut
+    counts = df.where(micros.isNotNull()).groupBy(micros.alias("v")).agg(F.count(F.lit(1)).alias("c")).withColumn("all", F.lit(0))
+    place = counts.groupBy("all").agg(((F.sum("c") - 1) * F.lit(1 - test_ratio)).alias("place"))
+    ranks = place.select("all", F.explode(F.array(F.floor("place"), F.ceil("place"))).alias("rank"))
+    ends = values_at_ranks(df.sparkSession, counts, ranks, "all").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    cut = ends.crossJoin(F.broadcast(place)).select((F.col("lo") + (F.col("hi") - F.col("lo")) * (F.col("place") - F.floor("place"))).alias("cut"))
+    at = cut.toDF("_split_cut")  # a name that no table has
+    d = df.crossJoin(F.broadcast(at))
+    return d.where(micros <= F.col("_split_cut")).drop("_split_cut"), d.where(micros > F.col("_split_cut")).drop("_split_cut"), cut
 
 
 @dataclass
@@ -92,75 +101,76 @@ def ridge_predict(df: DataFrame, model: Ridge, medians: dict[str, float] | None
     return (df.na.fill(medians, subset=model.features) if medians else df).withColumn(out, model.column())
 
 
-def gbt_fit(df: DataFrame, features: Sequence[str] = FEATURES, y: str = "power", max_iter: int = 20, max_depth: int = 5, step: float = 0.1, partitions: int | None = None):
-    """Boosted regression trees. Small training sets should come in few ``partitions``: each tree level is a pass."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
+def gbt_predict(df: DataFrame, model: Trees, out: str = "pred") -> DataFrame:
+    """Predictions in [0, 1] of the rows that have all features."""
+    d = drop_missing(df, model.features)
+    return d.withColumn(out, clip01(model.column(d)))
 
-    d = drop_missing(df, [*features, y])
-    d = d.coalesce(partitions) if partitions else d
-    trees = GBTRegressor(featuresCol="_x", labelCol=y, predictionCol="_raw", maxIter=max_iter, maxDepth=max_depth, stepSize=step, seed=42)
-    return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="_x"), trees]).fit(d)
 
+def feature_importance(spark: SparkSession, nodes: DataFrame, features: Sequence[str] = FEATURES) -> DataFrame:
+    """feature, importance (in how many nodes of the model's table it splits), largest first: one row for each feature."""
+    used = nodes.where("feature is not null").groupBy("feature").agg(F.count(F.lit(1)).alias("n"))
+    names = spark.createDataFrame([(f,) for f in features], "feature string")
+    return names.join(used, "feature", "left").select("feature", F.coalesce("n", F.lit(0)).alias("importance")).orderBy(F.desc("importance"), "feature")
 
-def gbt_predict(df: DataFrame, model, features: Sequence[str] = FEATURES, out: str = "pred") -> DataFrame:
-    d = model.transform(drop_missing(df, features))
-    return d.withColumn(out, clip01("_raw")).drop("_x", "_raw")
 
+def _prediction(spark: SparkSession, name: str, train: DataFrame, ok: DataFrame, features: Sequence[str], settings: TreeSettings) -> tuple[DataFrame, Trees | None]:
+    if name == "power curve":
+        return curves.predict_power_curve(ok, curves.fit_power_curve(spark, train)), None
+    if name == "linear":
+        return curves.predict_linear(ok, curves.fit_linear(train)), None
+    if name == "cubic":
+        return curves.predict_cubic(ok, curves.fit_cubic(train)), None
+    if name == "persistence":
+        return curves.predict_persistence(ok), None
+    if name == "ridge":
+        return ridge_predict(ok, ridge_fit(train, features)), None
+    if name == "gbt":
+        model = fit_trees(spark, train, features, settings=settings)
+        return gbt_predict(ok, model), model
+    raise ValueError(f"no model is called {name}")
 
-def feature_importance(spark: SparkSession, model, features: Sequence[str] = FEATURES) -> DataFrame:
-    """feature, importance (sums to 1), largest first: one row for each feature."""
-    rows = [(f, float(x)) for f, x in zip(features, model.stages[-1].featureImportances.toArray())]
-    return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature")
 
-
-def predictions(spark: SparkSession, train: DataFrame, test: DataFrame, models: Sequence[str], features: Sequence[str], gbt_iter: int = 5) -> DataFrame:
-    """model, zone, ts, ws100, power, pred for each model over the test rows that have all features and the target."""
+@dataclass
+class Experiment:
+    """What an experiment leaves behind, each part a written table or made from one: predictions of all models (model, zone, ts,
+    ws100, power, pred), the metrics (best first), the best model's errors by speed, and the trees' nodes and ranked
+    split counts (None without trees)."""
+
+    predictions: DataFrame
+    table: DataFrame
+    errors: DataFrame
+    nodes: DataFrame | None
+    importance: DataFrame | None
+
+
+def run_experiment(spark: SparkSession, train: DataFrame, test: DataFrame, models: Sequence[str], features: Sequence[str], settings: TreeSettings = TreeSettings()) -> Experiment:
+    """Every model is fitted once, on the training rows that have what it needs, and scored once, on the test rows that have all
+    features and the target."""
+    scratch = Scratch(spark, "experiment")
     ok = drop_missing(test, [*features, "power"])
-    keep = ["zone", "ts", "ws100", "power", "pred"]
-    parts = []
+    parts, nodes = [], None
     for name in models:
-        if name == "power curve":
-            p = curves.predict_power_curve(ok, curves.fit_power_curve(spark, train))
-        elif name == "linear":
-            p = curves.predict_linear(ok, curves.fit_linear(train))
-        elif name == "cubic":
-            p = curves.predict_cubic(ok, curves.fit_cubic(train))
-        elif name == "persistence":
-            p = curves.predict_persistence(ok)
-        elif name == "ridge":
-            p = ridge_predict(ok, ridge_fit(train, features))
-        elif name == "gbt":
-            p = gbt_predict(ok, gbt_fit(train, features, max_iter=gbt_iter, max_depth=4), features)
-        else:
-            raise ValueError(f"no model is called {name}")
-        parts.append(p.select(F.lit(name).alias("model"), *keep))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionAll(p)
-    return out
-
-
-def run_experiment(spark: SparkSession, train: DataFrame, test: DataFrame, models: Sequence[str], features: Sequence[str], gbt_iter: int = 5) -> tuple[DataFrame, DataFrame]:
-    """The models' metrics, best first, and the best one's errors by speed bin."""
-    pred = predictions(spark, train, test, models, features, gbt_iter)
-    table = ranked(regression_metrics(pred))
-    best = table.limit(1).select("model")
-    return table, error_by_wind_bin(pred.join(F.broadcast(best), "model"))
-
-
-def experiment_a(spark: SparkSession, train: DataFrame, test: DataFrame, learners: Sequence[str] = ("ridge", "gbt"), gbt_iter: int = 5):
+        p, model = _prediction(spark, name, train, ok, features, settings)
+        parts.append(p.select(F.lit(name).alias("model"), "zone", "ts", "ws100", "power", "pred"))
+        nodes = scratch.put(model.nodes(spark), "nodes") if model else nodes
+    pred = scratch.put(reduce(DataFrame.unionAll, parts), "predictions")
+    table = scratch.put(ranked(regression_metrics(pred)), "metrics").orderBy(F.desc("accuracy_pct"), "model")
+    best = pred.join(F.broadcast(table.limit(1).select("model")), "model")
+    return Experiment(pred, table, error_by_wind_bin(best), nodes, feature_importance(spark, nodes, features) if nodes else None)
+
+
+def experiment_a(spark: SparkSession, train: DataFrame, test: DataFrame, learners: Sequence[str] = ("ridge", "gbt"), settings: TreeSettings = TreeSettings()) -> Experiment:
     """Forecast features only: physical baselines against learners."""
-    return run_experiment(spark, train, test, ["power curve", "cubic", "linear", *learners], FEATURES, gbt_iter)
+    return run_experiment(spark, train, test, ["power curve", "cubic", "linear", *learners], FEATURES, settings)
 
 
-def experiment_b(spark: SparkSession, train: DataFrame, test: DataFrame, learners: Sequence[str] = ("ridge", "gbt"), gbt_iter: int = 5):
+def experiment_b(spark: SparkSession, train: DataFrame, test: DataFrame, learners: Sequence[str] = ("ridge", "gbt"), settings: TreeSettings = TreeSettings()) -> Experiment:
     """With the station's own history: persistence is the baseline."""
-    return run_experiment(spark, train, test, ["persistence", *learners], [*FEATURES, *LAG_FEATURES], gbt_iter)
+    return run_experiment(spark, train, test, ["persistence", *learners], [*FEATURES, *LAG_FEATURES], settings)
 
 
-def experiment_delta(table: DataFrame, learner: str = "ridge", baseline: str = "power curve") -> DataFrame:
+def experiment_delta(table: DataFrame, learner: str = "gbt", baseline: str = "power curve") -> DataFrame:
     """How many points of accuracy the learner gains."""
     a, b = (table.where(F.col("model") == m).select(F.col("accuracy_pct").alias(n)) for m, n in ((learner, "a"), (baseline, "b")))
     return a.crossJoin(F.broadcast(b)).select(F.lit(learner).alias("learner"), F.lit(baseline).alias("baseline"), F.round(F.col("a") - F.col("b"), 2).alias("delta_points"))

@@ -1,7 +1,7 @@
 """Folds by station and by group, and the controlled test of leakage between stations that share data.
 
-With ridge, a training set is a sum of stations' moment blocks: all folds and all controlled runs take one scan for the
-blocks and one for the test errors.
+With ridge, a training set is the total of stations' moment blocks less some: all folds and all controlled runs take one
+scan for the blocks and one for the test errors, and are solved in tasks. With trees, all runs grow together.
 """
 
 from __future__ import annotations
@@ -9,12 +9,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from windlake.functions.physics import clip01
 from windlake.operators.features import FEATURES, drop_missing
-from windlake.operators.models import Moments, gbt_fit, gbt_predict, moment_blocks, ridge_from_moments
+from windlake.operators.models import Moments, moment_blocks, ridge_from_moments
+from windlake.operators.trees import LEAKAGE, TreeSettings, run_errors
+from windlake.sources.scratch import Scratch
 
 
 def exclude_stations(df: DataFrame, stations: DataFrame, station: str = "zone") -> DataFrame:
@@ -44,72 +47,84 @@ def _folds(df: DataFrame, groups: DataFrame, station: str, by_group: bool) -> Da
     partner = F.lit(0) if by_group else F.max(F.col("group_id").isNotNull().cast("int"))
     f = n.groupBy(unit.alias("unit")).agg(F.array_sort(F.collect_list("station")).alias("stations"), F.sum("rows").alias("test_rows"), partner.alias("train_has_partner"))
     f = f.withColumn("held_out", F.array_join(F.transform("stations", lambda s: s.cast("string")), ","))
-    from pyspark.sql import Window
-
     return f.select(F.row_number().over(Window.orderBy("unit")).alias("fold"), "held_out", "test_rows", "train_has_partner", "stations")
 
 
-def run_plan(spark: SparkSession, df: DataFrame, plan: list[tuple[str, Sequence, Sequence]], features: Sequence[str] = FEATURES, y: str = "power", station: str = "zone", learner: str = "ridge", alpha: float = 1.0, **gbt) -> DataFrame:
-    """(run, rmse, n) for runs of (name, test stations, excluded stations). The plan has a few runs for each station."""
-    d = drop_missing(df, [*features, y])
+def _solved(spark: SparkSession, plan: DataFrame, blocks: dict, shift: np.ndarray, features: Sequence[str], alpha: float, kind: str) -> DataFrame:
+    """(run, _station, _coef, _intercept) of the plan's ridge models, solved in tasks: the stations' moments are sent to each
+    (about a kilobyte a station), and a run's are the total less those of the stations that it leaves out."""
+    total = sum(blocks.values(), Moments(0.0, np.zeros(len(features) + 1), np.zeros((len(features) + 1,) * 2)))
+    sent = spark.sparkContext.broadcast((blocks, total))
+
+    def solve(batches):
+        blocks, total = sent.value
+        for b in batches:
+            rows = []
+            for run, test, gone in zip(b["run"], b["test"], b["gone"]):
+                m = total
+                for s in set(gone):
+                    m = m - blocks[s] if s in blocks else m
+                if m.n > 0.5:
+                    model = ridge_from_moments(m, shift, features, alpha)
+                    rows += [(run, s, model.coef.tolist(), model.intercept) for s in test]
+            yield pd.DataFrame(rows, columns=["run", "_station", "_coef", "_intercept"])
+
+    return plan.mapInPandas(solve, f"run string, _station {kind}, _coef array<double>, _intercept double")
+
+
+def run_plan(spark: SparkSession, df: DataFrame, plan: DataFrame | list[tuple[str, Sequence, Sequence]], features: Sequence[str] = FEATURES, y: str = "power", station: str = "zone", learner: str = "ridge", alpha: float = 1.0, settings: TreeSettings = LEAKAGE) -> DataFrame:
+    """(run, rmse, n) for the runs of ``plan``: run, test stations, excluded stations (run string, test array, gone array, or a
+    list of tuples). Runs without training rows or without test rows are left out.
+
+    Ridge models are solved in tasks from per-station moments. With ``learner`` "gbt" all runs' trees grow together, from
+    histograms that share their passes over the rows.
+    """
+    kind = df.schema[station].dataType.simpleString()
+    if isinstance(plan, list):
+        plan = spark.createDataFrame([(r, list(t), list(g)) for r, t, g in plan], f"run string, test array<{kind}>, gone array<{kind}>")
     if learner == "gbt":
-        parts = []
-        for name, test, gone in plan:
-            model = gbt_fit(d.where(~F.col(station).isin(list(gone))), features, y, **gbt)
-            p = gbt_predict(d.where(F.col(station).isin(list(test))), model, features)
-            parts.append(p.select(F.lit(name).alias("run"), F.pow(F.col(y) - F.col("pred"), F.lit(2.0)).alias("e")))
-        errors = parts[0]
-        for p in parts[1:]:
-            errors = errors.unionAll(p)
-    else:
-        blocks, shift = moment_blocks(d, features, y, station)
-        total = sum(blocks.values(), Moments(0.0, np.zeros(len(features) + 1), np.zeros((len(features) + 1,) * 2)))
-        runs = []
-        for name, test, gone in plan:
-            m = total
-            for s in gone:
-                if s in blocks:
-                    m = m - blocks[s]
-            if m.n <= 0:
-                continue
-            model = ridge_from_moments(m, shift, features, alpha)
-            runs += [(name, s, [float(x) for x in model.coef], model.intercept) for s in test]
-        kind = df.schema[station].dataType.simpleString()
-        table = spark.createDataFrame(runs, f"run string, _station {kind}, _coef array<double>, _intercept double")
-        pred = F.col("_intercept")
-        for i, name in enumerate(features):
-            pred = pred + F.col("_coef")[i] * F.col(name)
-        errors = d.join(table, F.col(station) == F.col("_station")).select("run", F.pow(F.col(y) - clip01(pred), F.lit(2.0)).alias("e"))
+        runs = [(r["run"], r["test"], r["gone"]) for r in plan.orderBy("run").collect()]  # each is a whole model to be fitted
+        found = [(name, e, n) for name, e, n in run_errors(spark, df, runs, features, y, station, settings) if n]
+        return spark.createDataFrame(found, "run string, e double, n long").select("run", F.sqrt(F.col("e") / F.col("n")).alias("rmse"), "n")
+    d = drop_missing(df, [*features, y])
+    blocks, shift = moment_blocks(d, features, y, station)
+    table = Scratch(spark, "runs").put(_solved(spark, plan, blocks, shift, features, alpha, kind), "models")
+    pred = F.col("_intercept")
+    for i, name in enumerate(features):
+        pred = pred + F.col("_coef")[i] * F.col(name)
+    errors = d.join(table, F.col(station) == F.col("_station")).select("run", F.pow(F.col(y) - clip01(pred), F.lit(2.0)).alias("e"))
     return errors.groupBy("run").agg(F.sqrt(F.avg("e")).alias("rmse"), F.count(F.lit(1)).alias("n"))
 
 
 def fold_rmse(spark: SparkSession, df: DataFrame, folds: DataFrame, station: str = "zone", **kw) -> DataFrame:
-    """The folds with their rmse. Folds are one row for each station or group."""
-    plan = [(str(r["fold"]), r["stations"], r["stations"]) for r in folds.collect()]
+    """The folds (of station_folds or group_folds) with their rmse."""
+    plan = folds.select(F.col("fold").cast("string").alias("run"), F.col("stations").alias("test"), F.col("stations").alias("gone"))
     got = run_plan(spark, df, plan, station=station, **kw)
     return folds.join(got.select(F.col("run").cast("int").alias("fold"), F.round("rmse", 4).alias("rmse")), "fold").select("fold", "held_out", "test_rows", "rmse", "train_has_partner")
 
 
+def leakage_plan(df: DataFrame, groups: DataFrame, station: str = "zone") -> DataFrame:
+    """run, test, gone, with test_station, twin, kind (A, B or C): for each duplicate group its smallest station T, tested after
+    training without T (A), without T and its first other member (B), and without T and each station outside the group (C)."""
+    members = groups.groupBy("group_id").agg(F.array_sort(F.collect_set("station")).alias("members")).where(F.size("members") > 1)
+    t = members.select(F.col("members")[0].alias("test_station"), F.col("members")[1].alias("twin"), "members")
+    stations = df.select(F.col(station).alias("other")).where("other is not null").distinct()
+    c = t.crossJoin(F.broadcast(stations)).where(~F.array_contains("members", F.col("other"))).select("test_station", "twin", F.lit("C").alias("kind"), "other")  # runs of the test, by its definition
+    ab = t.select("test_station", "twin", F.explode(F.array(F.struct(F.lit("A").alias("kind"), F.col("test_station").alias("other")), F.struct(F.lit("B").alias("kind"), F.col("twin").alias("other")))).alias("x")).select("test_station", "twin", "x.*")
+    name = F.concat_ws("|", F.col("test_station").cast("string"), "kind", F.col("other").cast("string"))
+    return ab.unionAll(c).select(name.alias("run"), F.array("test_station").alias("test"), F.array("test_station", "other").alias("gone"), "test_station", "twin", "kind")
+
+
 def controlled_leakage_test(spark: SparkSession, df: DataFrame, groups: DataFrame, station: str = "zone", **kw) -> DataFrame:
-    """For each duplicate group: its smallest station T tested after training without T (A), without T and its twin (B),
-    and without T and one station outside the group (C, one run for each). A leak shows as B worse than the mean of C."""
-    members: dict = {}
-    for r in groups.orderBy("group_id", "station").collect():
-        members.setdefault(r["group_id"], []).append(r["station"])
-    stations = sorted(r[0] for r in df.select(station).distinct().collect())
-    plan = []
-    for target, group in members.items():
-        plan += [(f"{target}|A|", [target], [target]), (f"{target}|B|", [target], [target, group[1]])]
-        plan += [(f"{target}|C|{k}", [target], [target, k]) for k in stations if k not in group]
-    if not plan:
-        return spark.createDataFrame([], "test_station int, twin int, a_rmse double, b_rmse double, c_mean double, c_sd double, leak double, gain double, c_runs array<double>")
-    got = run_plan(spark, df, plan, station=station, **kw).withColumn("p", F.split("run", r"\|"))
-    kind = df.schema[station].dataType
-    twins = spark.createDataFrame([(t, g[1]) for t, g in members.items()], f"test_station {kind.simpleString()}, twin {kind.simpleString()}")
-    pick = lambda c: F.max(F.when(F.col("p")[1] == c, F.col("rmse")))
-    c = F.when(F.col("p")[1] == "C", F.col("rmse"))
-    t = got.groupBy(F.col("p")[0].cast(kind).alias("test_station")).agg(pick("A").alias("a_rmse"), pick("B").alias("b_rmse"), F.avg(c).alias("c_mean"), F.stddev_pop(c).alias("c_sd"), F.array_sort(F.collect_list(F.round(c, 4))).alias("c_runs"))
-    t = t.join(twins, "test_station").withColumns({"leak": F.col("b_rmse") - F.col("c_mean"), "gain": F.col("a_rmse") - F.col("c_mean")})
+    """One row for each duplicate group: test_station, twin, the errors of the runs of leakage_plan (a_rmse, b_rmse, c_mean,
+    c_sd, and each C in c_runs), leak = B - C and gain = A - C. A leak shows as B worse than the mean of C. Without groups
+    there are no rows."""
+    plan = Scratch(spark, "leakage").put(leakage_plan(df, groups, station), "plan")
+    got = run_plan(spark, df, plan.select("run", "test", "gone"), station=station, **kw).join(plan.select("run", "test_station", "twin", "kind"), "run")
+    pick = lambda c: F.max(F.when(F.col("kind") == c, F.col("rmse")))
+    c = F.when(F.col("kind") == "C", F.col("rmse"))
+    t = got.groupBy("test_station", "twin").agg(pick("A").alias("a_rmse"), pick("B").alias("b_rmse"), F.avg(c).alias("c_mean"), F.stddev_pop(c).alias("c_sd"), F.array_sort(F.collect_list(F.round(c, 4))).alias("c_runs"))
+    t = t.withColumns({"leak": F.col("b_rmse") - F.col("c_mean"), "gain": F.col("a_rmse") - F.col("c_mean")})
     return t.select("test_station", "twin", "a_rmse", "b_rmse", "c_mean", "c_sd", "leak", "gain", "c_runs")
 
 

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from windlake.functions.special import gamma
 from windlake.sources.scratch import Scratch
 
-STEPS = 8
+STEPS = 8  # Newton steps from the moments' k are enough for ordinary samples, and what the SQL of the queries takes
 
 
 def _positive(df: DataFrame, col: str, keys: Sequence[str]) -> DataFrame:
@@ -27,33 +28,58 @@ def fit_moments(df: DataFrame, col: str, keys: Sequence[str] = ("zone",)) -> Dat
     return base.join(m.select(*keys, "k", "c"), list(keys), "left")
 
 
+LOW, HIGH = 0.2, 20.0
+AT_ONCE, ROUNDS = 4, 16  # steps between two looks at who has settled; at most so many looks
+
+
+def _likelihood(counted: DataFrame, state: DataFrame, keys: list[str], at: Column) -> DataFrame:
+    """The state with f, the likelihood equation at ``at``, and its slope there. Speeds are shares of the station's largest."""
+    x, k = F.col("v") / F.col("top"), at
+    xk = F.pow(x, k) * F.col("w")
+    sums = counted.join(state, keys).groupBy(*keys, *(c for c in state.columns if c not in keys)).agg(
+        F.sum(xk).alias("s0"), F.sum(xk * F.ln(x)).alias("s1"), F.sum(xk * F.ln(x) * F.ln(x)).alias("s2"), (F.sum(F.ln(x) * F.col("w")) / F.sum("w")).alias("m")
+    )
+    mean = F.col("s1") / F.col("s0")
+    return sums.withColumns({"f": mean - 1 / k - F.col("m"), "slope": F.col("s2") / F.col("s0") - mean * mean + 1 / (k * k)}).drop("s0", "s1", "s2", "m")
+
+
 def fit_mle(spark: SparkSession, df: DataFrame, col: str, keys: Sequence[str] = ("zone",)) -> DataFrame:
     """Maximum likelihood k and c (k_mle, c_mle), with the moments' fit (k_mom, c_mom).
 
-    The likelihood equation in k has one root; Newton steps from the moments' k find it, each an aggregate of three sums
-    over distinct speeds. Speeds are divided by their station's mean, so powers can't overflow. Outside [0.2, 20],
-    where the last step still moves k, or where there are no moments, the moments' fit stands.
+    The likelihood equation rises in k and has one root. Where its sign changes between 0.2 and 20, Newton steps from the
+    moments' k find it; each step keeps the bracket, and one that would leave it halves it. A step is an aggregate of three
+    sums over distinct speeds; stations that have settled leave. Speeds are divided by their station's largest, so powers
+    can't overflow. Without a sign change, and where there are no moments, the moments' fit stands (NULL below ten values
+    or without spread). Only finite speeds over 0 count; an empty table gives no rows.
     """
     keys = list(keys)
     scratch = Scratch(spark, "weibull")
     counted = _positive(df, col, keys).groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("w"))
     counted = scratch.put(counted, "counted")
-    means = counted.groupBy(*keys).agg((F.sum(F.col("v") * F.col("w")) / F.sum("w")).alias("mean"))
-    moments = scratch.put(fit_moments(df, col, keys).withColumnsRenamed({"k": "k_mom", "c": "c_mom"}).join(means, keys, "left"), "moments")
-    state = moments.where("k_mom is not null").select(*keys, "mean", F.col("k_mom").alias("k"))
-    x = F.col("v") / F.col("mean")
-    xk = F.pow(x, F.col("k")) * F.col("w")
-    for _ in range(STEPS):
-        sums = counted.join(state, keys).groupBy(*keys, "mean", "k").agg(
-            F.sum(xk).alias("s0"), F.sum(xk * F.ln(x)).alias("s1"), F.sum(xk * F.ln(x) * F.ln(x)).alias("s2"), (F.sum(F.ln(x) * F.col("w")) / F.sum("w")).alias("m")
-        )
-        f = F.col("s1") / F.col("s0") - 1 / F.col("k") - F.col("m")
-        slope = F.col("s2") / F.col("s0") - F.pow(F.col("s1") / F.col("s0"), F.lit(2.0)) + 1 / (F.col("k") * F.col("k"))
-        state = sums.select(*keys, "mean", F.abs(f / slope).alias("move"), F.least(F.greatest(F.col("k") - f / slope, F.lit(0.2)), F.lit(20.0)).alias("k"))
-    state = scratch.put(state, "state")
-    last = counted.join(state, keys).groupBy(*keys, "mean", "k", "move").agg((F.sum(xk) / F.sum("w")).alias("mk"))
-    fit = last.select(*keys, "move", F.col("k").alias("k1"), (F.col("mean") * F.pow("mk", 1 / F.col("k"))).alias("c1"))
-    inside = (F.col("k1") > 0.2) & (F.col("k1") < 20) & (F.col("move") < 1e-6 * F.col("k1"))
-    return moments.join(fit, keys, "left").select(
-        *keys, F.when(inside, F.col("k1")).otherwise(F.col("k_mom")).alias("k_mle"), F.when(inside, F.col("c1")).otherwise(F.col("c_mom")).alias("c_mle"), "k_mom", "c_mom"
-    )
+    tops = counted.groupBy(*keys).agg(F.max("v").alias("top"))
+    moments = scratch.put(fit_moments(df, col, keys).withColumnsRenamed({"k": "k_mom", "c": "c_mom"}).join(tops, keys, "left"), "moments")
+    start = moments.where("k_mom is not null").select(*keys, "top", F.col("k_mom").alias("k"))
+    ends = _likelihood(counted, start, keys, F.lit(LOW)).drop("slope").withColumnRenamed("f", "f_low")
+    ends = _likelihood(counted, ends, keys, F.lit(HIGH)).where((F.col("f_low") < 0) & (F.col("f") > 0))
+    state = ends.select(*keys, "top", F.least(F.greatest("k", F.lit(LOW)), F.lit(HIGH)).alias("k"), F.lit(LOW).alias("lo"), F.lit(HIGH).alias("hi"), F.lit(False).alias("settled"))
+    done = []
+    for n in range(ROUNDS):
+        for _ in range(AT_ONCE):
+            s = _likelihood(counted, state, keys, F.col("k"))
+            lo, hi = F.when(F.col("f") < 0, F.col("k")).otherwise(F.col("lo")), F.when(F.col("f") > 0, F.col("k")).otherwise(F.col("hi"))
+            s = s.withColumns({"lo": lo, "hi": hi, "next": F.col("k") - F.col("f") / F.col("slope")})
+            inside = (F.col("next") >= F.col("lo")) & (F.col("next") <= F.col("hi"))
+            s = s.withColumn("next", F.when(inside, F.col("next")).otherwise((F.col("lo") + F.col("hi")) / 2))
+            state = s.select(*keys, "top", F.col("next").alias("k"), "lo", "hi", (F.abs(F.col("next") - F.col("k")) <= 1e-10 * F.col("k")).alias("settled"))
+        state = scratch.put(state, f"state{n}")
+        done.append(state.where("settled"))
+        state = state.where("not settled")
+        if state.isEmpty():
+            break
+    else:
+        done.append(state)  # halved 64 times: as near as doubles are
+    found = reduce(DataFrame.unionAll, done)
+    xk = F.pow(F.col("v") / F.col("top"), F.col("k")) * F.col("w")
+    last = counted.join(found, keys).groupBy(*keys, "top", "k").agg((F.sum(xk) / F.sum("w")).alias("mk"))
+    fit = last.select(*keys, F.col("k").alias("k1"), (F.col("top") * F.pow("mk", 1 / F.col("k"))).alias("c1"))
+    return moments.join(fit, keys, "left").select(*keys, F.coalesce("k1", "k_mom").alias("k_mle"), F.coalesce("c1", "c_mom").alias("c_mle"), "k_mom", "c_mom")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from windlake.functions import physics as P
 from windlake.operators import curves, features, independence, metrics, models, quality, resource, validation, weibull
 from windlake.operators.components import connected_components
+from windlake.operators.trees import LEAKAGE, TreeSettings, fit_trees
 from windlake.sources.scratch import Scratch
 from windlake.sources.stations import MEASURES, WIND_CTES, parse_irregular_timestamp, read_stations, union_stations, wind_view, write_report
 
@@ -484,7 +486,7 @@ PRED = (
 
 def baseline_predictions(spark, d, wanted=("power curve", "linear", "cubic")):
     train, test, _ = split(spark, d)
-    return models.predictions(spark, train, test, list(wanted), ["shear"])
+    return models.run_experiment(spark, train, test, list(wanted), ["shear"]).predictions
 
 
 @query("M2_power_curve_prediction", PRED + " select zone, ts, round(case when ws100 >= 12 then 0 else pred end, 6) as pred from pr where model = 'power curve'")
@@ -533,38 +535,90 @@ def m5(spark, d):
     return models.ridge_predict(features.drop_missing(test, [*features.FEATURES, "power"]), models.ridge_fit(train)).select("zone", "ts", "power", "pred")
 
 
-@query("M6_M7_gbt_importance")
-def m6(spark, d):
-    train, _, _ = split(spark, d, lambda s, x: features.build_features(wind_view(s, x), add_lag=False))
-    return models.feature_importance(spark, models.gbt_fit(train, max_iter=3, max_depth=4, partitions=4))
+#: Trees of the registered experiments: fewer and smaller than the reference size, which is TreeSettings' and the jobs' default.
+QUERY_TREES = TreeSettings(trees=200, leaves=31)
 
 
 def full_split(spark, d):
-    return split(spark, d, lambda s, x: features.build_features(wind_view(s, x)))
+    return split(spark, d, lambda s, x: Scratch(s, "features").put(features.build_features(wind_view(s, x)), "features"))
+
+
+_EXPERIMENTS: dict = {}
+
+
+def experiment(spark: SparkSession, d: str, which: str) -> models.Experiment:
+    """An experiment over the tables of d, fitted once in a session: its queries read different parts of what it wrote."""
+    key = (spark.sparkContext.applicationId, d, which)
+    if key not in _EXPERIMENTS:
+        train, test, _ = full_split(spark, d)
+        run = models.experiment_a if which == "a" else models.experiment_b
+        _EXPERIMENTS[key] = run(spark, train, test, settings=QUERY_TREES)
+    return _EXPERIMENTS[key]
+
+
+@query("M6_tree_nodes")
+def m6(spark, d):
+    return experiment(spark, d, "a").nodes
+
+
+@query("M7_importance_a")
+def m7a(spark, d):
+    return experiment(spark, d, "a").importance
+
+
+@query("M7_importance_b")
+def m7b(spark, d):
+    return experiment(spark, d, "b").importance
 
 
 @query("M8_M9_experiment_a")
 def m9a(spark, d):
-    train, test, _ = full_split(spark, d)
-    return models.experiment_a(spark, train, test)[0]
+    return experiment(spark, d, "a").table
 
 
 @query("M8_M9_experiment_b")
 def m9b(spark, d):
-    train, test, _ = full_split(spark, d)
-    return models.experiment_b(spark, train, test)[0]
+    return experiment(spark, d, "b").table
 
 
 @query("M8_best_model_errors_a")
 def m8a(spark, d):
-    train, test, _ = full_split(spark, d)
-    return models.experiment_a(spark, train, test)[1]
+    return experiment(spark, d, "a").errors
 
 
 @query("M8_best_model_errors_b")
 def m8b(spark, d):
-    train, test, _ = full_split(spark, d)
-    return models.experiment_b(spark, train, test)[1]
+    return experiment(spark, d, "b").errors
+
+
+@query("M10_delta_trees")
+def m10_trees(spark, d):
+    a, b = (experiment(spark, d, x).table for x in "ab")
+    return models.experiment_delta(a, "gbt", "power curve").unionAll(models.experiment_delta(b, "gbt", "persistence"))
+
+
+RAW = ["u10", "u100", "v100"]  # v10 splits rows as v100 does
+#: Brute force over all thresholds of all features for rows of nodes: {n} is the step's number.
+BEST = """, ag{n} as (select node, f, x, sum(g) as sg, count(*) as c from rw{n}, (values (0), (1), (2)) k(f), lateral (select [u10, u100, v100][f + 1] as x) group by all),
+    cu{n} as (select node, f, x, sum(sg) over w as gl, sum(c) over w as nl, sum(sg) over (partition by node, f) as ga, sum(c) over (partition by node, f) as na from ag{n} window w as (partition by node, f order by x)),
+    be{n} as (select *, gl * gl / (nl + 1) + (ga - gl) * (ga - gl) / (na - nl + 1) - ga * ga / (na + 1) as gain from cu{n} where nl >= 20 and na - nl >= 20 order by gain desc, node, f, x limit 1)"""
+GOES = "(case be{n}.f when 0 then u10 when 1 then u100 else v100 end <= be{n}.x)"
+
+
+@query(
+    "M6_first_tree",
+    ", ok as (select u10, u100, v100, power from wind where u10 + u100 + v100 + power is not null), rw1 as (select *, 0 as node, (select avg(power) from ok) - power as g from ok)"
+    + BEST.format(n=1) + f", rw2 as (select rw1.* replace (case when {GOES.format(n=1)} then 1 else 2 end as node) from rw1, be1)" + BEST.format(n=2)
+    + f""", rw3 as (select rw2.* replace (case when rw2.node <> be2.node then rw2.node when {GOES.format(n=2)} then 3 else 4 end as node) from rw2, be2),
+    sp as (select f, x, gain, na from be1 union all select f, x, gain, na from be2)
+    select ['u10', 'u100', 'v100'][f + 1] as feature, round(x, 6) as threshold, round(gain, 6) as gain, na as n_rows, null::double as value from sp
+    union all select null, null, 0, count(*), round(-sum(g) / (count(*) + 1), 9) from rw3 group by node""",
+)
+def m6_first(spark, d):
+    """A tree of two splits: feature, threshold and gain as a search of all thresholds finds them."""
+    model = fit_trees(spark, wind_view(spark, d), RAW, settings=TreeSettings(trees=1, rate=1.0, leaves=3, feature_share=1.0))
+    nodes = model.nodes(spark).where("tree = 0")
+    return nodes.select("feature", F.round("threshold", 6).alias("threshold"), F.round("gain", 6).alias("gain"), "n_rows", F.round("value", 9).alias("value"))
 
 
 TWO = ["ws100", "shear"]
@@ -581,6 +635,35 @@ def m5_two(spark, d):
     return rounded(models.ridge_predict(features.drop_missing(test, [*TWO, "power"]), models.ridge_fit(train, TWO)).select("zone", "ts", "pred"))
 
 
+WITH_RIDGE = PRED.replace(",\n    pr as (", ", tr2 as (select * from tr where power is not null and shear is not null)" + RIDGE.format(g="", by="") + ", pr as (")[:-1] + f"""
+      union all select 'ridge', zone, ts, ws100, power, {GUESS} from ok, w2)"""
+
+
+def two_feature_experiment(spark, d):
+    train, test, _ = split(spark, d)
+    return models.run_experiment(spark, train, test, ["power curve", "cubic", "linear", "ridge"], TWO)
+
+
+@query("M8_experiment_two_features", WITH_RIDGE + f", mt as ({METRICS}) select * from mt")
+def m8_two(spark, d):
+    return two_feature_experiment(spark, d).table
+
+
+@query(
+    "M8_best_errors_two_features",
+    WITH_RIDGE + f", mt as ({METRICS}), " + """wb as (select *, case when ws100 > 0 and ws100 <= 3 then '(0, 3]' when ws100 > 3 and ws100 <= 6 then '(3, 6]' when ws100 > 6 and ws100 <= 9 then '(6, 9]' when ws100 > 9 and ws100 <= 12 then '(9, 12]'
+    when ws100 > 12 and ws100 <= 25 then '(12, 25]' end as wind_bin from pr where model = (select model from mt order by accuracy_pct desc, model limit 1))
+    select wind_bin, count(*) as n, round(sqrt(avg((power - pred) * (power - pred))), 4) as rmse, round(avg(power), 4) as mean_power from wb where wind_bin is not null group by wind_bin having count(*) >= 10""",
+)
+def m8_two_errors(spark, d):
+    return two_feature_experiment(spark, d).errors
+
+
+@query("M10_delta_ridge", WITH_RIDGE + f", mt as ({METRICS}) select 'ridge' as learner, 'power curve' as baseline, round((select accuracy_pct from mt where model = 'ridge') - (select accuracy_pct from mt where model = 'power curve'), 2) as delta_points")
+def m10_ridge(spark, d):
+    return models.experiment_delta(two_feature_experiment(spark, d).table, "ridge")
+
+
 @query("M10_experiment_delta", PRED + f", mt as ({METRICS}) select 'linear' as learner, 'power curve' as baseline, round((select accuracy_pct from mt where model = 'linear') - (select accuracy_pct from mt where model = 'power curve'), 2) as delta_points")
 def m10(spark, d):
     return models.experiment_delta(metrics.regression_metrics(baseline_predictions(spark, d)), "linear")
@@ -636,7 +719,7 @@ def q5m(spark, d):
 
 @query("Q5_gram_correlation", CORR + " select station_a, station_b, round(corr, 6) as corr, n from pc")
 def q5g(spark, d):
-    return rounded(independence.gram_correlation(wind_view(spark, d), list(range(1, 11))))
+    return rounded(independence.gram_correlation(wind_view(spark, d), tile=4))
 
 
 CUT = ", hi as (select * from pc where corr >= 0.02)"
@@ -667,6 +750,20 @@ def q9(spark, d):
     return union_stations(rows)
 
 
+def q9_part(name: str, sql: str, pick) -> None:
+    """A table of the independence report, held against the SQL of the operator that it comes from."""
+
+    @query(f"Q9_{name}", sql)
+    def part(spark, d):
+        return pick(independence.independence_report(spark, wind_view(spark, d))[name])
+
+
+q9_part("groups", SAME + " select group_id, list_sort(list(station)) as members from gr group by group_id", lambda t: t)
+q9_part("correlation", CORR + " select station_a, station_b, round(corr, 6) as corr, n from pc", rounded)
+q9_part("clusters", CORR + ", hi as (select * from pc where corr >= 0.9)" + REACH.format(t="hi") + " select zone as station, coalesce(group_id, zone) as group_id from (select distinct zone from wind) left join cc on cc.station = zone", lambda t: t)
+q9_part("within_groups", ORACLE_SQL["Q8_within_group_correlation"].removeprefix(BASE), lambda t: t)
+
+
 SIZE = ", sz as (select count(distinct zone) as n, count(distinct ts) as t from wind), du as (select count(distinct group_id) as g, count(*) as m from gr)"
 
 
@@ -686,6 +783,10 @@ def a21(spark, d):
     return independence.cv_impact(independence.exact_duplicate_groups(w), w).drop("advice")
 
 
+q9_part("sample_size", ORACLE_SQL["A20_sample_size"].removeprefix(BASE), lambda t: t)
+q9_part("cv", ORACLE_SQL["A21_cv_impact"].removeprefix(BASE), lambda t: t.drop("advice"))
+
+
 # ---- validation
 
 @query("C1_exclude_stations", "select zone, ts, power from wind where zone not in (4, 5)")
@@ -757,6 +858,26 @@ def c4(spark, d):
     return validation.relative_overestimate(validation.leakage_verdict(table))
 
 
+QUERY_LEAKAGE = replace(LEAKAGE, trees=50)  # the jobs' default is 200
+
+
+@query("C2_C3_fold_rmse_trees")
+def c23_trees(spark, d):
+    """All folds' trees grow together."""
+    w = wind_view(spark, d)
+    f = Scratch(spark, "features").put(features.build_features(w, add_lag=False), "features")
+    groups = Scratch(spark, "features").put(independence.exact_duplicate_groups(w), "groups")
+    by = lambda t, n: validation.fold_rmse(spark, f, t, learner="gbt", settings=QUERY_LEAKAGE).withColumn("by", F.lit(n))
+    return by(validation.station_folds(w, groups), "station").unionAll(by(validation.group_folds(w, groups), "group"))
+
+
+@query("C4_C7_leakage_test_trees")
+def c4_trees(spark, d):
+    w = wind_view(spark, d)
+    table = validation.controlled_leakage_test(spark, features.build_features(w, add_lag=False), independence.exact_duplicate_groups(w), learner="gbt", settings=QUERY_LEAKAGE)
+    return validation.relative_overestimate(validation.leakage_verdict(table))
+
+
 SCORES = ", sc as (select zone as test_station, avg(ws10) as a_rmse, avg(ws100) as b_rmse, avg(ws100) - 0.2 + zone * 0.03 as c_mean, 0.02 * zone as c_sd from f group by zone)"
 
 
@@ -774,9 +895,12 @@ def c5(spark, d):
 
 @query("T3_union", "select zone, ts, power from wind")
 def t3(spark, d):
-    w = wind_view(spark, d).select("zone", "ts", "power")
-    zones = sorted(r["zone"] for r in w.select("zone").distinct().collect())
-    return union_stations([w.where(F.col("zone") == z) for z in zones])
+    """Stations written one by one are read back and put together."""
+    scratch = Scratch(spark, "union")
+    wind_view(spark, d).select("ts", "power", "zone").write.partitionBy("zone").parquet(scratch.path)
+    kinds = "ts timestamp_ntz, power double"
+    parts = [spark.read.schema(kinds).parquet(f"{scratch.path}/zone={z}").withColumn("zone", F.lit(z)) for z in range(1, 11)]
+    return union_stations(parts).select("zone", "ts", "power")
 
 
 # ---- the same with a station for each supplier, so that stations grow with the tables
@@ -796,15 +920,35 @@ QC_SQL = ORACLE_SQL["A5_station_qc"].removeprefix(BASE)
 
 @by_supplier("A5_station_qc_suppliers", QC_SQL)
 def a5_wide(spark, d):
-    return quality.station_qc_table(features.with_speeds(wind_view(spark, d, by_supplier=True)))
+    return quality.station_qc_table(features.with_speeds(wind_view(spark, d, by_supplier=True)), chunk_hours=8784)
 
 
 @by_supplier("W1_W2_history_suppliers", ORACLE_SQL["W1_W2_history"].removeprefix(BASE))
 def w1_wide(spark, d):
-    out = features.lag_features(wind_view(spark, d, by_supplier=True)).select("zone", "ts", *features.LAG_FEATURES)
+    out = features.lag_features(wind_view(spark, d, by_supplier=True), chunk_hours=8784).select("zone", "ts", *features.LAG_FEATURES)
     return rounded(out, 9, ("power_lag1", "power_lag2", "power_lag24"))
 
 
+@query("W3_frozen_runs_chunks", ORACLE_SQL["W3_frozen_runs"].removeprefix(BASE))
+def w3_chunks(spark, d):
+    return rounded(quality.frozen_runs(speeds(spark, d), "ws100", 3, chunk_hours=720), 9)
+
+
+@query("W4_jumps_chunks", ORACLE_SQL["W4_jumps"].removeprefix(BASE))
+def w4_chunks(spark, d):
+    return rounded(quality.jump_points(speeds(spark, d), "ws100", chunk_hours=720).select("zone", "ts", "jump"), 9)
+
+
+@by_supplier("Q3_near_pairs_suppliers", ORACLE_SQL["Q3_near_duplicate_pairs"].removeprefix(BASE))
+def q3_wide(spark, d):
+    return independence.near_duplicate_pairs(wind_view(spark, d, by_supplier=True), 16.0)
+
+
+@by_supplier("Q5_gram_suppliers", ORACLE_SQL["Q5_gram_correlation"].removeprefix(BASE))
+def q5_wide(spark, d):
+    return rounded(independence.gram_correlation(wind_view(spark, d, by_supplier=True), tile=256))
+
+
 @query("T4_control_stations", SAME + " select distinct zone as station from wind where zone not in (select station from gr)")
 def t4(spark, d):
     w = wind_view(spark, d)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,33 +16,83 @@ MEASURES = {"power": "TARGETVAR", "u10": "U10", "v10": "V10", "u100": "U100", "v
 def parse_irregular_timestamp(text: Column | str) -> Column:
     """'20120101 1:00' to a timestamp: the date, plus the hour before the colon (24 is the next day's 0); minutes don't count."""
     s = F.trim(F.col(text) if isinstance(text, str) else text)
-    hour = F.split(F.substring(s, 10, 100), ":")[0].cast("int")
-    return F.timestamp_add("HOUR", hour, F.to_timestamp(F.substring(s, 1, 8), "yyyyMMdd")).cast("timestamp_ntz")
+    hour = F.split(F.substring(s, 10, 100), ":")[0].try_cast("int")
+    return F.timestamp_add("HOUR", hour, F.try_to_timestamp(F.substring(s, 1, 8), F.lit("yyyyMMdd"))).cast("timestamp_ntz")
+
+
+def _headers(spark: SparkSession, paths: str | Sequence[str]) -> dict[str, str]:
+    """The first line of each file, read through Spark's own file systems: of each file only its beginning."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+
+    def first_line(file: str) -> tuple[str, str]:
+        path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(file))
+        stream = path.getFileSystem(conf).open(path)
+        try:
+            return path.toString(), jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8")).readLine() or ""
+        finally:
+            stream.close()
+
+    with ThreadPoolExecutor(16) as pool:
+        return dict(pool.map(first_line, spark.read.text(paths).inputFiles()))
+
+
+NEEDED = ["ZONEID", "TIMESTAMP", *MEASURES.values()]
 
 
 def read_stations(spark: SparkSession, paths: str | Sequence[str], zones: Sequence[int] | None = None, task: int | None = None) -> DataFrame:
     """CSV files of stations as one long table: timestamp, zone, power, u10, v10, u100, v100 (and task, if given).
 
     Header names are trimmed and upper-cased, and files are read by name: each may spell and order its columns its own way.
-    A path pattern reads whatever files there are; without any, Spark raises. Missing values are NULL.
+    A path pattern reads whatever files there are; without any, Spark raises. A file that lacks a needed column raises, and
+    names it. Missing values are NULL. Rows without a readable zone or timestamp are not in the table, but in
+    ``read_stations_checked``'s second one.
+    """
+    good, _, bad_files = read_stations_checked(spark, paths, zones, task)
+    if bad_files:
+        raise ValueError("these files lack columns: " + "; ".join(f"{f} ({', '.join(lacks)})" for f, lacks in sorted(bad_files.items())))
+    return good
+
+
+def read_stations_checked(spark: SparkSession, paths: str | Sequence[str], zones: Sequence[int] | None = None, task: int | None = None) -> tuple[DataFrame, DataFrame, dict[str, list[str]]]:
+    """The table of read_stations; a table of rejected rows (file, line, reason); and the rejected files with the columns that each
+    lacks. Every line of every file but its header is in one of them. Each file is scanned once, its header apart.
+
+    Rejected: ``columns`` (more or fewer cells than the header has), ``zone`` and ``timestamp`` (not readable). A measure that is
+    no number is NULL. Empty lines are no rows.
     """
-    lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("file"))
-    headers = lines.where(F.upper("value").contains("ZONEID")).groupBy("value").agg(F.collect_set("file").alias("files")).collect()
-    parts = []
-    for header in headers:  # as many as there are orders and spellings of columns
-        raw = spark.read.csv(header["files"], header=True, inferSchema=False, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
-        raw = raw.toDF(*(c.strip().upper() for c in raw.columns))
+    by_header: dict[str, list[str]] = {}
+    for file, header in _headers(spark, paths).items():
+        by_header.setdefault(header.lstrip("\ufeff"), []).append(file)
+    bad_files, parts = {}, []
+    for header, files in by_header.items():  # as many as there are orders and spellings of columns
+        names = [c.strip().strip('"').strip().upper() for c in header.split(",")]
+        lacks = [c for c in NEEDED if c not in names]
+        if lacks:
+            bad_files |= dict.fromkeys(files, lacks)
+            continue
+        cells = [f"c{i}" for i in range(len(names))]
+        schema = ", ".join(f"{c} string" for c in [*cells, "_line"])
+        raw = spark.read.csv(files, schema=schema, header=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_line", ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
+        cell = {n: F.col(c) for n, c in zip(reversed(names), reversed(cells))}
         parts.append(
             raw.select(
-                parse_irregular_timestamp("TIMESTAMP").alias("timestamp"),
-                F.col("ZONEID").cast("int").alias("zone"),
-                *(clean(F.expr(f"try_cast({c} as double)")).alias(n) for n, c in MEASURES.items()),
+                parse_irregular_timestamp(cell["TIMESTAMP"]).alias("timestamp"),
+                F.expr(f"try_cast({cells[names.index('ZONEID')]} as int)").alias("zone"),
+                *(clean(F.expr(f"try_cast({cells[names.index(c)]} as double)")).alias(n) for n, c in MEASURES.items()),
+                F.concat_ws(",", *(F.coalesce(c, F.lit("")) for c in cells)).alias("line"),
+                F.col("_line").alias("corrupt"),
+                F.col("_metadata.file_path").alias("file"),
             )
         )
-    out = union_stations(parts)
+    empty = "timestamp timestamp_ntz, zone int, power double, u10 double, v10 double, u100 double, v100 double, line string, corrupt string, file string"
+    rows = union_stations(parts) if parts else spark.createDataFrame([], empty)
+    reason = F.when(F.col("corrupt").isNotNull(), "columns").when(F.col("zone").isNull(), "zone").when(F.col("timestamp").isNull(), "timestamp")
+    rows = rows.withColumn("reason", reason)
+    good = rows.where("reason is null").drop("line", "corrupt", "file", "reason")
+    bad = rows.where("reason is not null").select("file", F.coalesce("corrupt", "line").alias("line"), "reason")
     if zones is not None:
-        out = out.where(F.col("zone").isin(list(zones)))
-    return out if task is None else out.withColumn("task", F.lit(task))
+        good = good.where(F.col("zone").isin(list(zones)))
+    return (good if task is None else good.withColumn("task", F.lit(task))), bad, bad_files
 
 
 def union_stations(parts: Sequence[DataFrame]) -> DataFrame:
