@@ -60,7 +60,8 @@ def grown_one_by_one(x, y, s):
 
 @pytest.mark.parametrize("settings", [TreeSettings(trees=4, rate=0.3, leaves=12, least_rows=10, feature_share=1.0), TreeSettings(trees=3, rate=0.5, leaves=40, least_rows=3, penalty=0.0, feature_share=1.0)])
 def test_splits_are_those_of_a_plain_search(spark, settings, monkeypatch):
-    monkeypatch.setattr(trees, "SUM_AT_DRIVER", 1)  # partitions are added up in a tree
+    monkeypatch.setattr(trees, "ROWS_A_PART", 150)  # several partitions
+    monkeypatch.setattr(trees, "SUM_AT_DRIVER", 1)  # that are added up in a tree
     monkeypatch.setattr(trees, "CHECKPOINT_EVERY", 2)
     df, x, y = table(spark)
     model = trees.fit_trees(spark, df, NAMES, settings=settings)
@@ -74,6 +75,7 @@ def test_splits_are_those_of_a_plain_search(spark, settings, monkeypatch):
 
 def test_runs_grown_together_are_separate_fits(spark, monkeypatch):
     monkeypatch.setattr(trees, "RUNS_AT_ONCE", 3)
+    monkeypatch.setattr(trees, "ROWS_A_PART", 700)
     df, _, _ = table(spark, 900)
     s = TreeSettings(trees=6, rate=0.2, leaves=9, least_rows=10, feature_share=0.7)
     plan = [("one", [1], [1]), ("two", [2], [2, 3]), ("both", [3, 4], [3, 4]), ("all", [1], []), ("nothing left", [1], [1, 2, 3, 4])]

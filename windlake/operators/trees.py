@@ -27,6 +27,7 @@ from windlake.sources.scratch import Scratch, shared_dir
 
 CHECKPOINT_EVERY = 20
 RUNS_AT_ONCE = 24  # runs that share their passes; each keeps a prediction for each row
+ROWS_A_PART = 10_000  # rows times runs that a partition has at least, as a pass over fewer costs more to start than to do
 SUM_AT_DRIVER = 64  # partitions whose histograms the driver adds up itself; more are added up in a tree
 
 
@@ -115,8 +116,9 @@ def _leaf(codes: np.ndarray, feature: np.ndarray, cut: np.ndarray, left: np.ndar
 def bin_edges(df: DataFrame, features: Sequence[str], bins: int) -> list[np.ndarray]:
     """The upper edges of each feature's bins: its own values while there are at most ``bins``, else quantiles. One scan makes the
     quantile sketches; a second counts the values of features with few, which are few rows once combined."""
-    shares = [i / bins for i in range(1, bins)]
-    one = df.agg(*(F.percentile_approx(c, shares, 20 * bins).alias(f"q{i}") for i, c in enumerate(features)), *(F.approx_count_distinct(c, 0.01).alias(f"d{i}") for i, c in enumerate(features))).first()
+    shares = ", ".join(f"{i / bins!r}D" for i in range(1, bins))
+    quantiles = [f"percentile_approx(`{c}`, array({shares}), {8 * bins}) as q{i}" for i, c in enumerate(features)]  # as text: it has some thousand numbers
+    one = df.selectExpr(*quantiles, *(f"approx_count_distinct(`{c}`, 0.01) as d{i}" for i, c in enumerate(features))).first()
     few = [i for i in range(len(features)) if one[f"d{i}"] <= 1.1 * bins]
     values: dict[int, list[float]] = {i: [] for i in few}
     if few:
@@ -279,8 +281,10 @@ def _boost(spark: SparkSession, blocks: DataFrame, edges: list[np.ndarray], runs
             inside = np.stack([~np.isin(s, out) for out in runs])
             yield _State(np.frombuffer(x, np.uint8).reshape(-1, width), np.frombuffer(y, float), s, inside, np.zeros(inside.shape))
 
-    loaded = blocks.rdd.mapPartitions(load)
-    state = loaded.persist(StorageLevel.MEMORY_AND_DISK)
+    rows_in = blocks.agg(F.sum(F.length("y") / 8)).first()[0] or 0
+    parts = max(1, -(-int(rows_in) * len(runs) // ROWS_A_PART))
+    rows = blocks.rdd
+    state = (rows.coalesce(parts) if rows.getNumPartitions() > parts else rows).mapPartitions(load).persist(StorageLevel.MEMORY_AND_DISK)
 
     def first(parts):
         yield sum((np.stack([p.inside @ p.y, p.inside.sum(axis=1)]) for p in parts), np.zeros((2, len(runs))))

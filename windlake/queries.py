@@ -536,7 +536,7 @@ def m5(spark, d):
 
 
 #: Trees of the registered experiments: fewer and smaller than the reference size, which is TreeSettings' and the jobs' default.
-QUERY_TREES = TreeSettings(trees=200, leaves=31)
+QUERY_TREES = TreeSettings(trees=100, leaves=31)
 
 
 def full_split(spark, d):
@@ -858,7 +858,7 @@ def c4(spark, d):
     return validation.relative_overestimate(validation.leakage_verdict(table))
 
 
-QUERY_LEAKAGE = replace(LEAKAGE, trees=50)  # the jobs' default is 200
+QUERY_LEAKAGE = replace(LEAKAGE, trees=30)  # the jobs' default is 200
 
 
 @query("C2_C3_fold_rmse_trees")
