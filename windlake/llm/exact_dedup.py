@@ -39,15 +39,20 @@ def digest_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 class _Runs:
-    """Runs as one bucketed table in the shared folder: a folder for each run, a file for each bucket."""
+    """Runs as one bucketed table in the shared folder: a folder for each run, a file for each bucket. One level is kept at a time;
+    the last one's table stays, as the result reads it."""
 
     def __init__(self, spark: SparkSession, scratch: Scratch, buckets: int):
-        self.spark, self.scratch, self.buckets = spark, scratch, buckets
+        self.spark, self.scratch, self.buckets, self.name = spark, scratch, buckets, ""
 
     def write(self, rows: DataFrame, level: int) -> DataFrame:
         name = f"runs_{level}_{uuid.uuid4().hex}"
         writer = rows.write.partitionBy("run").bucketBy(self.buckets, "key").sortBy("key")
         writer.option("path", f"{self.scratch.path}/{name}").format("parquet").saveAsTable(name)
+        if self.name:  # the level before, which has been read for the last time
+            self.spark.sql(f"drop table {self.name}")
+            self.scratch.drop(self.name)
+        self.name = name
         return self.spark.table(name)
 
 
