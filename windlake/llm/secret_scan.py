@@ -224,14 +224,15 @@ class Detector:
             total[pair[0]] += k
         self.plain = {pair: math.log((k + 0.5) / (total[pair[0]] + 1)) for pair, k in pairs.items()}
         self.unseen = {c: math.log(0.5 / (n + 1)) for c, n in total.items()}
-        self._known: dict[str, float] = {}
+        self.__setstate__(self.__getstate__())
 
     def __getstate__(self):
         return self.formats, self.plain, self.unseen
 
     def __setstate__(self, state):
         self.formats, self.plain, self.unseen = state
-        self._known = {}
+        self._prefixes = tuple({p for _, p, _ in self.formats if p})
+        self._known: dict[str, bool] = {}
 
     def plain_likelihood(self, s: str) -> float:
         """Of a string as a plain word, for each symbol, the end included. A number is one that plain text has too."""
@@ -249,8 +250,9 @@ class Detector:
 
     def fits(self, s: str) -> bool:
         """Whether a candidate's gain reaches MARGIN; strings of equal symbols and prefix share an answer."""
-        prefix = max((p for _, p, _ in self.formats if s.startswith(p)), key=len, default="")
-        key = prefix + s[len(prefix) :].translate(ASCII_SYMBOLS)
+        key = s.translate(ASCII_SYMBOLS)
+        if s.startswith(self._prefixes):
+            key = max((p for p in self._prefixes if s.startswith(p)), key=len) + " " + key
         if len(key) > 64:
             return self.gain(s) >= MARGIN
         found = self._known.get(key)
