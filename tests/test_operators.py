@@ -350,3 +350,9 @@ def test_chunks_of_time_are_whole_stations(spark, hours):
         assert whole == chunks and len(whole) > 3
     assert quality.station_qc_table(df.limit(0), "v", chunk_hours=hours).count() == 0
     assert features.lag_features(df, "v", chunk_hours=hours).columns == features.lag_features(df, "v").columns
+
+
+def test_errors_of_zero_have_no_shares(spark):
+    t = spark.createDataFrame([(1, 0.0, 0.0, 0.0, 0.0), (2, 0.1, 0.2, 0.1, 0.0)], "zone int, a_rmse double, b_rmse double, c_mean double, c_sd double").withColumn("leak", F.col("b_rmse") - F.col("c_mean"))
+    got = validation.relative_overestimate(validation.leakage_verdict(t)).orderBy("zone").collect()
+    assert [(r.verdict, r.overestimate_pct, r.over_c_pct, r.over_a_pct) for r in got] == [("none", None, None, None), ("leak", 50.0, 100.0, 50.0)]

@@ -135,6 +135,8 @@ def leakage_verdict(table: DataFrame) -> DataFrame:
 
 
 def relative_overestimate(table: DataFrame) -> DataFrame:
-    """By how many per cent a fold with the twin in training looks too good: (B - C) / B, with (B - C) / C and (B - A) / B."""
+    """By how many per cent a fold with the twin in training looks too good: (B - C) / B, with (B - C) / C and (B - A) / B. A share of
+    an error of 0 (power that doesn't vary is predicted exactly) is NULL."""
     a, b, c = (F.col(x) for x in ("a_rmse", "b_rmse", "c_mean"))
-    return table.withColumns({"overestimate_pct": (b - c) / b * 100, "over_c_pct": (b - c) / c * 100, "over_a_pct": (b - a) / b * 100})
+    share = lambda x, whole: F.try_divide(x, whole) * 100
+    return table.withColumns({"overestimate_pct": share(b - c, b), "over_c_pct": share(b - c, c), "over_a_pct": share(b - a, b)})
