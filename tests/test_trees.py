@@ -145,3 +145,9 @@ def test_quantile_bins_are_even(spark):
     assert len(edges[0]) == 49 and list(edges[1]) == [0.0, 1.0]
     share = np.bincount(np.searchsorted(edges[0], v, "left")) / len(v)
     assert share.max() < 0.025 and share.min() > 0.015
+
+
+def test_leaves_are_split_without_gain_if_asked(spark):
+    df = spark.createDataFrame([(float(i % 10), 1.0) for i in range(200)], "a double, power double")
+    rows = lambda over: trees.fit_trees(spark, df, ["a"], settings=TreeSettings(trees=1, leaves=3, feature_share=1.0, over_gain=over)).nodes(spark).where("tree = 0 and feature is not null").count()
+    assert rows(1e-12) == 0 and rows(-float("inf")) == 2

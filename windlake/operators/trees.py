@@ -43,6 +43,7 @@ class TreeSettings:
     feature_share: float = 0.8
     bins: int = 255
     seed: int = 42
+    over_gain: float = 1e-12  # a split gains more than this; with minus infinity, a leaf of enough rows is split whatever it gains
 
 
 #: Of the controlled leakage test and the folds.
@@ -184,7 +185,7 @@ class _Growing:
         for k, i in enumerate(nodes):
             b = int(best[k])
             f = int(np.searchsorted(self.offsets, b, "right") - 1)
-            if gain[k, b] > 1e-12:
+            if gain[k, b] > self.s.over_gain:
                 self.gain[i], self.split[i] = float(gain[k, b]), (f, b - int(self.offsets[f]), float(g[k, b]), int(round(n[k, b])))
 
     def best_first(self) -> tuple[list[int], list[int]]:
