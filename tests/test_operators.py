@@ -377,3 +377,16 @@ def test_a_fit_without_rows_predicts_nothing_but_counts(spark):
     assert (m.rmse, m.r2, m.accuracy_pct) == (1.0, None, 0.0)
     one = df.withColumn("ws100", F.lit(4.0))
     assert curves.predict_linear(one, curves.fit_linear(one)).select("pred").distinct().collect() == [(0.0,)]
+
+
+def test_values_that_do_not_vary_are_told_in_parts(spark, tmp_path):
+    """A mean of 98 ones, added up from parts, misses 1 by its last digit."""
+    rows = [(z, at(i), 1.0) for z in (1, 2) for i in range(784)]
+    for n in range(8):
+        part = [r for r in rows if at(98 * n) <= r[1] < at(98 * n + 98)]
+        spark.createDataFrame(part, "zone int, ts timestamp_ntz, power double").coalesce(1).write.mode("append").parquet(str(tmp_path / "p"))
+    df = spark.read.parquet(str(tmp_path / "p"))
+    assert [r["corr"] for r in independence.correlation_pairs(df).collect()] == [None]
+    m = metrics.regression_metrics(df.withColumns({"model": F.lit("x"), "pred": F.lit(0.5)})).first()
+    assert m.r2 is None and m.rmse == 0.5
+    assert weibull.fit_moments(df, "power").where("k is not null").count() == 0

@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 
 def regression_metrics(df: DataFrame, y: str = "power", pred: str = "pred", by: Sequence[str] = ("model",), capacity: float = 1.0, tol: float = 0.25) -> DataFrame:
-    """rmse, mae, r2 (NULL if the truth is constant), accuracy_pct, qualified_pct over rows that have both values."""
+    """rmse, mae, r2 (NULL if the truth is constant, judged by its ends: a variance added up from parts may miss 0), accuracy_pct, qualified_pct over rows that have both values."""
     e = F.col(y) - F.col(pred)
     d = df.where(F.col(y).isNotNull() & F.col(pred).isNotNull())
     m = d.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(e * e).alias("sse"), F.avg(F.abs(e)).alias("mae"), (F.var_pop(y) * F.count(F.lit(1))).alias("sst"), F.avg((F.abs(e) <= tol * capacity).cast("double")).alias("ok")
+        F.count(F.lit(1)).alias("n"), F.sum(e * e).alias("sse"), F.avg(F.abs(e)).alias("mae"), F.when(F.max(y) > F.min(y), F.var_pop(y) * F.count(F.lit(1))).alias("sst"), F.avg((F.abs(e) <= tol * capacity).cast("double")).alias("ok")
     )
     rmse = F.sqrt(F.col("sse") / F.col("n"))
     return m.select(
