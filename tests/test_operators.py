@@ -390,3 +390,25 @@ def test_values_that_do_not_vary_are_told_in_parts(spark, tmp_path):
     m = metrics.regression_metrics(df.withColumns({"model": F.lit("x"), "pred": F.lit(0.5)})).first()
     assert m.r2 is None and m.rmse == 0.5
     assert weibull.fit_moments(df, "power").where("k is not null").count() == 0
+
+
+@pytest.mark.parametrize("tile,times", [(3, 7), (None, 4096)])
+def test_near_pairs_by_tiles_are_the_joins(spark, tile, times):
+    rng = np.random.default_rng(8)
+    rows = [(z, at(t), None if rng.random() < 0.2 else float(rng.random() + z % 3), None if rng.random() < 0.5 else 1.0) for z in range(1, 14) for t in range(30) if rng.random() > 0.3] + [(50, at(999), 1.0, None)]
+    df = spark.createDataFrame(rows, "zone int, ts timestamp_ntz, u100 double, v100 double")
+    got = independence.near_pairs_by_tiles(df, 1.2, tile=tile, times=times).collect()
+    want = independence.near_duplicate_pairs(df, 1.2).collect()
+    assert {(r.station_a, r.station_b): (round(r.m, 4), round(r.s / r.n, 4)) for r in got} == {(r.station_a, r.station_b): (r.max_abs_diff, r.mean_abs_diff) for r in want}
+    assert len(got) == len(want) >= 20
+
+
+def test_near_pairs_of_many_alike_stations_go_by_tiles(spark):
+    df = spark.createDataFrame([(z, at(t), float((z * t) % 5), 1.0) for z in range(200) for t in range(z % 4, 12, 2)], "zone int, ts timestamp_ntz, u100 double, v100 double")
+    assert independence._near_candidates(df, 9.0, ("u100", "v100"), "zone", "ts", 6) is None
+    by = {}
+    for r in df.collect():
+        by.setdefault(r.zone, {})[r.ts] = r.u100
+    want = {(a, b): max(abs(by[a][t] - by[b][t]) for t in by[a].keys() & by[b].keys()) for a in by for b in by if a < b and by[a].keys() & by[b].keys()}
+    got = independence.near_duplicate_pairs(df, 9.0, mean=False)
+    assert got.columns == ["station_a", "station_b", "max_abs_diff"] and {(r[0], r[1]): r[2] for r in got.collect()} == want
