@@ -412,3 +412,13 @@ def test_near_pairs_of_many_alike_stations_go_by_tiles(spark):
     want = {(a, b): max(abs(by[a][t] - by[b][t]) for t in by[a].keys() & by[b].keys()) for a in by for b in by if a < b and by[a].keys() & by[b].keys()}
     got = independence.near_duplicate_pairs(df, 9.0, mean=False)
     assert got.columns == ["station_a", "station_b", "max_abs_diff"] and {(r[0], r[1]): r[2] for r in got.collect()} == want
+
+
+def test_station_checks_in_parts_of_a_number(spark):
+    rng = np.random.default_rng(4)
+    rows = [(z, at(t), float(rng.integers(0, 3))) for z in (1, 2, None) for t in range(400) if rng.random() > 0.1] + [(1, None, 7.0)]
+    df = spark.createDataFrame(rows, "zone int, ts timestamp_ntz, ws100 double")
+    whole = quality.station_qc_table(df)
+    got = quality.station_qc_table(df, chunk_hours=48, parts=23)
+    assert sorted(map(str, got.collect())) == sorted(map(str, whole.collect()))
+    assert features.lag_features(df.withColumnRenamed("ws100", "power"), chunk_hours=48, parts=23).rdd.getNumPartitions() == 23

@@ -28,15 +28,15 @@ def rolling_mean_prior(col: str, n: int, order: Window) -> Column:
     return F.when(F.count(col).over(frame) == n, F.avg(col).over(frame))
 
 
-def lag_features(df: DataFrame, col: str = "power", lags: Sequence[int] = (1, 2, 24), means: Sequence[int] = (3, 24), station: str = "zone", ts: str = "ts", chunk_hours: int | None = None) -> DataFrame:
+def lag_features(df: DataFrame, col: str = "power", lags: Sequence[int] = (1, 2, 24), means: Sequence[int] = (3, 24), station: str = "zone", ts: str = "ts", chunk_hours: int | None = None, parts: int | None = None) -> DataFrame:
     """Row-based history of each station (one shared window, so one sort); with gaps a lag isn't a fixed time.
 
-    With ``chunk_hours`` a task holds a station's chunk of time and the rows before it that the lags need, and the result is
+    With ``chunk_hours`` (and ``parts``, as in with_halo) a task holds a station's chunk of time and the rows before it that the lags need, and the result is
     the same. Of rows that repeat a station and time the order is open; an empty table stays empty; columns named as the
     new ones are replaced.
     """
     if chunk_hours:
-        df, order = with_halo(df, [col], max(*lags, *means), station, ts, chunk_hours), chunk_order(station, ts)
+        df, order = with_halo(df, [col], max(*lags, *means), station, ts, chunk_hours, parts), chunk_order(station, ts)
     else:
         order = Window.partitionBy(station).orderBy(ts)
     new = {f"{col}_lag{n}": F.lag(col, n).over(order) for n in lags}

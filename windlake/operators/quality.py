@@ -41,14 +41,14 @@ def _finite(c: Column) -> Column:
     return F.when((F.abs(c) < float("inf")), c)
 
 
-def _runs(df: DataFrame, col: str, station: str, ts: str, chunk_hours: int | None, aggs: dict[str, tuple[Column, Column]]) -> DataFrame:
+def _runs(df: DataFrame, col: str, station: str, ts: str, chunk_hours: int | None, aggs: dict[str, tuple[Column, Column]], parts: int | None = None) -> DataFrame:
     """station and one row for each maximal run of equal finite values (a missing value is a run of its own): start_ts,
     start_pos (from 0), length (finite values), value, and ``aggs``: how each is counted in a run's rows and how parts add up.
     The rows have _raw, _v and jump. By chunks, a run's parts are put together over the edges."""
     keep = [station, ts, F.col(col).alias("_raw"), _finite(F.col(col)).alias("_v")]
     d = df.select(*keep)
     if chunk_hours:
-        d, order, by = with_halo(d, ["_raw", "_v"], 1, station, ts, chunk_hours), chunk_order(station, ts), [station, "_chunk"]
+        d, order, by = with_halo(d, ["_raw", "_v"], 1, station, ts, chunk_hours, parts), chunk_order(station, ts), [station, "_chunk"]
     else:
         order, by = Window.partitionBy(station).orderBy(ts), [station]
         d = d.withColumn("_halo", F.lit(False))
@@ -62,12 +62,14 @@ def _runs(df: DataFrame, col: str, station: str, ts: str, chunk_hours: int | Non
     chunks = runs.groupBy(station, "_chunk").agg(F.max("_run").alias("last"), F.sum("rows").alias("rows"))
     past = Window.partitionBy(station).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     owner = F.last(F.when(F.col("last") > 0, F.struct(F.col("_chunk").alias("c"), F.col("last").alias("r"))), True).over(past)
-    chunks = chunks.select(F.col(station).alias("_s"), F.col("_chunk").alias("_c"), owner.alias("_owner"), F.coalesce(F.sum("rows").over(past), F.lit(0)).alias("_before"))
-    d = runs.join(chunks, F.col(station).eqNullSafe(F.col("_s")) & F.col("_chunk").eqNullSafe(F.col("_c")))
+    chunks = chunks.select(F.struct(station, "_chunk").alias("_key"), owner.alias("_owner"), F.coalesce(F.sum("rows").over(past), F.lit(0)).alias("_before"))
+    deal = lambda d, *by: d.repartition(parts, *by) if parts else d
+    # a struct is never NULL, and its missing fields are equal
+    d = deal(runs.withColumn("_key", F.struct(station, "_chunk")), "_key").join(deal(chunks, "_key"), "_key")
     goes_on = F.col("_run") == 0
     d = d.withColumns({"_at": F.when(goes_on, F.col("_owner.c")).otherwise(F.col("_chunk")), "_id": F.when(goes_on, F.col("_owner.r")).otherwise(F.col("_run")), "start_pos": F.col("start_pos") + F.col("_before")})
     total = [F.sum("rows").alias("rows"), F.sum("length").alias("length"), F.first("value", True).alias("value")]
-    return d.groupBy(station, "_at", "_id").agg(F.min("start_ts").alias("start_ts"), F.min("start_pos").alias("start_pos"), *total, *(c.alias(n) for n, (_, c) in aggs.items())).drop("_at", "_id")
+    return deal(d, station, "_at").groupBy(station, "_at", "_id").agg(F.min("start_ts").alias("start_ts"), F.min("start_pos").alias("start_pos"), *total, *(c.alias(n) for n, (_, c) in aggs.items())).drop("_at", "_id")
 
 
 def frozen_runs(df: DataFrame, col: str, min_run: int = 6, station: str = "zone", ts: str = "ts", chunk_hours: int | None = None) -> DataFrame:
@@ -130,15 +132,16 @@ def missing_summary(df: DataFrame, col: str, station: str = "zone") -> DataFrame
     return df.groupBy(station).agg(*_missing(F.col(col)))
 
 
-def station_qc_table(df: DataFrame, col: str = "ws100", lo: float = 0.0, hi: float = 60.0, min_run: int = 6, max_delta: float = 6.0, station: str = "zone", ts: str = "ts", chunk_hours: int | None = None) -> DataFrame:
-    """All four checks: one row for each station, from one sort by station and time, or by station and chunk of time."""
+def station_qc_table(df: DataFrame, col: str = "ws100", lo: float = 0.0, hi: float = 60.0, min_run: int = 6, max_delta: float = 6.0, station: str = "zone", ts: str = "ts", chunk_hours: int | None = None, parts: int | None = None) -> DataFrame:
+    """All four checks: one row for each station, from one sort by station and time, or by station and chunk of time (then in
+    ``parts`` partitions, if given)."""
     raw, jump = F.col("_raw"), F.col("jump")
     count = lambda c, n: (c, F.sum(n))
     aggs = {
         "has": count(F.count(raw), "has"), "bad": count(F.count_if((raw < lo) | (raw > hi)), "bad"), "jumped": count(F.count_if(jump > max_delta), "jumped"),
         "gone": count(F.count_if(raw.isNull()), "gone"), "most": (F.max(jump), F.max("most")),
     }
-    runs = _runs(df, col, station, ts, chunk_hours, aggs)
+    runs = _runs(df, col, station, ts, chunk_hours, aggs, parts)
     frozen = F.col("length") >= min_run
     return runs.groupBy(station).agg(
         F.sum("bad").alias("out_of_range"),
