@@ -432,3 +432,19 @@ def test_weibull_ends_where_there_are_no_moments(spark):
     k, m = end[2].k_mle, np.log(few).mean()
     assert np.average(np.log(few), weights=np.power(few, k)) - 1 / k - m == pytest.approx(0, abs=1e-9)
     assert end[3].k_mle is None and all(r.k_mle is None for r in moments.values())
+
+
+def test_tiles_meet_without_shuffling_stations_for_each_tile(spark):
+    df = spark.createDataFrame([(z, at(t), float((z * t) % 7), 1.0) for z in range(120) for t in range(6)], "zone int, ts timestamp_ntz, u100 double, v100 double").repartition(4)
+    sc, seen = spark.sparkContext, []
+
+    def shuffled() -> int:
+        sc._jsc.sc().listenerBus().waitUntilEmpty()
+        stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._gateway.jvm.double, 0), sc._jvm.java.util.ArrayList())
+        new = [stages.apply(i) for i in range(stages.size()) if stages.apply(i).stageId() not in seen]
+        seen.extend(s.stageId() for s in new)
+        return sum(s.shuffleWriteRecords() for s in new)
+
+    shuffled()
+    assert independence.near_pairs_by_tiles(df, 9.0, tile=1).count() == 120 * 119 // 2
+    assert 720 <= shuffled() < 720 * 4  # 120 tiles: a row for each station and tile would be 14,400
